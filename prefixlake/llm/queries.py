@@ -22,8 +22,11 @@ def _of(module: str, *names: str) -> Callable[[SparkSession, str], DataFrame]:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": _of("topk", "embeddings"),
+    "op2_suffix_dedup": _of("suffixes", "documents"),
+    "op3_toxicity": _of("toxicity"),
     "op4_quality_rules": _of("quality"),
     "op5_sharding": _of("sharding", "documents"),
+    "op6_jaccard_join": _of("jaccard", "documents"),
     "op7_grammar_tokens": _of("tokens", "documents"),
     "op8_packing": _of("packing", "documents"),
     "op9_mixing": _of("mixing", "documents"),
