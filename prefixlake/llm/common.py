@@ -61,7 +61,7 @@ def id_fold(doc_id: Column, n: int) -> Column:
 
 
 def ranked(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
-    """df with `rank` (from 0, by `order` within each group) and `group_rows`, both long.
+    """df with `_pl_rank` (from 0, by `order` within each group) and `_pl_group_rows`, both long.
 
     Rows are range-partitioned by group and order, so one hot group spreads over many tasks; only
     a count for each group and partition is gathered. The sorted rows are written first, so that
@@ -70,26 +70,26 @@ def ranked(df: DataFrame, groups: list[str], order: list[str], name: str) -> Dat
     spark = df.sparkSession
     keys = [F.col(c).asc_nulls_last() for c in [*groups, *order]]
     rows = written(
-        df.repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()),
+        df.repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys).withColumn("_pl_at", F.monotonically_increasing_id()),
         name,
-    ).withColumn("_part", F.shiftright("_at", 33))
-    found = rows.groupBy("_part", *groups).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    ).withColumn("_pl_part", F.shiftright("_pl_at", 33))
+    found = rows.groupBy("_pl_part", *groups).agg(F.min("_pl_at").alias("_pl_first"), F.count("*").alias("_n"))
     from pyspark.sql import Window
 
     over = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    before = over.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = over.orderBy("_pl_part").rowsBetween(Window.unboundedPreceding, -1)
     found = found.select(
-        F.col("_part").alias("_p"),
+        F.col("_pl_part").alias("_pl_p"),
         *[F.col(c).alias(f"_g_{c}") for c in groups],
-        "_first",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(over).alias("group_rows"),
+        "_pl_first",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_pl_before"),
+        F.sum("_n").over(over).alias("_pl_group_rows"),
     )
-    on = F.col("_part") == F.col("_p")
+    on = F.col("_pl_part") == F.col("_pl_p")
     for c in groups:
         on = on & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
     return (
         rows.join(found, on)
-        .withColumn("rank", F.col("_at") - F.col("_first") + F.col("_before"))
-        .drop("_at", "_part", "_p", "_first", "_before", *[f"_g_{c}" for c in groups])
+        .withColumn("_pl_rank", F.col("_pl_at") - F.col("_pl_first") + F.col("_pl_before"))
+        .drop("_pl_at", "_pl_part", "_pl_p", "_pl_first", "_pl_before", *[f"_g_{c}" for c in groups])
     )

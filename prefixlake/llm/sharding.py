@@ -20,18 +20,16 @@ def interleave(rows: DataFrame, shards: int, source: str = "source", key: str =
 
     Shards' row counts differ by one at most, and so do each source's rows in them, up to rounding.
     A null source is a stratum of its own, null keys hash as the word null; repeated keys get
-    places of their own in arbitrary order, fixed once written. An empty table stays empty.
+    places of their own in arbitrary order, fixed once written. Columns with the new names are replaced. An empty table stays empty.
     """
-    clash = {"_h", "_f", "rank", "group_rows"} & set(rows.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are used here")
-    rows = rows.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), id_text(F.col(key)))))
-    rows = ranked(rows, [source], ["_h", key], "strata")
-    rows = rows.withColumn("_f", (F.col("rank") + F.lit(0.5)) / F.col("group_rows")).drop("rank", "group_rows")
-    rows = ranked(rows, [], ["_f", source, "_h", key], "interleaved")
-    shard = F.expr(f"(rank * {shards}) div group_rows")
-    first = F.expr(f"(shard * group_rows + {shards - 1}) div {shards}")
-    return rows.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("rank") - first).cast("long")).drop("_h", "_f", "rank", "group_rows")
+    rows = rows.drop("shard", "slot")
+    rows = rows.withColumn("_pl_h", F.md5(F.concat(F.lit(f"{seed}:"), id_text(F.col(key)))))
+    rows = ranked(rows, [source], ["_pl_h", key], "strata")
+    rows = rows.withColumn("_pl_f", (F.col("_pl_rank") + F.lit(0.5)) / F.col("_pl_group_rows")).drop("_pl_rank", "_pl_group_rows")
+    rows = ranked(rows, [], ["_pl_f", source, "_pl_h", key], "interleaved")
+    shard = F.expr(f"(_pl_rank * {shards}) div _pl_group_rows")
+    first = F.expr(f"(shard * _pl_group_rows + {shards - 1}) div {shards}")
+    return rows.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("_pl_rank") - first).cast("long")).drop("_pl_h", "_pl_f", "_pl_rank", "_pl_group_rows")
 
 
 def digest(documents: DataFrame, shards: int = 8) -> DataFrame:
