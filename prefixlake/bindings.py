@@ -1,10 +1,583 @@
-"""Queries of the library over the driver's tables, and the same as SQL."""
+"""Queries of the library over the driver's tables, and the same as SQL.
+
+The tables hold no caches; documents stand for records, conversations for requests, events for a
+mutation log and for accesses, embeddings for vectors.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from prefixlake.functions import formats, hashing
+from prefixlake.functions.textnorm import POLARITY, VALUE_WORDS, content_hash, normalized
+from prefixlake.operators import blocks, guard, kvlog, metrics, placement, prefix, registry, vector, workload
+from prefixlake.sources.tables import decoded_records, encoded_records, parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+SHARDS = 256
+
+
+def query(sql: str | None = None):
+    """Registers a function as the query of its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- views --------------------------------------------------------------------------------------
+
+
+def records_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as records: six contexts a source, versions by doc_id; repeats of a tenant's text, and every 17th, are deprecated."""
+    d = parquet(spark, sf, "documents").select("doc_id", F.col("source").alias("namespace"), "text")
+    c = F.expr("(doc_id div 20) % 6").cast("int")
+    d = d.withColumn("_c", c).withColumn("context_id", F.concat(F.lit("ctx-"), F.col("_c").cast("string")))
+    d = d.withColumn("block_type", F.element_at(F.array(*map(F.lit, blocks.ELIGIBLE)), F.col("_c") + 1))
+    d = d.withColumn("version", F.row_number().over(Window.partitionBy("namespace", "context_id").orderBy("doc_id"))).withColumn("content_hash", content_hash(F.col("text")))
+    again = F.row_number().over(Window.partitionBy("namespace", "content_hash").orderBy("doc_id")) > 1
+    return d.withColumn("deprecated_at", F.when(again | (F.col("doc_id") % 17 == 0), F.col("doc_id"))).drop("_c")
+
+
+def pointers_of(records: DataFrame) -> DataFrame:
+    """Each context points to its highest version whose doc_id isn't divisible by 5; later ones are staged."""
+    return registry.max_versions(records.where("doc_id % 5 <> 0"))
+
+
+def aliases_of(records: DataFrame) -> DataFrame:
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 3))
+    return records.select(*registry.KEY, each.alias("ordinal")).withColumn("alias", F.concat_ws("-", F.lit("alias"), "context_id", F.col("ordinal").cast("string")))
+
+
+NORM = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(TEXT), '\r\n?', chr(10), 'g'), '[ \t\x0B\f]+(\n|\z)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '\A\n+|\n+\z', '', 'g')"""
+TYPES = "[" + ", ".join(f"'{x}'" for x in blocks.ELIGIBLE) + "]"
+REGISTRY = f"""
+r0 AS (SELECT doc_id, source AS namespace, text, ((doc_id // 20) % 6)::INT AS c FROM documents),
+r1 AS (SELECT doc_id, namespace, text, 'ctx-' || c AS context_id, ({TYPES})[c + 1] AS block_type,
+  row_number() OVER (PARTITION BY namespace, c ORDER BY doc_id)::INT AS version, sha256({NORM.replace('TEXT', 'text')}) AS content_hash FROM r0),
+records AS (SELECT *, row_number() OVER (PARTITION BY namespace, content_hash ORDER BY doc_id) > 1 OR doc_id % 17 = 0 AS gone FROM r1),
+pointers AS (SELECT namespace, context_id, max(version) AS version FROM records WHERE doc_id % 5 <> 0 GROUP BY ALL),
+aliases AS (SELECT namespace, context_id, version, o AS ordinal, 'alias-' || context_id || '-' || o AS alias FROM records, range(3) t(o) WHERE o <= doc_id % 3),
+live AS (SELECT * FROM records WHERE NOT gone),
+cur AS (SELECT l.* FROM live l JOIN pointers p USING (namespace, context_id, version))"""
+
+
+def incoming_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as they come in: a third in another rendering, a third changed, a third as they are."""
+    t = F.col("text")
+    churn = F.concat(F.lit("\n\n"), F.replace(t, F.lit("\n"), F.lit("  \r\n")), F.lit(" \t\n"))
+    text = F.when(F.col("doc_id") % 3 == 0, churn).when(F.col("doc_id") % 3 == 1, F.concat(t, F.lit(" changed"))).otherwise(t)
+    return parquet(spark, sf, "documents").select("doc_id", F.col("source").alias("namespace"), text.alias("text"))
+
+
+INCOMING = r"""incoming AS (SELECT doc_id, source AS namespace, CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || replace(text, chr(10), '  ' || chr(13) || chr(10)) || ' ' || chr(9) || chr(10)
+  WHEN doc_id % 3 = 1 THEN text || ' changed' ELSE text END AS text FROM documents)"""
+
+
+def nodes_of(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(n).select(F.concat(F.lit("node-"), F.col("id").cast("string")).alias("node_id"), F.concat(F.lit("10.0.0."), F.col("id").cast("string"), F.lit(":7000")).alias("address"))
+
+
+def fnv_sql(key: str) -> str:
+    return (
+        f"list_reduce(list_transform(range(1, 1 + octet_length(encode({key}))), lambda i: ('0x' || substr(hex(encode({key})), (2 * i - 1)::BIGINT, 2))::UHUGEINT), "
+        "lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT)"
+    )
+
+
+def mixed_sql(x: str, name: str, source: str, keep: str) -> str:
+    """CTEs that add `name`, the mix of column x, to source's columns."""
+    m = "18446744073709551616::UHUGEINT"
+    return f"""{name}_a AS (SELECT {keep}, (xor({x}, {x} >> 30) * 13787848793156543929::UHUGEINT) % {m} AS z FROM {source}),
+{name}_b AS (SELECT {keep}, (xor(z, z >> 27) * 10723151780598845931::UHUGEINT) % {m} AS z FROM {name}_a),
+{name} AS (SELECT {keep}, xor(z, z >> 31) AS {name}_v FROM {name}_b)"""
+
+
+def owners_sql(name: str, n: int, replicas: int) -> str:
+    return f"""{name}_n AS (SELECT 'node-' || i AS node_id, {fnv_sql("('node-' || i)")} AS seed FROM range({n}) t(i)),
+{name}_s AS (SELECT i::INT AS shard, i::UHUGEINT AS x FROM range({SHARDS}) t(i)),
+{mixed_sql('x', name + '_m', name + '_s', 'shard')},
+{name}_p AS (SELECT shard, node_id, xor(seed, {name}_m_v) AS x FROM {name}_m, {name}_n),
+{mixed_sql('x', name + '_w', name + '_p', 'shard, node_id')},
+{name} AS (SELECT * FROM (SELECT shard, node_id, row_number() OVER (PARTITION BY shard ORDER BY {name}_w_v DESC, node_id)::INT AS rank, {name}_w_v AS w FROM {name}_w) WHERE rank <= {1 + replicas})"""
+
+
+def log_of(spark: SparkSession, sf: str) -> DataFrame:
+    e = parquet(spark, sf, "events")
+    seq = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ts", "event_id")).cast("long")  # events stand for a log, which comes numbered
+    op = F.when(F.col("event_type") == "error", kvlog.DEL).otherwise(kvlog.SET)
+    return e.select(seq.alias("sequence"), op.alias("opcode"), F.concat(F.lit("key-"), F.col("user_id").cast("string")).alias("key"), F.col("props").alias("value"))
+
+
+LOG = """log AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS sequence, CASE WHEN event_type = 'error' THEN 3 ELSE 2 END AS opcode, 'key-' || user_id AS key, props AS value FROM events),
+state AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY key ORDER BY sequence DESC) = 1 AND opcode = 2)"""
+
+
+def accesses_of(spark: SparkSession, sf: str) -> DataFrame:
+    e = parquet(spark, sf, "events")
+    op = F.when(F.col("event_type").isin("view", "click"), "read").when(F.col("event_type") == "error", "error").otherwise("write")
+    return e.select("event_id", "ts", F.concat(F.lit("key-"), F.col("user_id").cast("string")).alias("key"), op.alias("op"), F.col("value").alias("latency"), (F.col("event_type") == "view").alias("hit"))
+
+
+ACCESS = "access AS (SELECT event_id, ts, 'key-' || user_id AS key, CASE WHEN event_type IN ('view', 'click') THEN 'read' WHEN event_type = 'error' THEN 'error' ELSE 'write' END AS op, value AS latency, event_type = 'view' AS hit FROM events)"
+INTERVALS = "iv AS (SELECT epoch_us(ts) // 3600000000 AS slot, count(*) AS operations, count(*) FILTER (op = 'read') AS verified, count(*) FILTER (op = 'error') AS errors, avg(latency) AS mean_latency FROM access GROUP BY ALL)"
+
+
+def messages_of(spark: SparkSession, sf: str) -> DataFrame:
+    return parquet(spark, sf, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("position"), "role", "text")
+
+
+def vectors_of(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, blocks.ELIGIBLE))
+    return parquet(spark, sf, "embeddings").select(
+        "vec_id", F.concat(F.lit("ns"), (F.col("vec_id") % 3).cast("string")).alias("namespace"), F.element_at(kinds, F.col("label") % 6 + 1).alias("block_type"), "embedding"
+    )
+
+
+VECTORS = f"vectors AS (SELECT vec_id, 'ns' || vec_id % 3 AS namespace, ({TYPES})[label % 6 + 1] AS block_type, embedding FROM embeddings)"
+
+
+# --- registry -----------------------------------------------------------------------------------
+
+
+@query(f"WITH {REGISTRY}, {INCOMING} SELECT i.doc_id, i.namespace, l.context_id, l.version FROM incoming i JOIN live l ON i.namespace = l.namespace AND l.content_hash = sha256({NORM.replace('TEXT', 'i.text')})")
+def tier0_exact_match(spark, sf):
+    wanted = incoming_of(spark, sf).select("doc_id", "namespace", content_hash(F.col("text")).alias("content_hash"))
+    return registry.by_hash(records_of(spark, sf), wanted).select("doc_id", "namespace", "context_id", "version")
+
+
+@query(f"WITH {REGISTRY} SELECT doc_id, context_id, version FROM live WHERE namespace = 'src3' ORDER BY context_id, version LIMIT 20 OFFSET 5")
+def registry_scan(spark, sf):
+    r = records_of(spark, sf)
+    return registry.scan(r, pointers_of(r), "src3", limit=20, offset=5).select("doc_id", "context_id", "version")
+
+
+@query(f"WITH {REGISTRY} SELECT namespace, context_id, version, doc_id FROM cur")
+def registry_current(spark, sf):
+    r = records_of(spark, sf)
+    return registry.current(r, pointers_of(r)).select(*registry.KEY, "doc_id")
+
+
+@query(f"WITH {REGISTRY} SELECT namespace, context_id, max(version) AS version FROM records GROUP BY ALL")
+def registry_max_versions(spark, sf):
+    return registry.max_versions(records_of(spark, sf))
+
+
+@query(f"""WITH {REGISTRY}, w AS (SELECT namespace, context_id, CASE WHEN context_id < 'ctx-3' THEN 1 END AS version FROM pointers)
+SELECT namespace, context_id, r.version, r.doc_id, r.gone FROM (SELECT w.namespace, w.context_id, coalesce(w.version, p.version) AS version FROM w JOIN pointers p USING (namespace, context_id)) x JOIN records r USING (namespace, context_id, version)""")
+def registry_point_read(spark, sf):
+    r = records_of(spark, sf)
+    p = pointers_of(r)
+    wanted = p.select("namespace", "context_id", F.when(F.col("context_id") < "ctx-3", 1).alias("version"))
+    return registry.point_read(r, p, wanted).select(*registry.KEY, "doc_id", F.col("deprecated_at").isNotNull().alias("gone"))
+
+
+@query(f"""WITH {REGISTRY}, w AS (SELECT namespace, alias, count(*) AS asked FROM aliases GROUP BY ALL)
+SELECT w.namespace, w.alias, asked, c.context_id, c.version FROM w JOIN aliases a USING (namespace, alias) JOIN cur c ON a.namespace = c.namespace AND a.context_id = c.context_id AND a.version = c.version""")
+def alias_resolve(spark, sf):
+    r = records_of(spark, sf)
+    a = aliases_of(r)
+    wanted = a.groupBy("namespace", "alias").agg(F.count("*").alias("asked"))
+    return registry.by_alias(r, pointers_of(r), a, wanted).select("namespace", "alias", "asked", "context_id", "version")
+
+
+@query(f"WITH {REGISTRY} SELECT r.namespace, r.context_id, r.version, coalesce(string_agg(alias, ',' ORDER BY ordinal), '') AS aliases FROM records r LEFT JOIN aliases a USING (namespace, context_id, version) GROUP BY ALL")
+def alias_hydration(spark, sf):
+    r = records_of(spark, sf)
+    return registry.with_aliases(r, aliases_of(r)).select(*registry.KEY, F.array_join("aliases", ",").alias("aliases"))
+
+
+NEW = """new AS (SELECT namespace, context_id, (version + doc_id % 12)::INT AS version, text, CASE WHEN doc_id % 7 = 0 THEN repeat('0', 64) WHEN doc_id % 3 = 0 THEN content_hash ELSE sha256(content_hash) END AS content_hash,
+  CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 3 = 0 THEN content_hash ELSE sha256(content_hash) END AS text_hash,
+  CASE WHEN doc_id % 2 = 0 THEN 'alias-ctx-1-0' ELSE 'own-' || doc_id END AS first_alias, doc_id FROM records)"""
+
+
+def new_of(r: DataFrame) -> DataFrame:
+    h = F.when(F.col("doc_id") % 3 == 0, F.col("content_hash")).otherwise(F.sha2("content_hash", 256))
+    return r.select(
+        "namespace", "context_id", (F.col("version") + F.col("doc_id") % 12).cast("int").alias("version"), "text",
+        F.when(F.col("doc_id") % 7 == 0, F.lit("0" * 64)).otherwise(h).alias("content_hash"), F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(h).alias("text_hash"),
+        F.when(F.col("doc_id") % 2 == 0, "alias-ctx-1-0").otherwise(F.concat(F.lit("own-"), F.col("doc_id").cast("string"))).alias("first_alias"), "doc_id",
+    )
+
+
+@query(f"""WITH {REGISTRY}, {NEW}, top AS (SELECT namespace, context_id, max(version) AS top FROM records GROUP BY ALL), owner AS (SELECT DISTINCT namespace, alias, context_id AS owner FROM aliases)
+SELECT n.doc_id, CASE WHEN n.content_hash <> n.text_hash THEN 'hash_mismatch' WHEN r.version IS NOT NULL THEN 'duplicate_version' WHEN n.version <= top THEN 'not_advancing'
+  WHEN EXISTS (FROM live l WHERE l.namespace = n.namespace AND l.content_hash = n.content_hash) THEN 'live_hash_clash' WHEN owner <> n.context_id THEN 'alias_clash' END AS problem
+FROM new n LEFT JOIN records r ON r.namespace = n.namespace AND r.context_id = n.context_id AND r.version = n.version LEFT JOIN top t ON t.namespace = n.namespace AND t.context_id = n.context_id
+LEFT JOIN owner o ON o.namespace = n.namespace AND o.alias = n.first_alias""")
+def registry_admission(spark, sf):
+    r = records_of(spark, sf)
+    return registry.admitted(r, aliases_of(r), new_of(r), F.col("text_hash")).select("doc_id", "problem")
+
+
+@query(f"""WITH {REGISTRY}, n AS (SELECT namespace, CASE WHEN doc_id % 2 = 0 THEN context_id ELSE 'new-' || context_id END AS context_id, version FROM records WHERE doc_id % 10 < 4)
+SELECT namespace, context_id, version, 'registered' AS how FROM pointers UNION ALL SELECT namespace, context_id, min(version), 'registered' FROM n WHERE (namespace, context_id) NOT IN (SELECT (namespace, context_id) FROM pointers) GROUP BY 1, 2
+UNION ALL SELECT namespace, context_id, max(version), 'published' FROM n GROUP BY 1, 2 UNION ALL SELECT namespace, context_id, version, 'published' FROM pointers WHERE (namespace, context_id) NOT IN (SELECT (namespace, context_id) FROM n)""")
+def registry_publish(spark, sf):
+    r = records_of(spark, sf)
+    p = pointers_of(r)
+    name = F.when(F.col("doc_id") % 2 == 0, F.col("context_id")).otherwise(F.concat(F.lit("new-"), F.col("context_id")))
+    new = r.where("doc_id % 10 < 4").select("namespace", name.alias("context_id"), "version")
+    return registry.registered(p, new).withColumn("how", F.lit("registered")).unionByName(registry.published(p, new).withColumn("how", F.lit("published")))
+
+
+@query(f"WITH {REGISTRY} SELECT namespace, context_id, version, CASE WHEN gone THEN doc_id WHEN doc_id % 4 = 0 THEN -1 END AS deprecated_at FROM records")
+def registry_deprecate(spark, sf):
+    r = records_of(spark, sf)
+    return registry.deprecated(r, r.where("doc_id % 4 = 0"), F.lit(-1).cast("long")).select(*registry.KEY, "deprecated_at")
+
+
+@query(f"""WITH {REGISTRY}, b AS (SELECT namespace, CASE WHEN doc_id % 11 = 0 THEN '-bad' ELSE context_id END AS context_id, (version - (doc_id % 13 = 0)::INT)::INT AS version, text, content_hash FROM records)
+SELECT namespace, context_id, version, rule FROM (SELECT *, count(*) OVER (PARTITION BY namespace, context_id, version) AS k, count(*) OVER (PARTITION BY namespace, content_hash) AS h FROM b),
+ (VALUES ('duplicate_key'), ('bad_version'), ('empty_text'), ('bad_identifier'), ('two_live_hashes')) v(rule)
+WHERE (rule = 'duplicate_key' AND k > 1) OR (rule = 'bad_version' AND version < 1) OR (rule = 'empty_text' AND coalesce(text, '') = '') OR (rule = 'bad_identifier' AND context_id = '-bad') OR (rule = 'two_live_hashes' AND h > 1)""")
+def registry_violations(spark, sf):
+    r = records_of(spark, sf)
+    bad = r.withColumn("context_id", F.when(F.col("doc_id") % 11 == 0, "-bad").otherwise(F.col("context_id")))
+    bad = bad.withColumn("version", (F.col("version") - (F.col("doc_id") % 13 == 0).cast("int")).cast("int")).withColumn("deprecated_at", F.lit(None).cast("long"))
+    return registry.violations(bad)
+
+
+# --- hashing and placement ----------------------------------------------------------------------
+
+@query(f"WITH k AS (SELECT c_custkey, c_name, {fnv_sql('c_name')} AS h FROM customer) SELECT c_custkey, lpad(lower(hex(h::UBIGINT)), 16, '0') AS hash, (h % 256)::INT AS shard, (h % 1024)::INT AS bucket, (h % 256)::INT AS lock FROM k")
+def key_hashes(spark, sf):
+    k = F.col("c_name")
+    low = hashing.lock_shard(k)
+    return parquet(spark, sf, "customer").select("c_custkey", hashing.fnv1a_hex(k).alias("hash"), hashing.shard_of(k, SHARDS).alias("shard"), low["bucket"].alias("bucket"), low["lock"].alias("lock"))
+
+
+@query(f"WITH {owners_sql('o', 5, 2)} SELECT shard, node_id, rank, lpad(lower(hex(w::UBIGINT)), 16, '0') AS weight FROM o")
+def placement_ranked(spark, sf):
+    return placement.ranked_owners(nodes_of(spark, 5), SHARDS, 2)
+
+
+@query(f"WITH {owners_sql('o', 5, 2)} SELECT node_id, count(*) FILTER (rank = 1) AS primaries, count(*) FILTER (rank > 1) AS replicas FROM o GROUP BY ALL")
+def placement_shares(spark, sf):
+    return placement.shares(placement.ranked_owners(nodes_of(spark, 5), SHARDS, 2))
+
+
+@query(f"WITH {owners_sql('a', 5, 0)}, {owners_sql('b', 4, 0)} SELECT count(*) FILTER (a.node_id <> b.node_id) AS moved, count(*) FILTER (a.node_id = b.node_id) AS stable, count(*) FILTER (a.node_id <> b.node_id AND a.node_id <> 'node-4' AND b.node_id <> 'node-4') AS violations FROM a JOIN b USING (shard)")
+def placement_moves(spark, sf):
+    before, after = (placement.ranked_owners(nodes_of(spark, n), SHARDS) for n in (5, 4))
+    return placement.moves(before, after, "node-4")
+
+
+@query(f"WITH {owners_sql('a', 5, 2)}, {owners_sql('b', 4, 2)} SELECT x.shard, x.node_id AS old, y.node_id AS new, z.node_id = y.node_id AS as_promised FROM a x JOIN b y USING (shard) JOIN a z USING (shard) WHERE x.rank = 1 AND y.rank = 1 AND z.rank = 2 AND x.node_id <> y.node_id")
+def placement_promoted(spark, sf):
+    return placement.promoted(*(placement.ranked_owners(nodes_of(spark, n), SHARDS, 2) for n in (5, 4)))
+
+
+@query(f"""WITH {owners_sql('a', 4, 0)}, {owners_sql('b', 5, 0)}, x AS (FROM a WHERE shard >= 3), y AS (FROM b WHERE shard < 250)
+SELECT shard, x.node_id AS before, y.node_id AS after, CASE WHEN y.node_id IS NULL THEN 'missing' WHEN x.node_id IS NULL THEN 'unexpected' ELSE 'different' END AS kind FROM x FULL JOIN y USING (shard) WHERE x.node_id IS DISTINCT FROM y.node_id""")
+def placement_map_diff(spark, sf):
+    return placement.map_diff(placement.ranked_owners(nodes_of(spark, 4), SHARDS).where("shard >= 3"), placement.ranked_owners(nodes_of(spark, 5), SHARDS).where("shard < 250"))
+
+
+@query(f"WITH {owners_sql('a', 4, 1)}, {owners_sql('b', 5, 1)} SELECT shard, node_id FROM b EXCEPT SELECT shard, node_id FROM a")
+def placement_gained(spark, sf):
+    return placement.gained(*(placement.ranked_owners(nodes_of(spark, n), SHARDS, 1) for n in (4, 5)))
+
+
+@query(f"WITH {owners_sql('o', 5, 2)} SELECT shard, min(n.node_id) AS node_id FROM (SELECT DISTINCT shard FROM o) s, o_n n WHERE (shard, n.node_id) NOT IN (SELECT (shard, node_id) FROM o) GROUP BY shard")
+def placement_non_holders(spark, sf):
+    nodes = nodes_of(spark, 5)
+    return placement.non_holders(placement.ranked_owners(nodes, SHARDS, 2), nodes)
+
+
+@query(f"WITH {owners_sql('o', 5, 2)} SELECT m.shard, CASE WHEN m.rank = 1 THEN 'primary' ELSE 'replica' END AS role, string_agg(x.node_id, ',' ORDER BY x.rank) AS peers FROM o m JOIN o x USING (shard) WHERE m.node_id = 'node-2' AND x.node_id <> 'node-2' GROUP BY ALL")
+def placement_node_view(spark, sf):
+    return placement.node_view(placement.ranked_owners(nodes_of(spark, 5), SHARDS, 2), "node-2")
+
+
+@query(f"WITH {owners_sql('o', 5, 0)}, k AS (SELECT ({fnv_sql('o_orderpriority || o_orderkey')} % 256)::INT AS shard FROM orders) SELECT node_id, '10.0.0.' || substr(node_id, 6) || ':7000' AS address, count(*) AS keys FROM k JOIN o USING (shard) GROUP BY ALL")
+def placement_routed(spark, sf):
+    nodes = nodes_of(spark, 5)
+    keys = parquet(spark, sf, "orders").select(F.concat("o_orderpriority", F.col("o_orderkey").cast("string")).alias("key"))
+    return placement.routed(keys, placement.ranked_owners(nodes, SHARDS), nodes, "key", SHARDS).groupBy("node_id", "address").agg(F.count("*").alias("keys"))
+
+
+def _sized(x: str) -> str:
+    return f"lpad(hex(octet_length(encode({x}))::UBIGINT), 8, '0') || hex(encode({x}))"
+
+
+@query(f"""WITH {owners_sql('o', 5, 2)}, n AS (SELECT count(*) AS n, string_agg({_sized('node_id')} || {_sized("('10.0.0.' || substr(node_id, 6) || ':7000')")}, '' ORDER BY node_id) AS x FROM o_n),
+l AS (SELECT shard, max(node_id) FILTER (rank = 1) AS p, count(*) - 1 AS m, coalesce(string_agg({_sized('node_id')}, '' ORDER BY rank) FILTER (rank > 1), '') AS r FROM o GROUP BY shard),
+s AS (SELECT count(*) AS m, string_agg(lpad(hex(shard::UBIGINT), 8, '0') || {_sized('p')}, '' ORDER BY shard) AS a, string_agg(lpad(hex(shard::UBIGINT), 8, '0') || {_sized('p')} || lpad(hex(m::UBIGINT), 8, '0') || r, '' ORDER BY shard) AS b FROM l)
+SELECT sha256(unhex(hex(encode('topology-v2')) || '00' || lpad(hex(256::UBIGINT), 8, '0') || lpad(hex(2::UBIGINT), 8, '0') || lpad(hex(n::UBIGINT), 8, '0') || x || lpad(hex(m::UBIGINT), 8, '0') || a || lpad(hex(m::UBIGINT), 8, '0') || b)) AS fingerprint FROM n, s""")
+def topology_fingerprint(spark, sf):
+    nodes = nodes_of(spark, 5)
+    return placement.fingerprint(nodes, placement.ranked_owners(nodes, SHARDS, 2), SHARDS, 2)
+
+
+# --- requests, vectors, guard -------------------------------------------------------------------
+
+BLOCKS = """b0 AS (SELECT conv_id AS request_id, turn, role, text, max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS last FROM conversations),
+b1 AS (SELECT request_id, (row_number() OVER (PARTITION BY request_id ORDER BY turn) - 1)::INT AS index, CASE WHEN role IN ('system', 'developer') THEN 'system_prompt' WHEN turn = last THEN 'user_query' ELSE 'conversation_history' END AS block_type,
+ text, greatest(1, (length(text) + 3) // 4)::INT AS token_estimate FROM b0 WHERE coalesce(text, '') <> '')"""
+
+
+@query(f"""WITH {BLOCKS}, t AS (SELECT *, coalesce(sum(token_estimate) FILTER (block_type = 'system_prompt') OVER (PARTITION BY request_id), 0)::BIGINT AS eligible_tokens FROM b1)
+SELECT request_id, index, block_type, token_estimate, eligible_tokens, CASE WHEN block_type <> 'system_prompt' THEN 'ineligible_block_type' WHEN eligible_tokens < 20 THEN 'below_min_tokens' END AS bypass_reason,
+ CASE WHEN block_type = 'system_prompt' THEN 'eligible' ELSE 'ineligible' END AS eligibility FROM t""")
+def request_blocks(spark, sf):
+    b = blocks.with_bypass(blocks.decomposed(messages_of(spark, sf)), 20)
+    return b.select("request_id", "index", "block_type", "token_estimate", "eligible_tokens", "bypass_reason", blocks.eligibility(F.col("block_type")).alias("eligibility"))
+
+
+@query(f"WITH {BLOCKS} SELECT request_id, string_agg(CASE WHEN index % 3 = 1 THEN 'canonical' ELSE text END, chr(10) ORDER BY index) AS body, count(*) FILTER (index % 3 = 1) AS n_replaced, 0::BIGINT AS n_unknown FROM b1 GROUP BY ALL")
+def request_assembly(spark, sf):
+    b = blocks.decomposed(messages_of(spark, sf))
+    return blocks.assembled(b, b.where("index % 3 = 1").select("request_id", "index", F.lit("canonical").alias("text")))
+
+
+@query(f"""WITH {VECTORS}, s AS (SELECT q.vec_id AS query_id, r.vec_id, least(1.0, greatest(0.0, list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)))) AS s
+ FROM vectors q JOIN vectors r USING (namespace, block_type) WHERE q.vec_id % 10 = 0 AND r.vec_id % 10 <> 0)
+SELECT query_id, rank, vec_id, round(s, 9) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 5""")
+def vector_topk(spark, sf):
+    v = vectors_of(spark, sf)
+    q = v.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    r = v.where("vec_id % 10 <> 0").select("namespace", "block_type", F.col("vec_id").alias("context_id"), F.lit(1).alias("version"), "embedding")
+    return vector.top_candidates(q, r).select("query_id", "rank", F.col("context_id").alias("vec_id"), F.round("similarity", 9).alias("similarity"))
+
+
+@query(f"""WITH {VECTORS}, x AS (SELECT namespace, block_type, CASE WHEN vec_id % 19 = 0 THEN 0 WHEN vec_id % 7 = 0 THEN 1 WHEN vec_id % 11 = 0 THEN 2 ELSE 3 END AS s FROM vectors)
+SELECT namespace, block_type, count(*) AS seen, count(*) FILTER (s = 0) AS without_embedding, count(*) FILTER (s = 1) AS model_mismatched, count(*) FILTER (s = 2) AS malformed, count(*) FILTER (s = 3) AS indexed FROM x GROUP BY ALL""")
+def vector_build_report(spark, sf):
+    v = vectors_of(spark, sf)
+    e = F.when(F.col("vec_id") % 19 == 0, None).when(F.col("vec_id") % 11 == 0, F.slice("embedding", 1, 9)).otherwise(F.col("embedding"))
+    return vector.build_report(v.withColumn("embedding", e).withColumn("model", F.when(F.col("vec_id") % 7 == 0, "old").otherwise("own")), 64, "own")
+
+
+FAMILY = "CASE WHEN suffix(low, 'n''t') OR suffix(low, 'n’t') THEN 'NEG' " + " ".join("WHEN low IN (" + ", ".join(f"'{w}'" for w in v.split()) + f") THEN '{k}'" for k, v in POLARITY.items()) + " END"
+TOKENS = r"""l AS (SELECT conv_id, turn, unnest(string_split(nfc_normalize(text), chr(10))) AS line, generate_subscripts(string_split(nfc_normalize(text), chr(10)), 1) AS line_no FROM conversations),
+w AS (SELECT conv_id, turn, line_no, unnest(list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '')) AS raw, generate_subscripts(list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> ''), 1) AS place FROM l),
+t AS (SELECT *, rtrim(ltrim(raw, '"''`([{<«“‘'), '"''`)]}>»”’.,;:!?') AS token FROM w),
+k AS (SELECT *, lower(token) AS low, coalesce(right(lag(raw) OVER (PARTITION BY conv_id, turn, line_no ORDER BY place), 1) IN ('.', '!', '?', ':', ';'), true) AS start FROM t WHERE token <> '')"""
+
+
+def turns_of(spark, sf) -> DataFrame:
+    return parquet(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text")
+
+
+@query(f"WITH {TOKENS} SELECT conv_id, turn, {FAMILY} AS family, count(*) AS n FROM k GROUP BY ALL HAVING family IS NOT NULL")
+def guard_polarity(spark, sf):
+    f = guard.facts(turns_of(spark, sf), "key")
+    return f.select("key.conv_id", "key.turn", F.explode("polarity").alias("family", "n"))
+
+
+@query(rf"""WITH {TOKENS}, e AS (SELECT conv_id, turn, CASE WHEN regexp_matches(token, '^--?[A-Za-z][A-Za-z0-9._-]*$') THEN 'flag:' || token WHEN regexp_matches(token, '[0-9]') THEN 'num:' || token
+ WHEN regexp_matches(token, '[A-Za-z0-9][_/\\@=][A-Za-z0-9]|[A-Za-z0-9]\.[A-Za-z0-9]|::') THEN 'id:' || token WHEN low IN ({", ".join(f"'{x}'" for x in VALUE_WORDS.split())}) THEN 'val:' || CASE WHEN start THEN low ELSE token END
+ WHEN regexp_matches(substr(token, 2), '\p{{Lu}}') OR (regexp_matches(token, '\p{{Lu}}') AND NOT start) THEN 'name:' || token END AS entity FROM k)
+SELECT conv_id, turn, string_agg(DISTINCT entity, '|' ORDER BY entity) AS entities FROM e WHERE entity IS NOT NULL GROUP BY ALL""")
+def guard_entities(spark, sf):
+    f = guard.facts(turns_of(spark, sf), "key")
+    return f.where(F.size("entities") > 0).select("key.conv_id", "key.turn", F.array_join("entities", "|").alias("entities"))
+
+
+# --- logs and prefixes --------------------------------------------------------------------------
+
+
+@query(f"WITH {LOG} SELECT key, sequence, value FROM state")
+def kv_latest(spark, sf):
+    return kvlog.latest(log_of(spark, sf)).select("key", "sequence", "value")
+
+
+@query(f"WITH {LOG}, q AS (SELECT DISTINCT 'key-' || (user_id + user_id % 3) AS key FROM events) SELECT q.key, s.value, s.key IS NOT NULL AS found FROM q LEFT JOIN state s USING (key)")
+def kv_reads(spark, sf):
+    wanted = parquet(spark, sf, "events").select(F.concat(F.lit("key-"), (F.col("user_id") + F.col("user_id") % 3).cast("string")).alias("key")).distinct()
+    return kvlog.reads(wanted, kvlog.latest(log_of(spark, sf)))
+
+
+@query(f"WITH {LOG} SELECT key, value, false AS value_omitted FROM state WHERE starts_with(key, 'key-1')")
+def kv_prefix_scan(spark, sf):
+    return kvlog.prefix_scan(kvlog.latest(log_of(spark, sf)), "key-1")
+
+
+@query(f"WITH {LOG}, n AS (SELECT max(sequence) * 2 // 3 AS cut FROM log) SELECT sequence, opcode, key FROM log, n WHERE sequence < cut")
+def log_valid_prefix(spark, sf):
+    """Records as the log's binaries, one of them damaged and a later one missing; what precedes is decoded."""
+    log = log_of(spark, sf)
+    top = log.agg(F.expr("max(sequence) * 2 div 3").alias("cut"))
+    raw = log.crossJoin(F.broadcast(top)).withColumn("_bad", F.col("sequence") == F.col("cut"))  # one row
+    data = encoded_records(raw.where("sequence <> cut + 5")).withColumn("data", F.col("data"))
+    rows = decoded_records(data)
+    cut = F.broadcast(top)
+    damaged = rows.crossJoin(cut).withColumn("ok", F.col("ok") & (F.col("sequence") != F.col("cut"))).drop("cut")
+    return kvlog.valid_prefix(damaged, "ok", 1024).select("sequence", "opcode", "key")
+
+
+@query("""WITH c AS (SELECT doc_id, i AS index, (length(text) + 99) // 100 AS total, substr(text, (i * 100 + 1)::BIGINT, 100) AS data FROM documents, range(400) t(i) WHERE text <> '' AND i < (length(text) + 99) // 100)
+SELECT doc_id, sha256(string_agg(data, '' ORDER BY index)) AS value_hash, doc_id % 9 <> 0 OR max(total) < 2 AS complete FROM c WHERE NOT (doc_id % 9 = 0 AND index = 1) GROUP BY doc_id""")
+def chunk_reassembly(spark, sf):
+    d = parquet(spark, sf, "documents").where("text <> ''").withColumn("total", F.expr("(char_length(text) + 99) div 100"))
+    c = d.select("doc_id", "text", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)).alias("index")).where(~((F.col("doc_id") % 9 == 0) & (F.col("index") == 1)))
+    c = c.select("doc_id", "index", "total", F.substring("text", (F.col("index") * 100 + 1).cast("int"), F.lit(100)).alias("data"))
+    return kvlog.reassembled(c, "doc_id").select("doc_id", F.sha2("value", 256).alias("value_hash"), "complete")
+
+
+def tokens_of(spark, sf) -> DataFrame:
+    t = F.transform(F.split(F.substring("text", 1, 400), ""), lambda c: F.ascii(c))
+    return parquet(spark, sf, "conversations").select("conv_id", "turn", t.alias("tokens"))
+
+
+def pages_of(spark, sf) -> DataFrame:
+    return tokens_of(spark, sf).select("conv_id", "turn", F.posexplode(prefix.chained_hashes(F.col("tokens"))).alias("index", "key"))
+
+
+PAGES = """p AS (WITH RECURSIVE r(conv_id, turn, text, i, key) AS (
+ SELECT conv_id, turn, text, 0, sha256(unhex(list_aggregate(list_transform(string_split(substr(text, 1, 16), ''), lambda c: lpad(hex(ascii(c)::UBIGINT), 8, '0')), 'string_agg', ''))) FROM conversations WHERE length(text) >= 16
+ UNION ALL SELECT conv_id, turn, text, i + 1, sha256(encode(key) || unhex(list_aggregate(list_transform(string_split(substr(text, (i + 1) * 16 + 1, 16), ''), lambda c: lpad(hex(ascii(c)::UBIGINT), 8, '0')), 'string_agg', ''))) FROM r
+  WHERE least(length(text), 400) >= (i + 2) * 16) SELECT conv_id, turn, i AS index, key FROM r)"""
+
+
+@query(f"WITH {PAGES} SELECT conv_id, turn, index::INT AS index, key FROM p")
+def chained_hashes(spark, sf):
+    return pages_of(spark, sf)
+
+
+@query(f"""WITH {PAGES}, c AS (SELECT DISTINCT key FROM p WHERE conv_id % 2 = 0 AND index % 5 <> 3), h AS (SELECT p.*, c.key IS NOT NULL AS hit FROM p LEFT JOIN c USING (key))
+SELECT conv_id, turn, coalesce(min(index) FILTER (NOT hit), count(*))::BIGINT AS prefix, count(*) AS n_keys FROM h GROUP BY ALL""")
+def cached_prefix(spark, sf):
+    p = pages_of(spark, sf).withColumn("request", F.struct("conv_id", "turn"))
+    return prefix.cached_prefix(p, p.where("conv_id % 2 = 0 and index % 5 <> 3"), "request").select("request.conv_id", "request.turn", "prefix", "n_keys")
+
+
+@query(f"""WITH {PAGES}, h AS (SELECT conv_id, turn, index, min((index % 4 <> 3)::INT) OVER (PARTITION BY conv_id, turn ORDER BY index ROWS 1 PRECEDING) = 1 AS ok FROM p)
+SELECT conv_id, turn, coalesce(max(index + 1) FILTER (ok), 0)::INT AS prefix FROM h GROUP BY ALL""")
+def trailing_prefix(spark, sf):
+    p = pages_of(spark, sf).select(F.struct("conv_id", "turn").alias("request"), "index", (F.col("index") % 4 != 3).alias("hit"))
+    return prefix.trailing_prefix(p, "request", 2).select("request.conv_id", "request.turn", "prefix")
+
+
+@query(f"WITH {ACCESS} SELECT key FROM access WHERE op = 'write' INTERSECT SELECT key FROM access WHERE op = 'read' AND hit")
+def written_and_read(spark, sf):
+    a = accesses_of(spark, sf)
+    return prefix.written_and_read(a.where("op = 'write'"), a.where("op = 'read' and hit"))
+
+
+# --- workloads and metrics ----------------------------------------------------------------------
+
+
+@query(f"WITH {ACCESS} SELECT key, count(*) AS operations, count(*) FILTER (op = 'read') AS reads, count(*) FILTER (op = 'write') AS writes, count(*) FILTER (op = 'error') AS errors, count(*) FILTER (op = 'read' AND hit) / nullif(count(*) FILTER (op = 'read'), 0)::DOUBLE AS hit_rate FROM access GROUP BY ALL")
+def workload_summary(spark, sf):
+    return workload.summary(accesses_of(spark, sf), ["key"])
+
+
+def _percentile_sql(place: str) -> str:
+    at = ", ".join(f"v[1 + greatest(0, least({place.replace('P', p)}, n - 1))::BIGINT] AS {name}" for name, p in (("p50", "0.5::DOUBLE"), ("p99", "0.99::DOUBLE")))
+    return f"WITH x AS (SELECT l_returnflag, l_linestatus, list(l_extendedprice ORDER BY l_extendedprice) AS v, count(*) AS n FROM lineitem GROUP BY ALL) SELECT l_returnflag, l_linestatus, {at} FROM x"
+
+
+def _percentiles(spark, sf, rule):
+    return workload.percentiles(parquet(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus"], {"p50": 0.5, "p99": 0.99}, rule)
+
+
+@query(_percentile_sql("floor(P * n)"))
+def percentiles_floor(spark, sf):
+    return _percentiles(spark, sf, "floor")
+
+
+@query(_percentile_sql("(ceil(P * n) - 1)"))
+def percentiles_ceil(spark, sf):
+    return _percentiles(spark, sf, "ceil")
+
+
+@query(_percentile_sql("floor(P * (n - 1) + 0.5)"))
+def percentiles_round(spark, sf):
+    return _percentiles(spark, sf, "round")
+
+
+@query("""WITH u AS (SELECT count(*) AS keys FROM part), c AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL), t AS (SELECT keys, (SELECT sum(n)::BIGINT FROM c) AS ops, (SELECT count(*) FROM c) AS touched, greatest(1, ceil(keys * 10 / 100))::BIGINT AS k FROM u)
+SELECT keys, ops, touched, k, (SELECT sum(n) FROM (SELECT n FROM c ORDER BY n DESC LIMIT (SELECT k FROM t)))::DOUBLE / ops AS share FROM t""")
+def concentration(spark, sf):
+    a = parquet(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("key"))
+    return workload.concentration(a, parquet(spark, sf, "part").select(F.col("p_partkey").alias("key")), 10)
+
+
+@query(f"WITH {ACCESS}, {INTERVALS} SELECT slot, operations, verified, errors, round(mean_latency, 6) AS mean_latency FROM iv")
+def intervals(spark, sf):
+    return workload.intervals(accesses_of(spark, sf), 3600).withColumn("mean_latency", F.round("mean_latency", 6))
+
+
+@query(f"""WITH {ACCESS}, {INTERVALS}, d AS (SELECT slot, operations, CASE WHEN slot % 7 < 3 THEN 0 ELSE verified END AS verified FROM iv), b AS (SELECT *, row_number() OVER (ORDER BY slot) AS i FROM d), g AS (SELECT i - row_number() OVER (ORDER BY slot) AS g FROM b WHERE operations > 0 AND verified = 0)
+SELECT coalesce(max(n), 0)::BIGINT AS longest FROM (SELECT count(*) AS n FROM g GROUP BY g)""")
+def longest_dead_run(spark, sf):
+    rows = workload.intervals(accesses_of(spark, sf), 3600)
+    return workload.longest_dead_run(rows.withColumn("verified", F.when(F.col("slot") % 7 < 3, 0).otherwise(F.col("verified"))), "slot")
+
+
+@query(f"""WITH {ACCESS}, {INTERVALS}, x AS (SELECT *, row_number() OVER (ORDER BY slot) AS i, count(*) OVER () AS n FROM iv)
+SELECT round(avg(operations) FILTER (i <= n // 4), 9) AS operations_first, round(avg(operations) FILTER (i > n - n // 4), 9) AS operations_last FROM x""")
+def drift(spark, sf):
+    d = workload.drift(workload.intervals(accesses_of(spark, sf), 3600), "slot", ["operations"])
+    return d.select(*[F.round(c, 9).alias(c) for c in d.columns])
+
+
+@query(f"""WITH {ACCESS}, t AS (SELECT key, count(*) AS operations, count(*) FILTER (op = 'read') AS verified, count(*) FILTER (op <> 'read') AS errors, count(*) FILTER (op = 'error' AND latency > 90) AS mismatches, count(*) FILTER (op = 'error' AND latency < 1) AS dead FROM access GROUP BY ALL)
+SELECT *, errors / operations AS error_rate, concat_ws(',', CASE WHEN mismatches > 0 THEN 'mismatches' END, CASE WHEN dead > 0 THEN 'dead_intervals' END, CASE WHEN verified = 0 THEN 'nothing_verified' END, CASE WHEN errors / operations > 0.5 THEN 'error_rate' END) AS problems,
+ CASE WHEN mismatches = 0 AND dead = 0 AND verified > 0 AND errors / operations <= 0.5 THEN 'healthy' ELSE 'degraded' END AS result FROM t""")
+def soak_verdict(spark, sf):
+    t = accesses_of(spark, sf).groupBy("key").agg(
+        F.count("*").alias("operations"), F.count_if(F.col("op") == "read").alias("verified"), F.count_if(F.col("op") != "read").alias("errors"),
+        F.count_if((F.col("op") == "error") & (F.col("latency") > 90)).alias("mismatches"), F.count_if((F.col("op") == "error") & (F.col("latency") < 1)).alias("dead"),
+    )
+    return workload.verdict(t)
+
+
+@query(f"WITH {ACCESS}, {INTERVALS}, c AS (SELECT slot, sum(operations) OVER (ORDER BY slot)::BIGINT AS total FROM iv) SELECT slot, total, (total - lag(total, 1, 0) OVER (ORDER BY slot))::BIGINT AS delta FROM c")
+def counter_deltas(spark, sf):
+    rows = workload.intervals(accesses_of(spark, sf), 3600)
+    total = F.sum("operations").over(Window.partitionBy(F.lit(0)).orderBy("slot"))  # a row an interval
+    return workload.deltas(rows.select("slot", total.alias("total")), "slot", "total")
+
+
+@query(r"""SELECT p_partkey, 'cache_part_price{brand="' || replace(p_brand, '"', '\"') || '",name="' || replace(replace(p_name, '\', '\\'), '"', '\"') || '"} ' || p_size AS line FROM part""")
+def metric_lines(spark, sf):
+    labels = F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"))
+    return parquet(spark, sf, "part").select("p_partkey", formats.metric_line(F.lit("cache_part_price"), labels, F.col("p_size").cast("string")).alias("line"))
+
+
+@query("""SELECT doc_id, n_chars // 3 AS each, n_chars - 2 * (n_chars // 3) AS last, 'kv:m:layer_' || doc_id % 4 || ':' || sha256(text) || ':t' AS layer_key, (doc_id % 4)::INT AS layer,
+ CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE sha256(text) || '.mamba' END AS pool_key FROM documents WHERE text IS NOT NULL""")
+def cache_keys(spark, sf):
+    d = parquet(spark, sf, "documents").where("text is not null").withColumn("h", F.sha2("text", 256))
+    d = d.withColumn("key", formats.layer_key(F.lit("m"), F.col("doc_id") % 4, F.col("h"), F.lit("t"))).withColumn("r", formats.split_ranges(F.col("n_chars"), F.lit(3)))
+    pool = F.when(F.col("doc_id") % 2 == 0, "kv").otherwise("mamba")
+    return d.select("doc_id", F.col("r")[0]["length"].alias("each"), F.col("r")[2]["length"].alias("last"), F.col("key").alias("layer_key"), formats.parsed_layer_key(F.col("key"))["layer"].alias("layer"), formats.pool_key(F.col("h"), pool).alias("pool_key"))
+
+
+@query("""WITH v AS (SELECT event_id // 10 AS sample, event_id % 10 AS node, user_id % 2 AS leader, user_id % 4 // 2 AS term, event_type <> 'error' AS up, event_id // 20 - event_id % 3 AS generation FROM events),
+h AS (SELECT sample, max(max(generation)) OVER (ORDER BY sample) AS highest FROM v GROUP BY sample)
+SELECT v.sample, count(*) FILTER (up) AS reachable, count(DISTINCT (leader, term)) FILTER (up) = 1 AS agree, highest, count(*) FILTER (generation = highest) AS agreeing, count(*) AS nodes FROM v JOIN h USING (sample) GROUP BY v.sample, highest""")
+def cluster_agreement(spark, sf):
+    e = parquet(spark, sf, "events")
+    v = e.select(
+        F.expr("event_id div 10").alias("sample"), (F.col("event_id") % 10).alias("node_id"), (F.col("user_id") % 2).alias("leader"), F.expr("user_id % 4 div 2").alias("term"),
+        (F.col("event_type") != "error").alias("reachable"), (F.expr("event_id div 20") - F.col("event_id") % 3).alias("generation"),
+    )
+    return metrics.leader_consensus(v).join(metrics.convergence(v), "sample")
+
+
+@query("""WITH w AS (SELECT o_orderkey AS write_id, o_orderkey % 50 AS at FROM orders), a AS (SELECT l_orderkey AS write_id, l_suppkey AS node_id, l_orderkey % 50 + l_linenumber AS at FROM lineitem)
+SELECT write_id, count(DISTINCT node_id) FILTER (a.at >= w.at AND a.at - w.at <= 3) AS acks, count(DISTINCT node_id) FILTER (a.at >= w.at AND a.at - w.at <= 3) >= 2 AS accepted FROM w LEFT JOIN a USING (write_id) GROUP BY ALL""")
+def write_acks(spark, sf):
+    w = parquet(spark, sf, "orders").select(F.col("o_orderkey").alias("write_id"), (F.col("o_orderkey") % 50).alias("at"))
+    a = parquet(spark, sf, "lineitem").select(F.col("l_orderkey").alias("write_id"), F.col("l_suppkey").alias("node_id"), (F.col("l_orderkey") % 50 + F.col("l_linenumber")).alias("at"))
+    return metrics.acknowledged(w, a, 2, 3)
+
+
+@query()
+def lru_replay(spark, sf):
+    a = accesses_of(spark, sf)
+    rows = a.select(hashing.shard_of(F.col("key"), 16).alias("shard"), F.col("event_id").alias("at"), "key", (F.col("event_id") % 500 + 1).alias("size"))
+    return kvlog.lru_replay(rows, 2000)
