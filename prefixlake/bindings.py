@@ -88,7 +88,7 @@ def nodes_of(spark: SparkSession, n: int) -> DataFrame:
 
 def fnv_sql(key: str) -> str:
     return (
-        f"list_reduce(list_transform(range(1, 1 + octet_length(encode({key}))), lambda i: ('0x' || substr(hex(encode({key})), (2 * i - 1)::BIGINT, 2))::UHUGEINT), "
+        f"list_reduce(list_transform(range(1, 1 + octet_length(encode({key}))), lambda at_: ('0x' || substr(hex(encode({key})), (2 * at_ - 1)::BIGINT, 2))::UHUGEINT), "
         "lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT)"
     )
 
@@ -96,9 +96,9 @@ def fnv_sql(key: str) -> str:
 def mixed_sql(x: str, name: str, source: str, keep: str) -> str:
     """CTEs that add `name`, the mix of column x, to source's columns."""
     m = "18446744073709551616::UHUGEINT"
-    return f"""{name}_a AS (SELECT {keep}, (xor({x}, {x} >> 30) * 13787848793156543929::UHUGEINT) % {m} AS z FROM {source}),
-{name}_b AS (SELECT {keep}, (xor(z, z >> 27) * 10723151780598845931::UHUGEINT) % {m} AS z FROM {name}_a),
-{name} AS (SELECT {keep}, xor(z, z >> 31) AS {name}_v FROM {name}_b)"""
+    return f"""{name}_a AS (SELECT {keep}, (xor({x}, {x} // 1073741824::UHUGEINT) * 13787848793156543929::UHUGEINT) % {m} AS z FROM {source}),
+{name}_b AS (SELECT {keep}, (xor(z, z // 134217728::UHUGEINT) * 10723151780598845931::UHUGEINT) % {m} AS z FROM {name}_a),
+{name} AS (SELECT {keep}, xor(z, z // 2147483648::UHUGEINT) AS {name}_v FROM {name}_b)"""
 
 
 def owners_sql(name: str, n: int, replicas: int) -> str:

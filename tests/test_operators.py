@@ -50,7 +50,7 @@ def test_guard_facts(spark):
     texts = [(1, "Never delete Production data. Don't touch GitHub before 5pm"), (2, "run --dry-run on prod\n- Alice said: Bob a_b"), (3, "")]
     got = {r.k: r for r in guard.facts(spark.createDataFrame(texts, "k int, t string"), "k", "t").collect()}
     assert got[1].polarity == {"NEG": 2, "BEFORE": 1} and got[1].entities == ["name:GitHub", "num:5pm", "val:Production"]
-    assert got[2].polarity == {} and got[2].entities == ["flag:--dry-run", "id:a_b", "val:prod"]
+    assert got[2].polarity == {} and got[2].entities == ["flag:--dry-run", "id:a_b", "name:Alice", "val:prod"]
     assert got[3].entities == []
 
 
