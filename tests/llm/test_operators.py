@@ -1,0 +1,285 @@
+"""The corpus operators against brute force, over small tables with hard cases."""
+
+import collections
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from prefixlake.llm import encode, jaccard, lm, mixing, packing, quality, sharding, suffixes, tokens, topk, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def texts(seed=4, n=120):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefé") for _ in range(r.randint(1, 7)))
+    base = [[word() for _ in range(r.randint(5, 120))] for _ in range(12)]
+    out = [None, "", " \t\n", "one", "one two", "One  TWO", "a\x00b", "x" * 700, ("ab " * 300).strip(), "line\n" * 60]
+    for _ in range(n):
+        w = list(r.choice(base))
+        for _ in range(r.choice([0, 0, 1, 2, 8])):
+            w[r.randrange(len(w))] = word()
+        out.append(r.choice([" ", "\n", "  "]).join(w) + r.choice(["", " end", "\r\n"]))
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    out = [(i, t, "en" if i % 2 else None, None if i % 7 == 0 else f"s{i % 3 if i % 5 else 0}", len(t or "")) for i, t in enumerate(texts())]
+    return out + [(5, "one two", "en", "s1", 7), (5, "one two", "en", "s1", 7)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_topk(spark):
+    r = np.random.default_rng(1)
+    v = [(i, [float(x) for x in np.round(r.normal(size=16) * 0.3, 2)]) for i in range(160)] + [(200, None), (201, [1.0, None]), (202, [float("nan")] * 16), (150, [0.1] * 16), (7, [0.5] * 16)]
+    good = [(i, np.floor(256 * np.array(x, float)).astype(int)) for i, x in v if i < 200]
+    want = set()
+    for q, a in {(i, tuple(x)) for i, x in good if i % 50 == 0}:
+        best = sorted((-int(np.dot(a, x)), i) for i, x in good if i != q)[:5]
+        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)} if q != 150 else set()
+    df = topk.quantised(spark.createDataFrame(v, "vec_id long, embedding array<double>"))
+    got = {tuple(x) for x in topk.top_k(df, df.where("vec_id % 50 = 0 and vec_id <> 150"), block=40, query_block=2).collect()}
+    assert got == want
+    assert topk.digest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def repeats(all_texts, length):
+    seen = collections.defaultdict(list)
+    for d, t in enumerate(all_texts):
+        for p in range(len(t) - length + 1):
+            seen[t[p : p + length]].append((d, p))
+    marks = [np.zeros(len(t), bool) for t in all_texts]
+    for v in seen.values():
+        for d, p in v if len(v) > 1 else ():
+            marks[d][p : p + length] = True
+    return marks
+
+
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_suffixes(docs, none, rows, hot, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "LOCAL_HOT", 64 if hot > 2 else 1)
+    data = [(r[1] or "").encode() for r in rows]
+    want = collections.Counter()
+    for r, t, m in zip(rows, data, repeats(data, 60)):
+        spans = int(m[:1].sum() + (m[1:] & ~m[:-1]).sum())
+        want[(r[0], len(t), int(m.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~m].tobytes()).hexdigest())] += 1
+    got = suffixes.remove_repeats(docs.withColumn("n_bytes", F.lit("own")), length=60, keep_text=True)
+    assert collections.Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got.collect()) == want
+    assert got.where("doc_id = 0").first()["text"] is None
+    assert suffixes.digest(none).count() == 0
+
+
+def test_toxicity(spark, none):
+    r = random.Random(2)
+    bad, good = ["vilebo", "vilexa", "vileum"], [f"w{i}" for i in range(80)]
+    data = []
+    for i in range(900):
+        w = [r.choice(good) for _ in range(r.randint(3, 60))]
+        y = i % 3 == 0
+        if y:
+            w[r.randrange(len(w))] = r.choice(bad)
+        data.append((i, " ".join(w), "en", "s", 0, int(y)))
+    d = spark.createDataFrame([x[:5] for x in data] + [(1000, None, None, None, None), (1001, "", "en", None, None)], DOCS)
+    labels = spark.createDataFrame([(x[0], x[5]) for x in data] + [(3000, 1), (1, None)], "doc_id long, toxic int")
+    model, cuts = toxicity.learn(d, labels)
+    got = {x.doc_id: x.tox_score for x in toxicity.scored(d.withColumn("tox_score", F.lit(1)), model).collect()}
+    held = [x for x in data if zlib.crc32(str(x[0]).encode()) % 4 == 2]
+    assert np.mean([(got[x[0]] >= 0.3) == (x[5] == 1) for x in held]) > 0.97
+    assert all(0 <= s <= 1 for s in got.values()) and got[1000] == got[1001]
+    kept = {x.doc_id for x in toxicity.filtered(d, labels).collect()}
+    assert {1000, 1001} <= kept and np.mean([(x[0] in kept) == (x[5] == 0) for x in held]) > 0.97
+    assert toxicity.filtered(none, labels.limit(0)).count() == 0
+
+
+def components(rows):
+    sets = []
+    for r in rows:
+        w = (r[1] or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)]) if w else frozenset())
+    head = list(range(len(sets)))
+
+    def find(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 90 * len(a | sets[j]):
+                head[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return [(r[0], len(sets[i]), least[find(i)]) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("size", [4096, 5])
+def test_jaccard(docs, none, rows, size, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIST", size)
+    want = components(rows)
+    assert collections.Counter(tuple(x) for x in jaccard.digest(docs).collect()) == collections.Counter(want)
+    if size > 5:
+        kept = jaccard.representatives(docs.withColumn("component_id", F.lit("own")))
+        assert kept.columns == [*docs.columns, "component_id"]
+        assert kept.count() == len({x[2] for x in want if x[1]}) + sum(x[1] == 0 for x in want)
+        assert jaccard.digest(none).count() == 0
+
+
+def test_multikey_sort():
+    r = np.random.default_rng(3)
+    words = r.integers(0, 3, (300, 4)).astype(np.uint64) << np.uint64(56)
+    order, lcp = suffixes.multikey_sort(words)
+    raw = [words[i].astype(">u8").tobytes() for i in order]
+    assert raw == sorted(raw)
+    for a, b, n in zip(raw, raw[1:], lcp[1:]):
+        assert n == next((i for i in range(32) if a[i] != b[i]), 32)
+
+
+def test_quality_base(docs, rows):
+    got = {(x.doc_id, x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) for x in quality.statistics(docs).collect()}
+    want = set()
+    for r in rows:
+        t = r[1] or ""
+        w = t.encode().split()
+        seen = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        hit = {j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        lines, dup = set(), 0
+        for line in t.split("\n"):
+            if line.encode().split():
+                dup += line in lines
+                lines.add(line)
+        want.add((r[0], len(w), sum(len(x.decode()) for x in w), sum(t.count(c) for c in "#*$%&|<>"), dup, len(hit)))
+    assert got == want
+
+
+def test_quality_rules_find_planted_thresholds(spark, none):
+    rows = [(i, *[float((i * k) % 17) for k in range(1, len(quality.FEATURES) + 1)], int((i * 2) % 17 <= 10), i % 3) for i in range(600)]
+    df = spark.createDataFrame(rows, ["doc_id", *quality.FEATURES, "good", "fold"])
+    rules = quality.learn(df)
+    assert rules
+    wrong = df.where(quality.verdict(rules) != (F.col("good") == 1)).count()
+    assert wrong < 30
+    assert quality.judged(none, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
+def test_sharding(docs, none, rows):
+    got = sharding.digest(docs).collect()
+    by = collections.defaultdict(list)
+    for x in got:
+        by[x.shard].append(x)
+    assert len(got) == len(rows) and set(by) == set(range(8))
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert all(sorted(x.slot for x in v) == list(range(len(v))) for v in by.values())
+    whole = collections.Counter(x.source for x in got)
+    for v in by.values():
+        own = collections.Counter(x.source for x in v)
+        assert all(abs(own[s] - n / 8) <= 2 for s, n in whole.items())
+    assert sharding.digest(none).count() == 0
+
+
+def test_tokens_round_trip(spark, docs, none, rows, tmp_path):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    ids = {r[0]: [*t.encode(r[1] or "", add_special_tokens=False).ids, 0] for r in rows}
+    got = sorted(tokens.digest(docs).collect(), key=lambda x: (x.start))
+    at = 0
+    for x in got:
+        assert (x.start, x.n_tokens, x.ids_crc32) == (at, len(ids[x.doc_id]), zlib.crc32(np.array(ids[x.doc_id], "<u4").tobytes()))
+        at += x.n_tokens
+    assert [x.doc_id for x in got] == sorted(r[0] for r in rows)
+    tokens.write(docs, str(tmp_path / "t"))
+    block = tokens.Block(bytes(spark.read.schema(tokens.FILE).parquet(str(tmp_path / "t")).first()["payload"]))
+    for k in (0, len(block.doc_ids) - 1):
+        assert block.decode(k).tolist() == ids[block.doc_ids[k]]
+    assert tokens.digest(none).count() == 0
+
+
+def test_packing(docs, none, rows):
+    got = packing.pack(docs, length=64).collect()
+    total = sum(x.length for x in got)
+    spans, seqs = collections.defaultdict(list), collections.defaultdict(list)
+    for x in got:
+        spans[x.doc_id].append((x.start, x.length, x.doc_tokens))
+        seqs[x.sequence_id].append((x.offset, x.length))
+    for r in rows:
+        if r[0] != 5:
+            at = 0
+            for s, n, _ in sorted(spans[r[0]]):
+                assert s == at
+                at += n
+            assert at == spans[r[0]][0][2]
+    for v in seqs.values():
+        at = 0
+        for o, n in sorted(v):
+            assert o == at
+            at += n
+        assert at <= 64
+    assert len(seqs) <= total / 64 * 1.1 + 4
+    assert packing.digest(none).count() == 0
+    assert encode.encode([None], encode.WORD_BPE, 1)[0].tolist() == [1]
+
+
+def test_mixing(docs, none, rows):
+    got = mixing.digest(docs).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.digest(docs).collect()), key=repr)
+    size = collections.Counter()
+    for r in rows:
+        size[r[3]] += len((r[1] or "").encode().split())
+    taken = collections.Counter()
+    for x in got:
+        assert x.source_size == size[x.source] and x.target <= 2 * x.source_size + 1e-6 and x.taken <= 2 * x.size
+        taken[x.source] += x.taken
+    goal = {x.source: x.target for x in got}
+    assert abs(sum(goal.values()) - 1.5 * sum(size.values())) < 1e-6
+    assert all(abs(taken[s] - goal[s]) <= 130 for s in goal)
+    assert mixing.emitted(mixing.mix(docs.withColumn("copies", F.lit("own")))).select("text").count() == sum(x.copies for x in got)
+    assert mixing.digest(none).count() == 0
+
+
+def test_lm(docs, none, rows):
+    got = lm.digest(docs).collect()
+    count = collections.Counter()
+    for r in rows:
+        if zlib.crc32(str(r[0]).encode()) % 5 != 1:
+            count.update([*(r[1] or "").encode().lower().split(), None])
+    n, v = sum(count.values()), len(count)
+    text = {r[0]: r[1] for r in rows}
+    for x in got:
+        toks = [*(text[x.doc_id] or "").encode().lower().split(), None]
+        assert x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 1)
+        assert (x.n_tokens, x.n_known, x.train_tokens) == (len(toks), sum(t in count for t in toks), n)
+        assert abs(x.base_score - sum(np.log10((count[t] + 0.5) / (n + 0.5 * (v + 1))) for t in toks)) < 1e-6
+    held = [x for x in got if x.held_out]
+    assert sum(x.score for x in held) > sum(x.base_score for x in held)
+    assert lm.digest(none).count() == 0
+
+
+def test_pipeline_stages(spark, docs, none):
+    import corpus_pipeline as p
+
+    assert [n for n, _ in p.STAGES] == ["toxicity", "jaccard_join", "suffix_dedup", "mixing", "packing"]
+    for start in (docs, none):
+        at = start
+        for name, f in p.STAGES:
+            at = f(spark, at, "/root/testdata/sf0.001")
+            if name != "packing":
+                assert at.columns == docs.columns
+        assert (at.count() > 0) == (start is docs)
