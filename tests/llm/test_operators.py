@@ -198,17 +198,19 @@ def test_tokens_round_trip(spark, docs, none, rows, tmp_path):
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
-    ids = {r[0]: [*t.encode(r[1] or "", add_special_tokens=False).ids, 0] for r in rows}
+    ids = collections.defaultdict(list)
+    for r in rows:
+        ids[r[0]].append([*t.encode(r[1] or "", add_special_tokens=False).ids, 0])
     got = sorted(tokens.digest(docs).collect(), key=lambda x: (x.start))
     at = 0
     for x in got:
-        assert (x.start, x.n_tokens, x.ids_crc32) == (at, len(ids[x.doc_id]), zlib.crc32(np.array(ids[x.doc_id], "<u4").tobytes()))
+        assert x.start == at and (x.n_tokens, x.ids_crc32) in {(len(y), zlib.crc32(np.array(y, "<u4").tobytes())) for y in ids[x.doc_id]}
         at += x.n_tokens
     assert [x.doc_id for x in got] == sorted(r[0] for r in rows)
     tokens.write(docs, str(tmp_path / "t"))
     block = tokens.Block(bytes(spark.read.schema(tokens.FILE).parquet(str(tmp_path / "t")).first()["payload"]))
     for k in (0, len(block.doc_ids) - 1):
-        assert block.decode(k).tolist() == ids[block.doc_ids[k]]
+        assert block.decode(k).tolist() in ids[block.doc_ids[k]]
     assert tokens.digest(none).count() == 0
 
 
