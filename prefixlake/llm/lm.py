@@ -2,9 +2,11 @@
 
 Texts are turned into chunks of word numbers once. Exact word counts come from all training
 chunks and go back to each chunk for its own vocabulary. Bigram counts are summed by ranges of
-their hash, quantised on a log scale, and level by level set in a Bloom filter of fixed size, one
-segment a range: an n-gram of level q is a member at every level up to q. The filter is broadcast;
-a count is read back by probing levels upward until one is missing.
+their hash, quantised on a log scale, and level by level set in a Bloom filter: an n-gram of level q
+is a member at every level up to q. Every bigram counts: there is a segment for each range, each
+with bits for all its entries, and the number of ranges grows with the training tokens. The filter
+is broadcast while all segments together stay under a bound; beyond it the probes go to the segments,
+joined by range. Either way a count is read back by probing levels upward until one is missing.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 from prefixlake.llm.common import id_fold, written
 
-#: Bits of the whole filter (16 MB, whatever the corpus), bits an entry, probes a level, levels a doubling.
-BITS, PER_ENTRY, PROBES, STEPS = 1 << 27, 10, 4, 2
+#: Largest filter that is broadcast, in bytes; a larger one is joined with its probes.
+BROADCAST = 64_000_000
+#: Bits an entry, probes a level, levels a doubling.
+PER_ENTRY, PROBES, STEPS = 10, 4, 2
 #: Bytes of text of a chunk, training tokens of a range of hashes.
 CHUNK, RANGE = 24_000_000, 2_000_000
 #: Share of the bigram estimate in a probability.
@@ -149,73 +153,108 @@ def spots(keys: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
         a = a + b
 
 
-def segment(keys: np.ndarray, counts: np.ndarray, bits: int) -> tuple[int, bytes]:
-    """The lowest level held, and the bits: rarer n-grams are left out as far as the fixed size asks for it."""
+def segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """The bits of a range's n-grams, in number by their entries: one for each n-gram and level."""
     q = levels(counts)
-    low, top = 0, int(q.max(initial=0))
-    while low <= top and np.maximum(q - low + 1, 0).sum() * PER_ENTRY > bits:
-        low += 1
+    bits = -(-int((q + 1).sum()) * PER_ENTRY // 64) * 64
     out = np.zeros(bits, bool)
-    for level in range(low, top + 1):
+    for level in range(int(q.max()) + 1):
         for spot in spots(keys[q >= level], level, bits):
             out[spot] = True
-    return low, np.packbits(out).tobytes()
-
-
-def count_of(keys: np.ndarray, low: np.ndarray, bits: int, table: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Counts by probing: 0 for what isn't held, else the middle of the highest level reached."""
-    out = np.zeros(len(keys))
-    for first in np.unique(low):
-        alive, level = np.flatnonzero(low == first), int(first)
-        while len(alive) and level <= 64 * STEPS:
-            for k in range(PROBES):
-                a = mix(keys[alive] + np.uint64(level * 2654435761 + 1))
-                at = base[alive] * bits + ((a + np.uint64(k) * (mix(a) | np.uint64(1))) % np.uint64(bits)).astype(np.int64)
-                alive = alive[(table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
-            out[alive] = 2 ** ((level + 0.5) / STEPS) if level else 1.0
-            level += 1
+    return np.packbits(out).tobytes()
+
+
+def found(keys: np.ndarray, table: np.ndarray, base: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Levels reached by probing, counted from 1; 0 for what isn't held. base and bits: where each key's segment starts in table, and its size."""
+    out = np.zeros(len(keys), np.uint8)
+    alive, level = np.flatnonzero(bits > 0), 0
+    while len(alive) and level < 64 * STEPS:
+        for k in range(PROBES):
+            a = mix(keys[alive] + np.uint64(level * 2654435761 + 1))
+            at = base[alive] + ((a + np.uint64(k) * (mix(a) | np.uint64(1))) % bits[alive].astype(np.uint64)).astype(np.int64)
+            alive = alive[(table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+        level += 1
+        out[alive] = level
     return out
 
 
-def bloom(table: DataFrame, ranges: int, bits: int) -> DataFrame:
-    """range, lowest level and bits of each segment; bits a segment: bits / ranges."""
-    shift, each = np.uint64(64 - (ranges.bit_length() - 1)), bits // ranges
+def count_of(reached: np.ndarray) -> np.ndarray:
+    """Counts from levels: none, one, or the middle of the highest level reached."""
+    return np.where(reached > 1, 2 ** ((reached - 0.5) / STEPS), reached.astype(float))
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def located(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The range of each key, and 40 bits below those of the range that tell keys apart."""
+    bits = np.uint64(ranges.bit_length() - 1)
+    part = (keys >> (np.uint64(64) - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    return part, (keys << bits) >> np.uint64(24)
+
+
+def five_bytes(rest: np.ndarray) -> bytes:
+    return rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def from_five(held: bytes) -> np.ndarray:
+    out = np.zeros((len(held) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(held, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def by_range(table: DataFrame, ranges: int, train: bool) -> DataFrame:
+    """For each chunk and range: the distinct bigrams in order, and their counts; of training texts, or of all."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for flags, lens, stream, hashes in zip(*[batch.column(c).to_pylist() for c in ("flags", "lens", "stream", "hashes")]):
+            for chunk, flags, lens, stream, hashes in zip(*[batch.column(c).to_pylist() for c in ("chunk", "flags", "lens", "stream", "hashes")]):
                 flags, lens = np.frombuffer(flags, np.uint8), np.frombuffer(lens, np.int32)
                 key = pairs(np.frombuffer(hashes, np.uint64), np.frombuffer(stream, np.int32), lens)
-                key, n = np.unique(key[np.repeat(flags & 1 == 0, lens)], return_counts=True)
+                key, n = np.unique(key[np.repeat(flags & 1 == 0, lens)] if train else key, return_counts=True)
                 if not len(key):
                     continue
-                part = (key >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(key), np.int64)
+                part, rest = located(key, ranges)
                 cuts = np.flatnonzero(np.diff(part)) + 1
-                for p, k, c in zip(np.split(part, cuts), np.split(key, cuts), np.split(n, cuts)):
-                    # Keys are told apart by 40 bits below those of their range.
-                    rest = (k << (np.uint64(64) - shift) if ranges > 1 else k) >> np.uint64(24)
-                    five = rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                    yield pa.RecordBatch.from_pylist([{"range": int(p[0]), "keys": five.tobytes(), "counts": c.astype("<u4").tobytes()}])
+                for p, k, c in zip(np.split(part, cuts), np.split(rest, cuts), np.split(n, cuts)):
+                    yield pa.RecordBatch.from_pylist(
+                        [{"range": int(p[0]), "chunk": chunk, "keys": five_bytes(k), "counts": c.astype("<u4").tobytes() if train else None}]
+                    )
+
+    return table.select("chunk", "flags", "lens", "stream", "hashes").mapInArrow(cut, "range long, chunk long, keys binary, counts binary")
+
+
+def bloom(table: DataFrame, ranges: int) -> DataFrame:
+    """range and bits of each segment, written. A segment holds the bigrams of about RANGE tokens at most, each counted once a chunk."""
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        five = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 5) for x in pdf["keys"]])
-        keys = np.zeros((len(five), 8), np.uint8)
-        keys[:, :5] = five
         n = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["counts"]])
-        keys, at = np.unique(keys.view("<u8").ravel(), return_inverse=True)
-        low, held = segment(keys, np.bincount(at, weights=n), each)
-        return pd.DataFrame({"range": [int(pdf["range"].iloc[0])], "low": [low], "bits": [held]})
+        keys, at = np.unique(from_five(b"".join(pdf["keys"])), return_inverse=True)
+        return pd.DataFrame({"range": [int(pdf["range"].iloc[0])], "bits": [segment(keys, np.bincount(at, weights=n))]})
+
+    rows = by_range(table, ranges, True).drop("chunk")
+    return written(rows.groupBy("range").applyInPandas(merged, "range long, bits binary"), "bloom")
+
+
+def joined(table: DataFrame, filters: DataFrame, ranges: int) -> DataFrame:
+    """For each chunk and range: the levels of its distinct bigrams in order, probed where the segment is."""
+
+    def probed(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        bits = np.frombuffer(held["bits"].iloc[0], np.uint8) if len(held) else np.zeros(0, np.uint8)
+        out = []
+        for keys in asked["keys"]:
+            rest = from_five(keys)
+            out.append(found(rest, bits, np.zeros(len(rest), np.int64), np.full(len(rest), 8 * len(bits))).tobytes())
+        return pd.DataFrame({"chunk": asked["chunk"], "range": asked["range"], "levels": out})
 
-    rows = table.select("flags", "lens", "stream", "hashes").mapInArrow(counted, "range long, keys binary, counts binary")
-    return rows.groupBy("range").applyInPandas(merged, "range long, low long, bits binary")
+    asked = by_range(table, ranges, False).drop("counts")
+    return asked.groupBy("range").cogroup(filters.groupBy("range")).applyInPandas(probed, "chunk long, range long, levels binary")
 
 
-def score(docs: DataFrame, bits: int = BITS) -> DataFrame:
+def score(docs: DataFrame, broadcast_bytes: int = BROADCAST) -> DataFrame:
     """docs (doc_id, text, held_out) to one row each: n_tokens, n_known, train_tokens, base_score, score.
 
     Words are split at ASCII blanks and lower-cased A-Z; an end follows each text, so null and
     empty texts have one token. Rows with the same id are scored each on their own. If every text
-    is held out all words are unknown; an empty table gives no rows.
+    is held out all words are unknown; an empty table gives no rows. broadcast_bytes decides how the
+    filter meets its probes, not what it holds: scores are the same either way.
     """
     spark = docs.sparkSession
     table = chunks(docs)
@@ -223,13 +262,20 @@ def score(docs: DataFrame, bits: int = BITS) -> DataFrame:
     ranges = 1 << max(0, (max(1, n_train) // RANGE).bit_length())
     counts = word_counts(table)
     n_distinct = counts.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
-    each = bits // ranges
-    filter_bits, low = np.zeros((ranges, each // 8), np.uint8), np.full(ranges, 1 << 20, np.int64)
-    for r in bloom(table, ranges, bits).toLocalIterator():  # ranges * each = bits: the fixed size
-        filter_bits[r["range"]] = np.frombuffer(r["bits"], np.uint8)
-        low[r["range"]] = r["low"]
-    sent = spark.sparkContext.broadcast((filter_bits.ravel(), low))
-    shift = np.uint64(64 - (ranges.bit_length() - 1))
+    filters = bloom(table, ranges)
+    n_bytes = filters.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("n")).first()["n"]
+    sent, sides = None, counts.select("chunk", "places", "totals", F.lit(None).cast("long").alias("range"), F.lit(None).cast("binary").alias("levels"))
+    if n_bytes <= broadcast_bytes:
+        held, base, bits = np.zeros(n_bytes, np.uint8), np.zeros(ranges, np.int64), np.zeros(ranges, np.int64)
+        at = 0
+        for r in filters.toLocalIterator():
+            held[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+            base[r["range"]], bits[r["range"]] = 8 * at, 8 * len(r["bits"])
+            at += len(r["bits"])
+        sent = spark.sparkContext.broadcast((held, base, bits))
+    else:
+        none = F.lit(None).cast("binary")
+        sides = sides.unionByName(joined(table, filters, ranges).select("chunk", none.alias("places"), none.alias("totals"), "range", "levels"))
     below = np.log10(n_train + 0.5 * (n_distinct + 1))
 
     def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -238,20 +284,26 @@ def score(docs: DataFrame, bits: int = BITS) -> DataFrame:
             stream, lens = np.frombuffer(row["stream"], np.int32), np.frombuffer(row["lens"], np.int32)
             hashes, flags = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["flags"], np.uint8)
             total = np.zeros(len(hashes), np.int64)
-            for places, totals in zip(right["places"], right["totals"]):
+            known = right[right["places"].notna()]
+            for places, totals in zip(known["places"], known["totals"]):
                 total[np.frombuffer(places, np.int32)] = np.frombuffer(totals, np.int64)
             log_base = np.log10(total + 0.5) - below
             starts = np.cumsum(lens) - lens
-            table, lowest = sent.value
             logs = np.empty(len(stream))
+            if sent is None:
+                distinct = np.unique(pairs(hashes, stream, lens))
+                reached = np.frombuffer(b"".join(right[right["levels"].notna()].sort_values("range")["levels"]), np.uint8)
             # Documents in runs of about 500,000 tokens, to bound memory.
             runs = np.flatnonzero(np.diff(starts // 500_000, prepend=-1))
             for a, b in zip(runs, [*runs[1:], len(lens)]):
                 lo, hi = starts[a], starts[b - 1] + lens[b - 1]
                 key = pairs(hashes, stream[lo:hi], lens[a:b])
-                part = (key >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(key), np.int64)
-                rest = (key << (np.uint64(64) - shift) if ranges > 1 else key) >> np.uint64(24)
-                seen = count_of(rest, lowest[part], each, table, part)
+                if sent is None:
+                    seen = count_of(reached[np.searchsorted(distinct, key)])
+                else:
+                    held, base, bits = sent.value
+                    part, rest = located(key, ranges)
+                    seen = count_of(found(rest, held, base[part], bits[part]))
                 before = np.empty(hi - lo, np.int64)
                 before[1:] = total[stream[lo : hi - 1]]
                 before[starts[a:b] - lo] = total[0]
@@ -275,7 +327,7 @@ def score(docs: DataFrame, bits: int = BITS) -> DataFrame:
         return pd.concat(out)
 
     schema = "doc_id long, _null boolean, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    rows = table.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInPandas(scored, schema)
+    rows = table.groupBy("chunk").cogroup(sides.groupBy("chunk")).applyInPandas(scored, schema)
     return rows.withColumn("doc_id", F.when(~F.col("_null"), F.col("doc_id"))).drop("_null")
 
 
