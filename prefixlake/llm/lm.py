@@ -4,9 +4,10 @@ Texts are turned into chunks of word numbers once. Exact word counts come from a
 chunks and go back to each chunk for its own vocabulary. Bigram counts are summed by ranges of
 their hash, quantised on a log scale, and level by level set in a Bloom filter: an n-gram of level q
 is a member at every level up to q. Every bigram counts: there is a segment for each range, each
-with bits for all its entries, and the number of ranges grows with the training tokens. The filter
-is broadcast while all segments together stay under a bound; beyond it the probes go to the segments,
-joined by range. Either way a count is read back by probing levels upward until one is missing.
+with bits for all its entries, and the number of ranges grows with the training tokens. A filter of
+the whole corpus is thus too large to be broadcast; the probes of all chunks go to the range's task
+together with the counts, in one shuffle. A count is read back by probing levels upward until one is
+missing, and only levels go back to the chunks.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from pyspark.sql import functions as F
 
 from prefixlake.llm.common import id_fold, written
 
-#: Largest filter that is broadcast, in bytes; a larger one is joined with its probes.
-BROADCAST = 64_000_000
 #: Bits an entry, probes a level, levels a doubling.
 PER_ENTRY, PROBES, STEPS = 10, 4, 2
 #: Bytes of text of a chunk, training tokens of a range of hashes.
@@ -158,21 +157,21 @@ def segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
     q = levels(counts)
     bits = -(-int((q + 1).sum()) * PER_ENTRY // 64) * 64
     out = np.zeros(bits, bool)
-    for level in range(int(q.max()) + 1):
+    for level in range(int(q.max(initial=-1)) + 1):
         for spot in spots(keys[q >= level], level, bits):
             out[spot] = True
     return np.packbits(out).tobytes()
 
 
-def found(keys: np.ndarray, table: np.ndarray, base: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Levels reached by probing, counted from 1; 0 for what isn't held. base and bits: where each key's segment starts in table, and its size."""
-    out = np.zeros(len(keys), np.uint8)
-    alive, level = np.flatnonzero(bits > 0), 0
+def found(keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """Levels reached by probing a segment, counted from 1; 0 for what isn't held."""
+    out, bits = np.zeros(len(keys), np.uint8), np.uint64(8 * len(segment))
+    alive, level = np.arange(len(keys) if bits else 0), 0
     while len(alive) and level < 64 * STEPS:
         for k in range(PROBES):
             a = mix(keys[alive] + np.uint64(level * 2654435761 + 1))
-            at = base[alive] + ((a + np.uint64(k) * (mix(a) | np.uint64(1))) % bits[alive].astype(np.uint64)).astype(np.int64)
-            alive = alive[(table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+            at = ((a + np.uint64(k) * (mix(a) | np.uint64(1))) % bits).astype(np.int64)
+            alive = alive[(segment[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
         level += 1
         out[alive] = level
     return out
@@ -200,61 +199,40 @@ def from_five(held: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def by_range(table: DataFrame, ranges: int, train: bool) -> DataFrame:
-    """For each chunk and range: the distinct bigrams in order, and their counts; of training texts, or of all."""
+def probed_levels(table: DataFrame, ranges: int) -> DataFrame:
+    """For each chunk and range: the levels of the chunk's distinct bigrams in order.
+
+    A range's task gets each bigram once a chunk, with its training count there (0: held out only),
+    builds the segment of the filter and probes it chunk by chunk.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, flags, lens, stream, hashes in zip(*[batch.column(c).to_pylist() for c in ("chunk", "flags", "lens", "stream", "hashes")]):
-                flags, lens = np.frombuffer(flags, np.uint8), np.frombuffer(lens, np.int32)
-                key = pairs(np.frombuffer(hashes, np.uint64), np.frombuffer(stream, np.int32), lens)
-                key, n = np.unique(key[np.repeat(flags & 1 == 0, lens)] if train else key, return_counts=True)
-                if not len(key):
-                    continue
+                train, lens = np.frombuffer(flags, np.uint8) & 1 == 0, np.frombuffer(lens, np.int32)
+                key, at = np.unique(pairs(np.frombuffer(hashes, np.uint64), np.frombuffer(stream, np.int32), lens), return_inverse=True)
+                n = np.bincount(at[np.repeat(train, lens)], minlength=len(key))
                 part, rest = located(key, ranges)
                 cuts = np.flatnonzero(np.diff(part)) + 1
                 for p, k, c in zip(np.split(part, cuts), np.split(rest, cuts), np.split(n, cuts)):
-                    yield pa.RecordBatch.from_pylist(
-                        [{"range": int(p[0]), "chunk": chunk, "keys": five_bytes(k), "counts": c.astype("<u4").tobytes() if train else None}]
-                    )
-
-    return table.select("chunk", "flags", "lens", "stream", "hashes").mapInArrow(cut, "range long, chunk long, keys binary, counts binary")
-
-
-def bloom(table: DataFrame, ranges: int) -> DataFrame:
-    """range and bits of each segment, written. A segment holds the bigrams of about RANGE tokens at most, each counted once a chunk."""
+                    yield pa.RecordBatch.from_pylist([{"range": int(p[0]), "chunk": chunk, "keys": five_bytes(k), "counts": c.astype("<u4").tobytes()}])
 
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    def probed(pdf: pd.DataFrame) -> pd.DataFrame:
         n = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["counts"]])
-        keys, at = np.unique(from_five(b"".join(pdf["keys"])), return_inverse=True)
-        return pd.DataFrame({"range": [int(pdf["range"].iloc[0])], "bits": [segment(keys, np.bincount(at, weights=n))]})
+        keys, at = np.unique(from_five(b"".join(pdf["keys"]))[n > 0], return_inverse=True)
+        bits = np.frombuffer(segment(keys, np.bincount(at, weights=n[n > 0])), np.uint8)
+        return pd.DataFrame({"chunk": pdf["chunk"], "range": pdf["range"], "levels": [found(from_five(x), bits).tobytes() for x in pdf["keys"]]})
 
-    rows = by_range(table, ranges, True).drop("chunk")
-    return written(rows.groupBy("range").applyInPandas(merged, "range long, bits binary"), "bloom")
+    rows = table.select("chunk", "flags", "lens", "stream", "hashes").mapInArrow(cut, "range long, chunk long, keys binary, counts binary")
+    return rows.groupBy("range").applyInPandas(probed, "chunk long, range long, levels binary")
 
 
-def joined(table: DataFrame, filters: DataFrame, ranges: int) -> DataFrame:
-    """For each chunk and range: the levels of its distinct bigrams in order, probed where the segment is."""
-
-    def probed(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        bits = np.frombuffer(held["bits"].iloc[0], np.uint8) if len(held) else np.zeros(0, np.uint8)
-        out = []
-        for keys in asked["keys"]:
-            rest = from_five(keys)
-            out.append(found(rest, bits, np.zeros(len(rest), np.int64), np.full(len(rest), 8 * len(bits))).tobytes())
-        return pd.DataFrame({"chunk": asked["chunk"], "range": asked["range"], "levels": out})
-
-    asked = by_range(table, ranges, False).drop("counts")
-    return asked.groupBy("range").cogroup(filters.groupBy("range")).applyInPandas(probed, "chunk long, range long, levels binary")
-
-
-def score(docs: DataFrame, broadcast_bytes: int = BROADCAST) -> DataFrame:
+def score(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, held_out) to one row each: n_tokens, n_known, train_tokens, base_score, score.
 
     Words are split at ASCII blanks and lower-cased A-Z; an end follows each text, so null and
     empty texts have one token. Rows with the same id are scored each on their own. If every text
-    is held out all words are unknown; an empty table gives no rows. broadcast_bytes decides how the
-    filter meets its probes, not what it holds: scores are the same either way.
+    is held out all words are unknown; an empty table gives no rows.
     """
     spark = docs.sparkSession
     table = chunks(docs)
@@ -262,20 +240,10 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST) -> DataFrame:
     ranges = 1 << max(0, (max(1, n_train) // RANGE).bit_length())
     counts = word_counts(table)
     n_distinct = counts.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
-    filters = bloom(table, ranges)
-    n_bytes = filters.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("n")).first()["n"]
-    sent, sides = None, counts.select("chunk", "places", "totals", F.lit(None).cast("long").alias("range"), F.lit(None).cast("binary").alias("levels"))
-    if n_bytes <= broadcast_bytes:
-        held, base, bits = np.zeros(n_bytes, np.uint8), np.zeros(ranges, np.int64), np.zeros(ranges, np.int64)
-        at = 0
-        for r in filters.toLocalIterator():
-            held[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
-            base[r["range"]], bits[r["range"]] = 8 * at, 8 * len(r["bits"])
-            at += len(r["bits"])
-        sent = spark.sparkContext.broadcast((held, base, bits))
-    else:
-        none = F.lit(None).cast("binary")
-        sides = sides.unionByName(joined(table, filters, ranges).select("chunk", none.alias("places"), none.alias("totals"), "range", "levels"))
+    none = F.lit(None).cast("binary")
+    sides = counts.select("chunk", "places", "totals", F.lit(None).cast("long").alias("range"), none.alias("levels")).unionByName(
+        probed_levels(table, ranges).select("chunk", none.alias("places"), none.alias("totals"), "range", "levels")
+    )
     below = np.log10(n_train + 0.5 * (n_distinct + 1))
 
     def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -290,20 +258,14 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST) -> DataFrame:
             log_base = np.log10(total + 0.5) - below
             starts = np.cumsum(lens) - lens
             logs = np.empty(len(stream))
-            if sent is None:
-                distinct = np.unique(pairs(hashes, stream, lens))
-                reached = np.frombuffer(b"".join(right[right["levels"].notna()].sort_values("range")["levels"]), np.uint8)
+            distinct = np.unique(pairs(hashes, stream, lens))
+            reached = np.frombuffer(b"".join(right[right["levels"].notna()].sort_values("range")["levels"]), np.uint8)
             # Documents in runs of about 500,000 tokens, to bound memory.
             runs = np.flatnonzero(np.diff(starts // 500_000, prepend=-1))
             for a, b in zip(runs, [*runs[1:], len(lens)]):
                 lo, hi = starts[a], starts[b - 1] + lens[b - 1]
                 key = pairs(hashes, stream[lo:hi], lens[a:b])
-                if sent is None:
-                    seen = count_of(reached[np.searchsorted(distinct, key)])
-                else:
-                    held, base, bits = sent.value
-                    part, rest = located(key, ranges)
-                    seen = count_of(found(rest, held, base[part], bits[part]))
+                seen = count_of(reached[np.searchsorted(distinct, key)])
                 before = np.empty(hi - lo, np.int64)
                 before[1:] = total[stream[lo : hi - 1]]
                 before[starts[a:b] - lo] = total[0]
