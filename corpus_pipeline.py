@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar ones: the least doc_id. Documents without words all stay."""
-    return jaccard.representatives(docs)
+    """One document of each component of similar ones (five-word shingles, 0.8 or more): the least doc_id. Documents without words all stay."""
+    return jaccard.representatives(docs, words=5, num=80, den=100)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

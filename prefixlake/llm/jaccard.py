@@ -1,4 +1,4 @@
-"""Components of texts whose sets of word shingles have a Jaccard similarity of 0.9 or more.
+"""Components of texts whose sets of word shingles have a Jaccard similarity of num/den or more.
 
 Equal sets are one set. Shingles are ordered from rare to common; two similar sets share one of
 their first shingles, so an index of those finds all pairs. The list of a shingle is sorted by
@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 
 from prefixlake.llm.common import shuffle_partitions, written
 
-#: Words of a shingle; similarity as a fraction.
+#: Words of a shingle and similarity as a fraction, as op6 has them: the defaults of `linked` and `representatives`.
 WORDS, NUM, DEN = 3, 90, 100
 #: Bytes of text that are split at once; at most so many common shingles are told apart by how common they are.
 CHUNK, HEAVY = 8_000_000, 1 << 16
@@ -77,9 +77,9 @@ def parity(tokens: np.ndarray, bits: int) -> bytes:
     return np.packbits((np.bincount((tokens % _U(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def least_overlap(size: np.ndarray | int):
+def least_overlap(size: np.ndarray | int, num: int = NUM, den: int = DEN):
     """The least number of shingles that a set of this size shares with any similar one."""
-    return -(-size * NUM // DEN)
+    return -(-size * num // den)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -96,12 +96,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             at = end
 
 
-def common_shingles(texts: DataFrame, limit: int = HEAVY) -> np.ndarray:
+def common_shingles(texts: DataFrame, limit: int = HEAVY, words: int = WORDS) -> np.ndarray:
     """Hashes of common shingles, at most `limit`, from less to more common; they only set an order."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, part in _texts(batches):
-            found, n = np.unique(np.concatenate([*shingle_sets(part), np.zeros(0, _U)]), return_counts=True)
+            found, n = np.unique(np.concatenate([*shingle_sets(part, words), np.zeros(0, _U)]), return_counts=True)
             keep = n >= max(4, len(part) // 500)
             yield pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["token", "n"])
 
@@ -131,7 +131,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(own) if mark else spark.createDataFrame([], "id long, component long")
 
 
-def list_pairs(p: dict[str, np.ndarray], mode: str, cross: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def list_pairs(p: dict[str, np.ndarray], mode: str, cross: bool, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates of one list: places of both, and a lower bound of their difference.
 
     p: sid, size, pos, sig (rows x 8 words), comp, hub, dist, half (which of two blocks, if cross).
@@ -152,17 +152,17 @@ def list_pairs(p: dict[str, np.ndarray], mode: str, cross: bool) -> tuple[np.nda
     for at in range(0, n, 256):
         # Blocks of rows against the part of the list whose sizes can match; smaller sizes have been met before.
         rows = np.arange(at, min(n, at + 256))
-        stop = int(np.searchsorted(size, size[rows[-1]] * DEN // NUM, "right"))
+        stop = int(np.searchsorted(size, size[rows[-1]] * den // num, "right"))
         for c0 in range(at, stop, 2048):
             cols = np.arange(c0, min(stop, c0 + 2048))
-            if (1 + np.minimum(left[rows].max(), left[cols].max())) * (NUM + DEN) < NUM * (size[rows].min() + size[cols].min()):
+            if (1 + np.minimum(left[rows].max(), left[cols].max())) * (num + den) < num * (size[rows].min() + size[cols].min()):
                 continue
             sums = size[rows][:, None] + size[cols][None, :]
             can = (cols[None, :] > rows[:, None]) & (comp[rows][:, None] != comp[cols][None, :])
-            can &= (1 + np.minimum(left[rows][:, None], left[cols][None, :])) * (NUM + DEN) >= NUM * sums
+            can &= (1 + np.minimum(left[rows][:, None], left[cols][None, :])) * (num + den) >= num * sums
             if cross:
                 can &= half[rows][:, None] != half[cols][None, :]
-            most = sums * (DEN - NUM) // (NUM + DEN)
+            most = sums * (den - num) // (num + den)
             for i, r in enumerate(rows):
                 bound = hub_rows.get(int(p["hub"][order[r]]))
                 if bound is not None:
@@ -186,7 +186,7 @@ def list_pairs(p: dict[str, np.ndarray], mode: str, cross: bool) -> tuple[np.nda
     return order[a], order[b], low
 
 
-def candidates(posts: DataFrame, mode: str) -> DataFrame:
+def candidates(posts: DataFrame, mode: str, num: int = NUM, den: int = DEN) -> DataFrame:
     """(a, b, low): pairs of sets that the lists of posts (token, n, sid, size, pos, sig, comp, hub, dist) can't exclude."""
     spark = posts.sparkSession
     blocks = F.expr(f"cast((n + {LIST} - 1) div {LIST} as int)")
@@ -220,7 +220,7 @@ def candidates(posts: DataFrame, mode: str) -> DataFrame:
                 sums = col["size"][x] + col["size"][y]
                 shared = 1 + np.minimum(col["size"][x] - col["pos"][x], col["size"][y] - col["pos"][y]) - 1
                 low = np.bitwise_count(col["sig"][x] ^ col["sig"][y]).sum(axis=1, dtype=np.int64)
-                ok = (col["comp"][x] != col["comp"][y]) & (shared * (NUM + DEN) >= NUM * sums) & (low <= sums * (DEN - NUM) // (NUM + DEN))
+                ok = (col["comp"][x] != col["comp"][y]) & (shared * (num + den) >= num * sums) & (low <= sums * (den - num) // (num + den))
                 ok &= (col["b0"][x] == col["b1"][x]) | (col["half"][x] != col["half"][y])
                 if mode == "all":
                     got.append((col["sid"][x[ok]], col["sid"][y[ok]], low[ok]))
@@ -228,7 +228,7 @@ def candidates(posts: DataFrame, mode: str) -> DataFrame:
                     got += [(col["sid"][x[ok]], col["sid"][y[ok]], low[ok]), (col["sid"][y[ok]], col["sid"][x[ok]], low[ok])]
             for k in np.flatnonzero(sizes > 2).tolist():
                 part = {c: v[edges[k] : edges[k + 1]] for c, v in col.items()}
-                a, b, low = list_pairs(part, mode, bool(part["b0"][0] != part["b1"][0]))
+                a, b, low = list_pairs(part, mode, bool(part["b0"][0] != part["b1"][0]), num, den)
                 got.append((part["sid"][a], part["sid"][b], low))
             if got:
                 a, b, low = (np.concatenate(x) for x in zip(*got))
@@ -257,7 +257,7 @@ def candidates(posts: DataFrame, mode: str) -> DataFrame:
     return found.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("low").alias("low")).select(F.col("x").alias("a"), F.col("y").alias("b"), "low")
 
 
-def plausible(pairs: DataFrame, bounds: DataFrame) -> DataFrame:
+def plausible(pairs: DataFrame, bounds: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """Those of pairs (a, b) that larger signatures, bounds (sid, size, large), can't exclude either."""
     x = bounds.select(F.col("sid").alias("a"), F.col("size").alias("sa"), F.col("large").alias("la"))
     y = bounds.select(F.col("sid").alias("b"), F.col("size").alias("sb"), F.col("large").alias("lb"))
@@ -266,13 +266,13 @@ def plausible(pairs: DataFrame, bounds: DataFrame) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             la, lb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), _U).reshape(-1, LARGE // 64) for c in ("la", "lb"))
-            most = (batch.column("sa").to_numpy() + batch.column("sb").to_numpy()) * (DEN - NUM) // (NUM + DEN)
+            most = (batch.column("sa").to_numpy() + batch.column("sb").to_numpy()) * (den - num) // (num + den)
             yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(la ^ lb).sum(axis=1, dtype=np.int64) <= most))
 
     return rows.mapInArrow(keep, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(a, b, dist) of the pairs that are similar, from sets (sid, tokens): dist is the size of their difference."""
     x = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
     y = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
@@ -285,7 +285,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both = np.concatenate([np.frombuffer(ta, _U), np.frombuffer(tb, _U)])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
-                if DEN * shared >= NUM * (len(both) - shared):
+                if den * shared >= num * (len(both) - shared):
                     out.append((a, b, len(both) - 2 * shared))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b", "dist"])
@@ -325,9 +325,11 @@ def _spots(ids: np.ndarray) -> list[np.ndarray]:
     return [((h >> _U(s)) % _U(SEGMENT)).astype(np.int64) for s in (0, 20, 40)]
 
 
-def linked(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+def linked(docs: DataFrame, text: str = "text", keep_text: bool = False, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """docs (doc_id, text, ...) with n_shingles and component_id, the least doc_id that links lead to.
 
+    Linked are texts whose sets of shingles of `words` words have a Jaccard similarity of num/den or more.
+
     Null texts and those without words have no shingles and are their own component. Rows with the
     same text or the same set are linked, also those with the same doc_id; null ids count as no id.
     The text goes unless keep_text; _pl_rid numbers the rows, _pl_group the components. Columns of docs with the new names are replaced; an empty table
@@ -336,7 +338,7 @@ def linked(docs: DataFrame, text: str = "text", keep_text: bool = False) -> Data
     spark: SparkSession = docs.sparkSession
     names = [c for c in docs.columns if c not in ("n_shingles", "component_id") and (keep_text or c != text)]
     source = docs.select(*names, F.col(text).cast("binary").alias("_pl_text"))
-    heavy = common_shingles(source.select("_pl_text"))
+    heavy = common_shingles(source.select("_pl_text"), words=words)
     by_hash = np.argsort(heavy)
     sent = spark.sparkContext.broadcast((heavy[by_hash], by_hash))  # HEAVY entries at most
     schema = StructType([docs.schema[c] for c in names])
@@ -351,7 +353,7 @@ def linked(docs: DataFrame, text: str = "text", keep_text: bool = False) -> Data
         rid = TaskContext.get().partitionId() << 33
         for batch, texts in _texts(batches):
             cols: list[list] = [[] for _ in range(7)]
-            sets = list(shingle_sets(texts))
+            sets = list(shingle_sets(texts, words))
             joined = np.concatenate([*sets, np.zeros(0, _U)])
             at = np.minimum(np.searchsorted(known, joined), max(0, len(known) - 1))
             grade = np.where(known[at] == joined, rank[at] + 1, 0) if len(known) else np.zeros(len(joined), np.int64)
@@ -360,7 +362,7 @@ def linked(docs: DataFrame, text: str = "text", keep_text: bool = False) -> Data
                 g = grade[start : start + len(s)]
                 start += len(s)
                 own = s[np.argsort(g, kind="stable")] if g.any() else s
-                row = (rid, xxhash.xxh3_128_digest(s.tobytes()), len(s), own[: len(s) - least_overlap(len(s)) + 1].tobytes(), parity(s, SIG), parity(s, LARGE), text_hash(text))
+                row = (rid, xxhash.xxh3_128_digest(s.tobytes()), len(s), own[: len(s) - least_overlap(len(s), num, den) + 1].tobytes(), parity(s, SIG), parity(s, LARGE), text_hash(text))
                 for c, x in zip(cols, row):
                     c.append(x)
                 rid += 1
@@ -415,7 +417,7 @@ def linked(docs: DataFrame, text: str = "text", keep_text: bool = False) -> Data
                 seg = (mix(hashes.view(_U) + _U(5)) % _U(FILTER // SEGMENT)).astype(np.int64)
                 for x in _spots(hashes):
                     keep &= (members.value[seg, x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1
-                sets = list(shingle_sets([t for t, k in zip(texts, keep) if k]))
+                sets = list(shingle_sets([t for t, k in zip(texts, keep) if k], words))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["_pl_fp", "tokens"]
                 )
@@ -431,9 +433,9 @@ def linked(docs: DataFrame, text: str = "text", keep_text: bool = False) -> Data
         else:
             state = todo.join(groups.select(F.col("id").alias("sid"), "component"), "sid", "left").join(near, "sid", "left")
             state = state.withColumns({"comp": F.coalesce("component", "sid"), "hub": F.coalesce("hub", F.lit(-1)), "dist": F.coalesce("dist", F.lit(0))})
-        pairs = written(candidates(posts(state), mode), "pairs")
-        likely = written(plausible(pairs, bounds), "likely")
-        links = written(verified(likely, sets_of(likely)), "links")
+        pairs = written(candidates(posts(state), mode, num, den), "pairs")
+        likely = written(plausible(pairs, bounds, num, den), "likely")
+        links = written(verified(likely, sets_of(likely), num, den), "links")
         if groups is None:
             near = links.select(F.col("a").alias("sid"), F.col("b").alias("hub"), "dist")
             groups = components(links, "groups")
@@ -458,13 +460,13 @@ def linked(docs: DataFrame, text: str = "text", keep_text: bool = False) -> Data
     return out.select(*names, "n_shingles", found.alias("component_id"), "_pl_rid", F.coalesce("_pl_group", -1 - F.col("_pl_rid")).alias("_pl_group"))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """docs with one row of each component: that of the least doc_id (a null id first), of repeated ids any one."""
     clash = {c: f"_pl_own_{c}" for c in docs.columns if c in ("n_shingles", "component_id")}
-    found = written(linked(docs.withColumnsRenamed(clash), keep_text=True).drop("n_shingles", "component_id"), "linked").withColumnsRenamed({v: k for k, v in clash.items()})
+    found = written(linked(docs.withColumnsRenamed(clash), keep_text=True, words=words, num=num, den=den).drop("n_shingles", "component_id"), "linked").withColumnsRenamed({v: k for k, v in clash.items()})
     first = found.groupBy("_pl_group").agg(F.min(F.struct("doc_id", "_pl_rid")).alias("x")).select(F.col("x._pl_rid").alias("_pl_rid"))
     return found.join(first, "_pl_rid", "left_semi").select(*docs.columns)
 
 
 def digest(documents: DataFrame) -> DataFrame:
-    return linked(documents.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+    return linked(documents.select("doc_id", "text"), words=WORDS, num=NUM, den=DEN).select("doc_id", "n_shingles", "component_id")

@@ -301,3 +301,33 @@ def test_pipeline_stages(spark, docs, none):
             if name != "packing":
                 assert at.columns == docs.columns
         assert (at.count() > 0) == (start is docs)
+
+
+def test_pipeline_drops_similar_from_five_words_and_four_fifths(spark, docs, rows):
+    import corpus_pipeline as p
+
+    # Single words changed, far from each other: of 296 shingles of five words, up to 7 x 5 differ (0.79 similar; with six 0.82, of three words 0.89).
+    def near(k, changed):
+        w = [f"b{k}w{i}" for i in range(300)]
+        for i in range(changed):
+            w[20 + 40 * i] = f"new{changed}x{i}"
+        return " ".join(w)
+
+    own = [(1000 + 10 * k + n, near(k, n * (k + 4)), "en", "s1", 0) for k in range(4) for n in (0, 1)]
+    whole = [*rows, *own]
+    sets = []
+    for r in whole:
+        w = (r[1] or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set())
+    head = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and head[i] != head[j] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                head = [head[j] if h == head[i] else h for h in head]
+    least = {}
+    for i, r in enumerate(whole):
+        least[head[i]] = min(least.get(head[i], r[0]), r[0])
+    want = sorted(least.values())
+    got = sorted(r.doc_id for r in p.drop_similar(spark, docs.unionByName(spark.createDataFrame(own, DOCS)), "").collect())
+    assert got == want
+    assert [x for x in got if x >= 1000] == [1000, 1010, 1020, 1030, 1031]
