@@ -426,7 +426,7 @@ def chunk_reassembly(spark, sf):
 
 
 def tokens_of(spark, sf) -> DataFrame:
-    t = F.transform(F.split(F.substring("text", 1, 400), ""), lambda c: F.ascii(c))
+    t = F.transform(F.split("text", ""), lambda c: F.ascii(c))
     return parquet(spark, sf, "conversations").select("conv_id", "turn", t.alias("tokens"))
 
 
