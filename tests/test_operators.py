@@ -168,3 +168,29 @@ def test_streams_equal_batch(spark, tmp_path):
     q = state.interval_counts(again, 30).writeStream.format("memory").queryName("iv").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sum(r.operations for r in spark.table("iv").collect()) == 59 and spark.table("iv").count() == 2
+
+
+def test_lru_replay_takes_shards_in_batches(spark):
+    from collections import OrderedDict
+
+    accesses = [(at * 7 % 3 if at % 9 else None, at, f"k{at * at % 23}", 1 + at % 40) for at in range(600)]
+    df = spark.createDataFrame(accesses, "shard int, at long, key string, size long").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        out = kvlog.lru_replay(df, 100)
+        got = sorted(((r.at, r.shard, r.key, r.size, r.hit, r.evicted) for r in out.collect()), key=lambda x: x[0])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held, want = {}, []
+    for shard, at, key, size in accesses:
+        own = held.setdefault(shard, OrderedDict())
+        hit = own.pop(key, None) is not None
+        own[key] = size
+        n = 0
+        while sum(own.values()) > 100 and len(own) > 1:
+            own.popitem(last=False)
+            n += 1
+        want.append((at, shard, key, size, hit, n))
+    assert got == want
+    # No group of a whole shard in a worker's memory.
+    assert "InPandas" not in out._jdf.queryExecution().toString()
