@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefixlake.llm import encode
-from prefixlake.llm.common import written
+from prefixlake.llm.common import released, sliced, written
 
 LENGTH, OPEN, LEAST_PIECE = 2048, 16, 16
+#: Bytes of text that are encoded at once.
+CHUNK = 4_000_000
 #: Partitions whose leftovers are merged with each other.
 MERGED = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, part long, open_window int"
@@ -106,11 +108,8 @@ def pack(docs: DataFrame, tokenizer: str = encode.WORD_BPE, end: int = 1, length
         part = TaskContext.get().partitionId()
 
         def docs_of() -> Iterator[tuple[int | None, np.ndarray]]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    some = batch.slice(at, 256)
-                    yield from zip(some.column("doc_id").to_pylist(), encode.encode(some.column("text").to_pylist(), tokenizer, end, tokenizer_path))
-            encode.forget()
+            for some in sliced(batches, "text", CHUNK):
+                yield from zip(some.column("doc_id").to_pylist(), encode.encode(some.column("text"), tokenizer, end, tokenizer_path))
 
         held = []
         for row in placed(docs_of(), length):
@@ -121,7 +120,7 @@ def pack(docs: DataFrame, tokenizer: str = encode.WORD_BPE, end: int = 1, length
         if held:
             yield _batch(held, part, keep_ids)
 
-    pieces = written(docs.select("doc_id", "text").mapInArrow(partition, PIECES), "pieces")
+    pieces = written(docs.select("doc_id", "text").mapInArrow(lambda x: released(partition(x)), PIECES), "pieces")
     done = pieces.where("sequence_id is not null")
     left = pieces.where("sequence_id is null").withColumn("group", F.expr(f"part div {MERGED}"))
     before = Window.partitionBy("group").orderBy("part", "open_window", "offset").rowsBetween(Window.unboundedPreceding, -1)

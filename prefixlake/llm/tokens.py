@@ -1,7 +1,7 @@
 """Token ids in grammar-compressed files.
 
 Documents are range-partitioned by doc_id and encoded; in each block of a shard, frequent pairs of
-ids are replaced by new symbols, over several rounds. A file's row holds the block's rules, the
+ids are replaced by new symbols, from the most frequent ones down to those that no longer pay. A file's row holds the block's rules, the
 length each expands to, the symbols, and where each document starts, so that one document is
 decoded without the rest. Pairs never cross documents.
 """
@@ -18,60 +18,84 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefixlake.llm import encode
-from prefixlake.llm.common import shared_dir, shuffle_partitions, written
+from prefixlake.llm.common import released, shared_dir, shuffle_partitions, sliced, written
 
 #: Fixed values of the format: magic, and the first id that stands for a pair.
 MAGIC, BASE = b"PLG1", 50257
 HEAD = struct.Struct("<4sIIQQ")
-#: Ids of a block, rounds of replacement, pairs replaced a round, and the least count of such a pair.
-BLOCK, ROUNDS, PAIRS, LEAST = 2_000_000, 4, 1500, 8
+#: Ids of a block, and bytes of text that are encoded at once.
+BLOCK, CHUNK = 2_000_000, 4_000_000
+#: Fewer occurrences of a pair than this would not pay for its rule (eight bytes against two each).
+LEAST = 5
 FILE = "shard int, block int, n_docs long, n_ids long, payload binary"
 
 
-def compress(ids: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, and where documents end, to symbols, the places of document ends among them, and rules (n x 2)."""
-    s, rules = ids.astype(np.int64), [np.zeros((0, 2), np.int64)]
-    n_rules = 0
-    for _ in range(rounds):
-        room = min(pairs, 65536 - BASE - n_rules)
-        if len(s) < 2 or room <= 0:
-            break
-        key = (s[:-1] << 17) | s[1:]
-        key[last[:-1]] = -1
-        bucket = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-        bucket = bucket.astype(np.int32)
-        count = np.bincount(bucket, minlength=1 << 20)
-        floor = np.partition(count, len(count) - 2 * room)[len(count) - 2 * room]
-        at = np.flatnonzero((count >= max(least, floor))[bucket] & (key >= 0))
-        found, times = np.unique(key[at], return_counts=True)
-        best = np.argsort(-times, kind="stable")[:room]
-        chosen = np.sort(found[best[times[best] >= least]])
+def compress(ids: np.ndarray, last: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, and where documents end, to symbols, the places of document ends among them, and rules (n x 2).
+
+    Re-Pair by levels: a round replaces every pair that occurs at least a quarter as often as the
+    most frequent one does, and rounds go on until no pair occurs `least` times or all 16-bit symbols
+    are in use. Pairs are counted in buckets of a hash; a bucket counts one pair only, and those
+    that share it wait for a round with another hash.
+    """
+    s, last, rules, n_rules = ids.astype(np.uint32), last.copy(), [np.zeros((0, 2), np.int64)], 0
+    bits, dry = 20, 0
+    while len(s) > 1 and n_rules < 65536 - BASE and dry < 3:
+        mixed = s[:-1] * np.uint32(0x9E3779B1 + 2 * len(rules)) + s[1:] * np.uint32(0x85EBCA77)
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= np.uint32(0x2C1B3C6D)
+        bucket = (mixed >> np.uint32(32 - bits)).astype(np.int32)
+        bucket[last[:-1]] = 1 << bits  # pairs never cross documents
+        count = np.bincount(bucket, minlength=(1 << bits) + 1)
+        count[-1] = 0
+        floor = max(least, int(count.max()) // 4)
+        at = np.flatnonzero((count >= floor)[bucket])
+        own = bucket[at]
+        key = (s[at].astype(np.int64) << 17) | s[at + 1]
+        held = np.zeros(1 << bits, np.int64)
+        held[own] = key
+        match = held[own] == key
+        at, own = at[match], own[match]
+        count = np.bincount(own, minlength=1 << bits)
+        chosen = np.flatnonzero(count >= floor)
         if not len(chosen):
-            break
-        rank = np.searchsorted(chosen, key[at])
-        hit = (rank < len(chosen)) & (chosen[np.minimum(rank, len(chosen) - 1)] == key[at])
-        at, rank = at[hit], rank[hit]
+            if floor == least:
+                break
+            dry += 1  # pairs that met in one bucket; the next hash parts them
+            rules.append(rules[0])
+            continue
+        dry = 0
+        chosen = chosen[np.lexsort((held[chosen], -count[chosen]))][: 65536 - BASE - n_rules]
+        rank = np.full(1 << bits, -1, np.int32)
+        rank[chosen] = np.arange(len(chosen), dtype=np.int32)
+        rank = rank[own]
+        at, rank = at[rank >= 0], rank[rank >= 0]
         # Of neighbours that overlap, every other one is replaced, from the left.
         place = np.arange(len(at))
         run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, place, 0))
         take = (place - run) % 2 == 0
         at, rank = at[take], rank[take]
-        s[at] = BASE + n_rules + rank
+        s[at] = (BASE + n_rules + rank).astype(np.uint32)
         last[at] |= last[at + 1]
         stay = np.ones(len(s), bool)
         stay[at + 1] = False
         s, last = s[stay], last[stay]
-        rules.append(np.stack([chosen >> 17, chosen & 0x1FFFF], axis=1))
+        pairs = held[chosen]
+        rules.append(np.stack([pairs >> 17, pairs & 0x1FFFF], axis=1))
         n_rules += len(chosen)
     return s, np.flatnonzero(last), np.concatenate(rules)
 
 
-def lengths(rules: np.ndarray) -> np.ndarray:
-    """How many ids each rule's symbol stands for."""
-    out = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules):
-        out[k] = (out[a - BASE] if a >= BASE else 1) + (out[b - BASE] if b >= BASE else 1)
-    return out
+def expansions(rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that the rules stand for, one rule after another, and how many each has. All are opened at once, level by level."""
+    flat, of = rules.ravel(), np.repeat(np.arange(len(rules)), 2)
+    while (inner := flat >= BASE).any():
+        n = inner + 1
+        at = (np.cumsum(n) - n)[inner]
+        pair = rules[flat[inner] - BASE]
+        flat, of = np.repeat(flat, n), np.repeat(of, n)
+        flat[at], flat[at + 1] = pair[:, 0], pair[:, 1]
+    return flat, np.bincount(of, minlength=len(rules))
 
 
 def dump(doc_ids: list, docs: list[np.ndarray]) -> bytes:
@@ -88,7 +112,7 @@ def dump(doc_ids: list, docs: list[np.ndarray]) -> bytes:
             n.astype("<u4").tobytes(),
             (ends + 1).astype("<u4").tobytes(),
             rules.astype("<u2").tobytes(),
-            lengths(rules).astype("<u4").tobytes(),
+            expansions(rules)[1].astype("<u4").tobytes(),
             s.astype("<u2").tobytes(),
         ]
     )
@@ -117,13 +141,7 @@ class Block:
         self.long = take("<u4", rules).astype(np.int64)
         self.symbols = take("<u2", symbols)
         self.starts = np.cumsum(self.long) - self.long
-        self.flat = np.zeros(int(self.long.sum()), "<u2")
-        for k, (a, b) in enumerate(self.rules):
-            to = self.starts[k]
-            for x in (int(a), int(b)):
-                got = self.flat[self.starts[x - BASE] : self.starts[x - BASE] + self.long[x - BASE]] if x >= BASE else np.array([x], "<u2")
-                self.flat[to : to + len(got)] = got
-                to += len(got)
+        self.flat = expansions(self.rules)[0]
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         rule = symbols >= BASE
@@ -164,21 +182,19 @@ def write(docs: DataFrame, path: str, tokenizer: str = encode.BYTE_BPE, end: int
             ids, held, size, block = [], [], 0, block + 1
             return out
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc, got in zip(part.column("doc_id").to_pylist(), encode.encode(part.column("text").to_pylist(), tokenizer, end, tokenizer_path)):
-                    ids.append(doc)
-                    held.append(got)
-                    size += len(got)
-                    if size >= BLOCK:
-                        yield row()
+        for part in sliced(batches, "text", CHUNK):
+            for doc, got in zip(part.column("doc_id").to_pylist(), encode.encode(part.column("text"), tokenizer, end, tokenizer_path)):
+                ids.append(doc)
+                held.append(got)
+                size += len(got)
+                if size >= BLOCK:
+                    yield row()
         if ids:
             yield row()
 
     key = F.col("doc_id").asc_nulls_first()
     rows = docs.select("doc_id", "text").repartitionByRange(shuffle_partitions(docs.sparkSession), key).sortWithinPartitions(key)
-    rows.mapInArrow(blocks, FILE).write.parquet(path)
+    rows.mapInArrow(lambda x: released(blocks(x)), FILE).write.parquet(path)
 
 
 def read(spark, path: str, end: int = 0) -> DataFrame:

@@ -192,21 +192,52 @@ def test_sharding(docs, none, rows):
     assert sharding.digest(none).count() == 0
 
 
-def test_tokens_round_trip(spark, docs, none, rows, tmp_path):
+PARTS = ["a", "B", "é", "ß", "Σ", "İ", "ŉ", "中", "1", "23", "don't", "'s", "'", "!", "..", "(", "x,", "=", "\u0338", "\u0301", "🙂", "\xa0", "\u3000", "\u200b", "\x00", "\x1c"]
+PARTS += ["<|endoftext|>", "<|startoftext|>", "word", "The", *[" ", "  ", "\n", "\n\n", "\t", "\r\n"] * 3]
+
+
+@pytest.mark.parametrize("name, end", [(encode.BYTE_BPE, 0), (encode.WORD_BPE, 1)])
+def test_encoding_equals_the_library(name, end, monkeypatch):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    r = random.Random(9)
+    all_texts = [None, "", *["".join(r.choice(PARTS) for _ in range(r.randint(0, 25))) for _ in range(4000)], "long ago " * 60_000, "x" * 3000]
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, end] for x in all_texts]
+    for remembered in (encode.REMEMBERED, 5):
+        monkeypatch.setattr(encode, "REMEMBERED", remembered)
+        got = [x.tolist() for at in range(0, len(all_texts), 500) for x in encode.encode(all_texts[at : at + 500], name, end)]
+        assert got == want
+
+
+def library_ids(rows, name, end):
     from tokenizers import Tokenizer
     import public_tokenizers
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(public_tokenizers.path(name))
     ids = collections.defaultdict(list)
     for r in rows:
-        ids[r[0]].append([*t.encode(r[1] or "", add_special_tokens=False).ids, 0])
+        ids[r[0]].append([*t.encode(r[1] or "", add_special_tokens=False).ids, end])
+    return ids
+
+
+@pytest.fixture(scope="module")
+def long_rows(rows):
+    """The rows and one text of 2 MB, one with special tokens, a null id."""
+    words = [f"w{i % 977}" for i in range(400_000)]
+    return [*rows, (500, " ".join(words), "en", "s1", 0), (501, "x<|endoftext|> y", "en", "s1", 0), (None, "no id", "en", None, 0)]
+
+
+def test_tokens_round_trip(spark, none, long_rows, tmp_path):
+    docs = spark.createDataFrame(long_rows, DOCS).repartition(3)
+    ids = library_ids(long_rows, "byte_bpe_50k.json", 0)
     got = sorted(tokens.digest(docs).collect(), key=lambda x: (x.start))
     at = 0
     for x in got:
         assert x.start == at and (x.n_tokens, x.ids_crc32) in {(len(y), zlib.crc32(np.array(y, "<u4").tobytes())) for y in ids[x.doc_id]}
         at += x.n_tokens
-    assert [x.doc_id for x in got] == sorted(r[0] for r in rows)
+    assert [x.doc_id for x in got] == sorted((r[0] for r in long_rows), key=lambda x: (x is not None, x))
     tokens.write(docs, str(tmp_path / "t"))
     block = tokens.Block(bytes(spark.read.schema(tokens.FILE).parquet(str(tmp_path / "t")).first()["payload"]))
     for k in (0, len(block.doc_ids) - 1):
@@ -214,20 +245,47 @@ def test_tokens_round_trip(spark, docs, none, rows, tmp_path):
     assert tokens.digest(none).count() == 0
 
 
-def test_packing(docs, none, rows):
-    got = packing.pack(docs, length=64).collect()
+def test_grammar_goes_on_until_no_pair_repeats_often():
+    r = np.random.default_rng(5)
+    ids = np.concatenate([np.tile([5, 6, 7, 8, 9], 4000), r.integers(0, 40, 30_000), np.zeros(999, int), [50_256] * 3]).astype("<u2")
+    docs = np.split(ids, np.sort(r.integers(1, len(ids), 60)))
+    docs = [d for d in docs if len(d)]
+    payload = tokens.dump(list(range(len(docs))), docs)
+    block = tokens.Block(payload)
+    assert all(block.decode(k).tolist() == d.tolist() for k, d in enumerate(docs))
+    assert block.expand(block.symbols).tolist() == ids.tolist()
+    left = collections.Counter()
+    for a, b in zip([0, *block.stops[:-1]], block.stops):
+        s = block.symbols[a:b].tolist()
+        k = 0
+        while k + 1 < len(s):  # an overlapping repeat counts once
+            left[s[k], s[k + 1]] += 1
+            k += 2 if s[k] == s[k + 1] else 1
+    assert max(left.values()) < tokens.LEAST + 3
+    assert len(payload) < len(ids)
+
+
+def test_packing(spark, none, long_rows):
+    docs = spark.createDataFrame(long_rows, DOCS).repartition(3)
+    ids = library_ids(long_rows, "word_bpe_49k.json", 1)
+    got = packing.pack(docs, length=64, keep_ids=True).collect()
     total = sum(x.length for x in got)
-    spans, seqs = collections.defaultdict(list), collections.defaultdict(list)
+    pieces, seqs = collections.defaultdict(list), collections.defaultdict(list)
     for x in got:
-        spans[x.doc_id].append((x.start, x.length, x.doc_tokens))
+        own = np.frombuffer(x.ids, "<u2")
+        assert len(own) == x.length and x.ids_crc32 == zlib.crc32(own.astype("<u4").tobytes())
+        pieces[x.doc_id].append((x.start, own.tolist(), x.doc_tokens))
         seqs[x.sequence_id].append((x.offset, x.length))
-    for r in rows:
-        if r[0] != 5:
-            at = 0
-            for s, n, _ in sorted(spans[r[0]]):
-                assert s == at
-                at += n
-            assert at == spans[r[0]][0][2]
+    for doc, want in ids.items():
+        if doc == 5:  # three rows have this id
+            assert sum(len(x[1]) for x in pieces[5]) == sum(map(len, want))
+            continue
+        at, whole = 0, []
+        for s, own, n in sorted(pieces[doc]):
+            assert s == at and n == len(want[0])
+            at += len(own)
+            whole += own
+        assert whole == want[0]
     for v in seqs.values():
         at = 0
         for o, n in sorted(v):
@@ -235,6 +293,8 @@ def test_packing(docs, none, rows):
             at += n
         assert at <= 64
     assert len(seqs) <= total / 64 * 1.1 + 4
+    crc = {(x.doc_id, x.start): x.ids_crc32 for x in packing.digest(docs).collect() if x.doc_id != 5}
+    assert all(c == zlib.crc32(np.array(ids[d][0][s : s + 2048], "<u4").tobytes()) or len(ids[d][0]) > 1 for (d, s), c in crc.items())
     assert packing.digest(none).count() == 0
     assert encode.encode([None], encode.WORD_BPE, 1)[0].tolist() == [1]
 
