@@ -19,16 +19,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefixlake.llm.common import id_fold, table
+from prefixlake.llm.common import id_fold, released, sliced, table
 
 #: Rows of the table of embeddings and their width; filter widths and filters of each.
 ROWS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 12
 #: At most so many labelled rows of either class are fitted on, none with more characters.
 SAMPLE, MAX_CHARS = 5000, 20_000
-STEPS, BATCH, RATE = 900, 48, 0.02
+STEPS, BATCH, RATE, DECAY, ODDS = 900, 48, 0.005, 0.001, 0.25
+#: Texts in which a row of the table must occur to be learned, and parts of the rows that are left out in turn for calibration.
+SEEN, FOLDS = 3, 2
 #: The threshold of languages with too few labels.
 DEFAULT = 0.3
 STRIP = ".,;:!?\"'()[]{}«»"
+#: Bytes of text that are scored at once; words whose rows a worker keeps, about 40 MB.
+CHUNK, KEPT = 1_000_000, 200_000
 _CACHE: dict[str, bytes] = {}
 
 
@@ -47,7 +51,7 @@ def indexed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         words = text.lower().split() if text else []
         lens[i] = len(words) + 4
         parts += [pad, np.fromiter(map(get, words), np.int32, len(words)), pad]
-    if len(_CACHE) > 500_000:
+    if len(_CACHE) > KEPT:
         _CACHE.clear()
     for w in places:
         if w not in _CACHE:
@@ -59,11 +63,12 @@ def indexed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 class Model:
     def __init__(self, seed: int = 3):
         r = np.random.default_rng(seed)
-        self.table = r.normal(0, 0.3, (ROWS, DIM)).astype(np.float32)
+        self.table = r.normal(0, 0.1, (ROWS, DIM)).astype(np.float32)
         self.table[0] = 0
+        self.seen = np.zeros(ROWS, bool)
         self.filters = [r.normal(0, 0.4, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.bias = np.zeros((len(WIDTHS), FILTERS), np.float32)
-        self.out = r.normal(0, 0.3, (len(WIDTHS), FILTERS)).astype(np.float32)
+        self.out = np.abs(r.normal(0, 0.3, (len(WIDTHS), FILTERS))).astype(np.float32)
         self.base = np.full(1, -2, np.float32)
         self.scale = (1.0, 0.0)
 
@@ -79,7 +84,7 @@ class Model:
         x, starts, rows = indexed(texts)
         if not len(starts):
             return np.zeros(0)
-        e = self.table[rows].sum(axis=1)
+        e = self.table[np.where(self.seen[rows], rows, 0)].sum(axis=1)
         out = np.full(len(starts), float(self.base[0]))
         x = np.append(x, np.zeros(2, np.int32))
         for k in range(len(WIDTHS)):
@@ -92,25 +97,43 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(a * self.logits(texts) + b, -30, 30)))
 
 
-def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, seed: int = 3, steps: int = STEPS) -> Model:
-    """Adam on the weighted log loss; gradients pass through the places of the maxima only."""
+def fit(sample: tuple[np.ndarray, np.ndarray, np.ndarray], own: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int = 3, steps: int = STEPS) -> Model:
+    """A model of the texts `own` (places) of an indexed sample: Adam on the weighted log loss; gradients pass through the places of the maxima only.
+
+    What one or two texts alone have is not learned: rows of the table in fewer than SEEN texts stay
+    blank. The others start with the log-odds of their texts' classes in the first dimension; all
+    share one step size, so that rare ones move little.
+    """
     m, r = Model(seed), np.random.default_rng(seed)
-    params = [m.table, *m.filters, m.bias, m.out, m.base]
+    x, starts, rows = sample
+    stops = np.append(starts[1:], len(x))
+    n = np.array([(y[own] == c).sum() for c in (0, 1)])
+    found = np.zeros((2, ROWS), np.int64)
+    for i in own.tolist():
+        found[int(y[i]), np.unique(rows[np.unique(x[starts[i] : stops[i]])])] += 1
+    m.seen = found.sum(axis=0) >= SEEN
+    m.seen[0] = False
+    odds = np.log((found[1] + 1) / (n[1] + 2)) - np.log((found[0] + 1) / (n[0] + 2))
+    m.table[:, 0] = np.where(m.seen, ODDS * odds, 0)
+    m.filters[0][0, :, 0] = np.eye(DIM)[0]
+    m.bias[0, 0], m.out[0, 0] = -2 * ODDS * 4, 1 / ODDS / 4
+    rows = np.where(m.seen[rows], rows, 0)
+    params = [*m.filters, m.bias, m.out, m.base]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    step = 0
-    for _ in range(max(3, min(60, steps * BATCH // len(texts)))):
-        order = r.permutation(len(texts))
+    size, step = 1e-8, 0
+    for _ in range(max(3, min(40, steps * BATCH // max(1, len(own))))):
+        order = r.permutation(own)
         for at in range(0, len(order), BATCH):
             b = order[at : at + BATCH]
-            x, starts, rows = indexed([texts[i] for i in b])
-            x = np.append(x, np.zeros(2, np.int32))
-            e = m.table[rows].sum(axis=1)
-            stops = np.append(starts[1:], len(x) - 2)
+            words, xs = np.unique(np.concatenate([*[x[starts[i] : stops[i]] for i in b], x[:2] * 0]), return_inverse=True)
+            at_, to_ = np.cumsum(stops[b] - starts[b]) - (stops[b] - starts[b]), np.cumsum(stops[b] - starts[b])
+            own_rows = rows[words]
+            e = m.table[own_rows].sum(axis=1)
             spots, pools = [], []
             logit = np.full(len(b), m.base[0])
             for k in range(len(WIDTHS)):
-                conv = m._conv(e, x, k)
-                spot = np.stack([s + conv[s:t].argmax(axis=0) for s, t in zip(starts, stops)])
+                conv = m._conv(e, xs, k)
+                spot = np.stack([s + conv[s:t].argmax(axis=0) for s, t in zip(at_, to_)])
                 pool = np.maximum(np.take_along_axis(conv, spot, axis=0) + m.bias[k], 0)
                 logit = logit + pool @ m.out[k]
                 spots.append(spot)
@@ -125,24 +148,26 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, seed: int = 3, step
                 column = np.broadcast_to(np.arange(FILTERS), d.shape)
                 for s in range(w):
                     d_p = np.zeros((len(e), FILTERS), np.float32)
-                    np.add.at(d_p, (x[spots[k] + s], column), d)
-                    grads[1 + k][s] = e.T @ d_p
+                    np.add.at(d_p, (xs[spots[k] + s], column), d)
+                    grads[k][s] = e.T @ d_p
                     d_e += d_p @ m.filters[k][s].T
             grads[-1][0] = g.sum()
-            used = np.flatnonzero(d_e.any(axis=1))
-            np.add.at(grads[0], rows[used], d_e[used][:, None, :])
-            grads[0][0] = 0
             step += 1
-            for p, d, (a, v) in zip(params, grads, moments):
+            used = np.flatnonzero(d_e.any(axis=1))
+            size += 0.05 * (float((d_e[used] ** 2).mean()) - size) if len(used) else 0
+            np.add.at(m.table, own_rows[used], (-RATE / 4 / np.sqrt(size)) * d_e[used][:, None, :])
+            m.table[0] = 0
+            for k, (p, d, (a, v)) in enumerate(zip(params, grads, moments)):
                 a += 0.1 * (d - a)
                 v += 0.01 * (d * d - v)
                 p -= RATE * (a / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+                if k < len(WIDTHS):
+                    p *= 1 - DECAY
     return m
 
 
-def calibrated(m: Model, texts: list[str], y: np.ndarray, weight: np.ndarray) -> None:
-    """Sets scale so that scores are probabilities on rows not fitted on (Platt, with a mild prior)."""
-    z = m.logits(texts)
+def calibrated(m: Model, z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+    """Sets scale so that scores are probabilities (Platt, with a mild prior); z: logits of rows by models not fitted on them."""
     a, b = 1.0, 0.0
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
@@ -172,27 +197,28 @@ def thresholds(scores: np.ndarray, y: np.ndarray, weight: np.ndarray, langs: lis
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, dict[str | None, float]]:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_chars: int = MAX_CHARS) -> tuple[Model, dict[str | None, float]]:
     """A model and thresholds from docs (doc_id, text, lang) and labels (doc_id, toxic), labels of the held-out fold not among them.
 
-    The sample holds at most `sample` rows of either class, those of the least hashes, weighted back
-    to the classes' counts; null labels and texts over MAX_CHARS teach nothing. Without labels of
-    both classes all scores are alike.
+    The sample holds at most `sample` rows of either class, those of the least hashes among texts of
+    up to max_chars, weighted back to the classes' counts. Null labels, and labels other than 0 and
+    1, teach nothing. Without labels of both classes all scores are alike.
     """
-    known = labels.where("toxic is not null and doc_id is not null").where(id_fold(F.col("doc_id"), 4) != 2).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
+    known = known.where(id_fold(F.col("doc_id"), 4) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    hashed = known.withColumn("_pl_h", F.xxhash64("doc_id"))
+    short = docs.where(F.length(F.coalesce("text", F.lit(""))) <= max_chars)
+    hashed = known.join(short.select("doc_id"), "doc_id", "left_semi").withColumn("_pl_h", F.xxhash64("doc_id"))
     parts = [hashed.where(F.col("toxic") == y).orderBy("_pl_h", "doc_id").limit(sample) for y in (0, 1)]
     few = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * sample ids at most
-    rows = docs.select("doc_id", "text", "lang").where(F.length(F.coalesce("text", F.lit(""))) <= MAX_CHARS).join(few, "doc_id")
+    rows = short.select("doc_id", "text", "lang").join(few, "doc_id")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["_pl_h"], r["text"] or ""))
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(_learned(got, counts))], pa.binary())})
-        _CACHE.clear()  # workers live on
 
     one = rows.repartition(1)  # the bounded sample: one task fits it
-    got = one.mapInArrow(train, "model binary").first()  # None if there are no rows at all
+    got = one.mapInArrow(lambda x: released(train(x)), "model binary").first()  # None if there are no rows at all
     return pickle.loads(got["model"]) if got else (Model(), {})
 
 
@@ -204,35 +230,36 @@ def _learned(got: list[dict], counts: dict[int, int]) -> tuple[Model, dict[str |
     weight = np.array([counts[0] / n[0], counts[1] / n[1]])[y.astype(int)]
     weight /= weight.mean()
     texts = [r["text"] or "" for r in got]
-    last = np.arange(len(got)) % 4 == 3
-    pick = lambda mask: [t for t, k in zip(texts, mask) if k]
-    m = fit(pick(~last), y[~last], weight[~last])
-    calibrated(m, pick(last), y[last], weight[last])
-    return m, thresholds(m.scores(pick(last)), y[last], weight[last], [r["lang"] for r, k in zip(got, last) if k])
+    sample = indexed(texts)
+    z, fold = np.zeros(len(got)), np.arange(len(got)) % FOLDS
+    for k in range(FOLDS):
+        own = np.flatnonzero(fold == k)
+        z[own] = _in_parts(fit(sample, np.flatnonzero(fold != k), y, weight).logits, [texts[i] for i in own])
+    m = fit(sample, np.arange(len(got)), y, weight)
+    calibrated(m, z, y, weight)
+    a, b = m.scale
+    return m, thresholds(1 / (1 + np.exp(-np.clip(a * z + b, -30, 30))), y, weight, [r["lang"] for r in got])
+
+
+def _in_parts(f, texts: list[str]) -> np.ndarray:
+    return np.concatenate([f(texts[at : at + 128]) for at in range(0, len(texts), 128)] or [np.zeros(0)])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with tox_score (0 to 1) of the whole text; null and empty texts get the score of no words. A column of that name is replaced."""
+    """docs with tox_score (0 to 1) of the whole text; null and empty texts get the score of no words. A column of that name is replaced.
+
+    Texts are scored in slices of CHUNK bytes or one text, so very long ones take memory in proportion to their own length.
+    """
     docs = docs.drop("tox_score")
     names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lens = [len(x) if x else 0 for x in batch.column("text").to_pylist()]
-            at = 0
-            while at < batch.num_rows:
-                end, size = at, 0
-                while end < batch.num_rows and (end == at or size + lens[end] <= 1_000_000):
-                    size += lens[end]
-                    end += 1
-                part = batch.slice(at, end - at)
-                got = sent.value.scores(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], names=[*names, "tox_score"])
-                at = end
-        _CACHE.clear()
+        for part in sliced(batches, "text", CHUNK):
+            got = sent.value.scores(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], names=[*names, "tox_score"])
 
-    return docs.mapInArrow(score, docs.withColumn("tox_score", F.lit(0.0)).schema)
+    return docs.mapInArrow(lambda x: released(score(x)), docs.withColumn("tox_score", F.lit(0.0)).schema)
 
 
 def rejected(cuts: dict[str | None, float], score: Column, lang: Column) -> Column:
@@ -244,10 +271,13 @@ def rejected(cuts: dict[str | None, float], score: Column, lang: Column) -> Colu
 
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those whose score reaches the threshold of their language."""
+    """docs without those whose score reaches the threshold of their language. A column tox_score of docs stays as it is."""
     model, cuts = learn(docs, labels)
-    kept = scored(docs, model)
-    return kept.where(~rejected(cuts, F.col("tox_score"), F.col("lang"))).select(*docs.columns)
+    names = docs.columns
+    aside = docs.withColumnsRenamed({c: f"_pl_own_{c}" for c in names if c == "tox_score"})
+    kept = scored(aside, model)
+    kept = kept.where(~rejected(cuts, F.col("tox_score"), F.col("lang"))).drop("tox_score")
+    return kept.withColumnsRenamed({f"_pl_own_{c}": c for c in names}).select(*names)
 
 
 def digest(spark, sf_dir: str) -> DataFrame:

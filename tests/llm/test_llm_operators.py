@@ -104,6 +104,11 @@ def test_toxicity(spark, none):
     kept = {x.doc_id for x in toxicity.filtered(d, labels).collect()}
     assert {1000, 1001} <= kept and np.mean([(x[0] in kept) == (x[5] == 0) for x in held]) > 0.97
     assert toxicity.filtered(none, labels.limit(0)).count() == 0
+    own = toxicity.filtered(d.withColumn("tox_score", F.lit("own")), labels)
+    assert own.columns == [*d.columns, "tox_score"] and {x.tox_score for x in own.select("tox_score").distinct().collect()} == {"own"}
+    long = spark.createDataFrame([(5000, "w1 w2 " * 200_000, "en", "s", 0), (5001, "w1 w2 " * 200_000 + bad[0] + " w3", "en", "s", 0)], DOCS)
+    low, high = (x.tox_score for x in toxicity.scored(long, model).orderBy("doc_id").collect())
+    assert low < 0.3 <= high
 
 
 def components(rows):
