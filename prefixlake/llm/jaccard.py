@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from prefixlake.llm.common import shuffle_partitions, written
+from prefixlake.llm.common import released, shuffle_partitions, sliced, written
 
 #: Words of a shingle and similarity as a fraction, as op6 has them: the defaults of `linked` and `representatives`.
 WORDS, NUM, DEN = 3, 90, 100
 #: Bytes of text that are split at once; at most so many common shingles are told apart by how common they are.
-CHUNK, HEAVY = 8_000_000, 1 << 16
+CHUNK, HEAVY = 4_000_000, 1 << 16
 #: Members of a list that meet in one task; longer lists are cut into blocks, and pairs of blocks dealt out.
 LIST = 4096
 #: Bits of a signature in the lists and of that of a set, and of the filter of sets that may have partners (8 MB, whatever the corpus).
@@ -84,16 +84,8 @@ def least_overlap(size: np.ndarray | int, num: int = NUM, den: int = DEN):
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Batches of at most CHUNK bytes of text (or one row) with their texts."""
-    for batch in batches:
-        texts = batch.column("_pl_text").to_pylist()
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end] or b"") <= CHUNK):
-                size += len(texts[end] or b"")
-                end += 1
-            yield batch.slice(at, end - at), texts[at:end]
-            at = end
+    for part in sliced(batches, "_pl_text", CHUNK):
+        yield part, part.column("_pl_text").to_pylist()
 
 
 def common_shingles(texts: DataFrame, limit: int = HEAVY, words: int = WORDS) -> np.ndarray:
@@ -105,7 +97,7 @@ def common_shingles(texts: DataFrame, limit: int = HEAVY, words: int = WORDS) ->
             keep = n >= max(4, len(part) // 500)
             yield pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["token", "n"])
 
-    counts = texts.mapInArrow(local, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(lambda x: released(local(x)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = counts.orderBy(F.desc("n"), "token").limit(limit).collect()
     return np.array([r["token"] for r in reversed(rows)], np.int64).view(_U)
 
@@ -251,7 +243,7 @@ def candidates(posts: DataFrame, mode: str, num: int = NUM, den: int = DEN) -> D
             if table:
                 yield from solved(table[0])
 
-    found = dealt.mapInArrow(meet, "a long, b long, low long")
+    found = dealt.mapInArrow(lambda x: released(meet(x)), "a long, b long, low long")
     if mode == "nearest":
         return found.groupBy("a").agg(F.min(F.struct("low", "b")).alias("x")).select("a", "x.b", "x.low")
     return found.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("low").alias("low")).select(F.col("x").alias("a"), F.col("y").alias("b"), "low")
@@ -264,12 +256,12 @@ def plausible(pairs: DataFrame, bounds: DataFrame, num: int = NUM, den: int = DE
     rows = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "sa", "sb", "la", "lb")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "la", CHUNK):
             la, lb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), _U).reshape(-1, LARGE // 64) for c in ("la", "lb"))
             most = (batch.column("sa").to_numpy() + batch.column("sb").to_numpy()) * (den - num) // (num + den)
             yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(la ^ lb).sum(axis=1, dtype=np.int64) <= most))
 
-    return rows.mapInArrow(keep, "a long, b long")
+    return rows.mapInArrow(lambda x: released(keep(x)), "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -279,7 +271,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN)
     rows = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "ta", "tb")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "ta", CHUNK):
             out = []
             for a, b, ta, tb in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")]):
                 both = np.concatenate([np.frombuffer(ta, _U), np.frombuffer(tb, _U)])
@@ -290,7 +282,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b", "dist"])
 
-    return rows.mapInArrow(count, "a long, b long, dist long")
+    return rows.mapInArrow(lambda x: released(count(x)), "a long, b long, dist long")
 
 
 def text_hash(text: bytes | None) -> int:
@@ -370,7 +362,7 @@ def linked(docs: DataFrame, text: str = "text", keep_text: bool = False, words:
                 [*[batch.column(c).cast(arrow.field(c).type) for c in names], *[pa.array(c, arrow.field(len(names) + k).type) for k, c in enumerate(cols)]], schema=arrow
             )
 
-    table = written(source.mapInArrow(make, schema), "sets")
+    table = written(source.mapInArrow(lambda x: released(make(x)), schema), "sets")
     filled = table.where("_pl_size > 0")
     reps = filled.groupBy("_pl_fp").agg(F.min(F.struct("_pl_rid", "_pl_hash")).alias("x"), F.min("doc_id").alias("_pl_id"))
     reps = reps.select("_pl_fp", F.col("x._pl_rid").alias("sid"), F.col("x._pl_hash").alias("text_hash"), "_pl_id")
@@ -422,7 +414,7 @@ def linked(docs: DataFrame, text: str = "text", keep_text: bool = False, words:
                     [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["_pl_fp", "tokens"]
                 )
 
-        made = source.select("_pl_text").mapInArrow(whole, "_pl_fp binary, tokens binary").groupBy("_pl_fp").agg(F.first("tokens").alias("tokens"))
+        made = source.select("_pl_text").mapInArrow(lambda x: released(whole(x)), "_pl_fp binary, tokens binary").groupBy("_pl_fp").agg(F.first("tokens").alias("tokens"))
         return written(made.join(wanted.select("_pl_fp", "sid"), "_pl_fp").select("sid", "tokens"), "members")
 
     near = groups = None

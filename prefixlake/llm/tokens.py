@@ -33,7 +33,7 @@ FILE = "shard int, block int, n_docs long, n_ids long, payload binary"
 def compress(ids: np.ndarray, last: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids, and where documents end, to symbols, the places of document ends among them, and rules (n x 2).
 
-    Re-Pair by levels: a round replaces every pair that occurs at least a quarter as often as the
+    Re-Pair by levels: a round replaces every pair that occurs at least an eighth as often as the
     most frequent one does, and rounds go on until no pair occurs `least` times or all 16-bit symbols
     are in use. Pairs are counted in buckets of a hash; a bucket counts one pair only, and those
     that share it wait for a round with another hash.
@@ -44,11 +44,11 @@ def compress(ids: np.ndarray, last: np.ndarray, least: int = LEAST) -> tuple[np.
         mixed = s[:-1] * np.uint32(0x9E3779B1 + 2 * len(rules)) + s[1:] * np.uint32(0x85EBCA77)
         mixed ^= mixed >> np.uint32(15)
         mixed *= np.uint32(0x2C1B3C6D)
-        bucket = (mixed >> np.uint32(32 - bits)).astype(np.int32)
+        bucket = (mixed >> np.uint32(32 - bits)).astype(np.intp)
         bucket[last[:-1]] = 1 << bits  # pairs never cross documents
         count = np.bincount(bucket, minlength=(1 << bits) + 1)
         count[-1] = 0
-        floor = max(least, int(count.max()) // 4)
+        floor = max(least, int(count.max()) // 8)
         at = np.flatnonzero((count >= floor)[bucket])
         own = bucket[at]
         key = (s[at].astype(np.int64) << 17) | s[at + 1]
