@@ -2,13 +2,14 @@
 
 Of the suffixes of all texts only those at anchors are sorted: every window of LENGTH bytes has
 one, its least K-gram by hash, so equal windows have equal anchors at equal places. Windows with
-the same anchor form a run. Anchors that occur once, nearly all, end there. Of the rest, runs with
-equal bytes are repeats; runs that share an anchor but differ are compared as suffixes: sampled
-splitters range-partition them by their leading bytes, each bucket is sorted by multikey
-quicksort, and the common prefixes of neighbours, with hashes of what precedes the anchor, tell
-which windows are repeats. Blocks of a bucket carry the last leading bytes over to the next one.
-An anchor within too many different runs (a phrase in a third of all texts) would make one hot
-bucket; its windows are spread by their own hashes instead.
+the same anchor form a run. Runs of a chunk with equal bytes are one entry, compared byte by byte.
+Hashes serve as a filter: anchors that occur once, nearly all, end there. Of the rest each entry is
+a suffix with what precedes its anchor: sampled splitters range-partition them by their leading
+bytes, blocks of a bucket are sorted by multikey quicksort, the parts before the anchors (reversed)
+too, and the common prefixes of neighbours in both orders tell which windows are repeats. Blocks
+carry the last leading bytes over to the next one.
+An anchor with too many entries (a phrase in a third of all texts) would make one hot bucket; its
+windows are spread by two 64-bit hashes of their own instead.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from prefixlake.llm.common import shuffle_partitions, written
+from prefixlake.llm.common import released, shuffle_partitions, sliced, written
 
 #: Bytes of a repeated string.
 LENGTH = 200
-#: Bytes of a chunk of documents and of a segment that is hashed at once; pairs of a bucket.
-CHUNK, SEGMENT, BUCKET = 8_000_000, 1 << 19, 1_000_000
-#: Different runs of an anchor within a chunk, and in all, beyond which its windows are spread.
+#: Bytes of a chunk of documents and of a segment that is hashed at once; entries of a bucket.
+CHUNK, SEGMENT, BUCKET = 4_000_000, 1 << 19, 200_000
+#: Entries of an anchor within a chunk, and in all, beyond which its windows are spread.
 LOCAL_HOT, HOT = 64, 1000
 #: Suffixes of a block that is sorted at once.
 BLOCK = 16384
@@ -113,23 +114,39 @@ def chunk_runs(data: np.ndarray, lens: np.ndarray, length: int, k: int) -> tuple
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def entries_of(anchors: np.ndarray, contents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (anchor, content) sorted by anchor, how often each occurs (2: more than once), and each run's place among them; 255 marks an anchor with too many contents, once."""
+def entries_of(data: np.ndarray, first: np.ndarray, count: np.ndarray, anchors: np.ndarray, contents: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of a chunk's distinct runs in order, how often each run occurs (2: more than once), and each run's place among them; 255 marks an anchor with too many, once."""
     if not len(anchors):
-        return anchors, contents, np.zeros(0, np.uint8), np.zeros(0, np.int32)
-    order = np.lexsort((contents, anchors))
-    a, c = anchors[order], contents[order]
-    new_a = np.append(True, a[1:] != a[:-1])
-    new = new_a | np.append(True, c[1:] != c[:-1])
-    group = np.cumsum(new_a) - 1
-    hot = np.bincount(group, weights=new)[group] > LOCAL_HOT
+        return anchors, np.zeros(0, np.uint8), np.zeros(0, np.int32)
+    while True:
+        order = np.lexsort((contents, anchors))
+        a, c = anchors[order], contents[order]
+        new_a = np.append(True, a[1:] != a[:-1])
+        new = new_a | np.append(True, c[1:] != c[:-1])
+        group = np.cumsum(new_a) - 1
+        hot = np.bincount(group, weights=new)[group] > LOCAL_HOT
+        # Runs that hashes call equal are compared; one that differs from the first goes under a hash of its own.
+        like = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        check = np.flatnonzero(~new & ~hot)
+        odd = []
+        for at in range(0, len(check), 4096):
+            x, y = order[check[at : at + 4096]], like[check[at : at + 4096]]
+            n = count[x] + length - 1
+            step = np.arange(int(n.max()))
+            same = data[np.minimum(first[x][:, None] + step, len(data) - 1)] == data[np.minimum(first[y][:, None] + step, len(data) - 1)]
+            odd.append(x[(count[x] != count[y]) | ~(same | (step >= n[:, None])).all(axis=1)])
+        odd = np.concatenate([*odd, np.zeros(0, np.int64)])
+        if not len(odd):
+            break
+        contents = contents.copy()
+        contents[odd] = mix(contents[odd] + odd.astype(_U) + _U(1))
     new &= ~hot | new_a
     place = np.cumsum(new) - 1
     times = np.minimum(np.bincount(place), 2).astype(np.uint8)
     times[place[hot]] = 255
     back = np.empty(len(a), np.int32)
     back[order] = place
-    return a[new], c[new], times, back
+    return a[new], times, back
 
 
 def window_hashes(data: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,31 +165,38 @@ def window_hashes(data: np.ndarray, first: np.ndarray, count: np.ndarray, length
 
 
 def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts rows of big-endian words by one word after another, going on only with rows that are equal so far.
+    """Multikey quicksort of rows of big-endian words, all segments of a round at once.
 
-    The order, and how many leading bytes each row in that order shares with the one before it.
+    A segment's rows agree up to its depth. They are parted by the word there into those below, at
+    and above a pivot, the median of three; those at the pivot go one word deeper. Returns the order
+    and how many leading bytes each row in that order shares with the one before it.
     """
-    n, depth = words.shape
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    live = np.arange(n)
-    shared = np.full(n, depth)
-    if n:
-        shared[0] = 0
-    for d in range(depth):
-        live = live[np.bincount(group[live])[group[live]] > 1] if len(live) else live
-        if not len(live):
-            break
-        rows, g = order[live], group[live]
-        by = np.lexsort((words[rows, d], g))
-        order[live] = rows[by]
-        key = words[order[live], d]
-        split = np.append(True, (g[1:] != g[:-1]) | (key[1:] != key[:-1]))
-        fresh = live[split & np.append(False, g[1:] == g[:-1])]
-        shared[fresh] = d
-        group[live] = live[np.flatnonzero(split)][np.cumsum(split) - 1]
+    n, deep = words.shape
+    order, shared = np.arange(n), np.full(n, deep)
+    shared[:1] = 0
+    start, size, depth = np.zeros(min(n, 1), np.int64), np.full(min(n, 1), n), np.zeros(min(n, 1), np.int64)
+    while len(start):
+        offset = np.cumsum(size) - size
+        seg = np.repeat(np.arange(len(start)), size)
+        pos = np.arange(len(seg)) + (start - offset)[seg]
+        rows = order[pos]
+        key = words[rows, depth[seg]]
+        a, b, c = key[offset], key[offset + size // 2], key[offset + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[seg]
+        part = 3 * seg + (key >= pivot) + (key > pivot)
+        found = np.bincount(part, minlength=3 * len(start))
+        by = np.argsort(part.astype(np.uint16) if len(found) < 65536 else part, kind="stable")
+        order[pos] = rows[by]
+        first = pos[np.minimum(np.cumsum(found) - found, len(pos) - 1)]
+        of, side = np.divmod(np.arange(len(found)), 3)
+        edge = (found > 0) & (first > start[of])
+        shared[first[edge]] = depth[of[edge]]
+        deeper = depth[of] + (side == 1)
+        on = (found > 1) & (deeper < deep)
+        start, size, depth = first[on], found[on], deeper[on]
     lcp = shared * 8
     if n > 1:
-        i = np.flatnonzero((np.arange(n) > 0) & (shared < depth))
+        i = np.flatnonzero((np.arange(n) > 0) & (shared < deep))
         x = words[order[i], shared[i]] ^ words[order[i - 1], shared[i]]
         same = np.zeros(len(i), np.int64)
         for b in range(1, 8):
@@ -181,34 +205,37 @@ def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def repeated_windows(payloads: list[bytes], off: np.ndarray, count: np.ndarray, length: int, k: int) -> np.ndarray:
-    """For runs (bytes, place of the anchor, windows): which windows equal one of another run with the same anchor, as booleans (runs x the most windows)."""
-    t, n, w = _tables(), len(payloads), length - k + 1
-    size = -(-length // 8) * 8
-    right = np.zeros((n, size), np.uint8)
-    left = np.zeros((n, w - 1), np.uint8)
-    for i, (b, o) in enumerate(zip(payloads, off.tolist())):
-        x = np.frombuffer(b, np.uint8)
-        tail = x[o : o + length]
-        right[i, : len(tail)] = tail
-        if o:
-            left[i, :o] = x[o - 1 :: -1] if o == len(x) else x[:o][::-1]
-    order, lcp = multikey_sort(right.view(">u8").astype(_U))
-    sums = np.zeros((n, w), _U)
-    if w > 1:
-        np.cumsum(t["byte"][left] * t["pow"][: w - 1], axis=1, out=sums[:, 1:])
+def _words(data: np.ndarray, at: np.ndarray, n: np.ndarray, width: int, step: int) -> np.ndarray:
+    """Rows of big-endian words: the n bytes from each place on, forward or (step -1) backward, then zeros up to the width."""
+    out = np.zeros((len(at), -(-width // 8) * 8), np.uint8)
+    ahead = np.arange(width)
+    for k in range(0, len(at), 4096):
+        spots = at[k : k + 4096, None] + step * ahead
+        out[k : k + 4096, :width] = np.where(ahead < n[k : k + 4096, None], data[np.clip(spots, 0, max(0, len(data) - 1))], 0)
+    return out.view(">u8").astype(_U)
+
+
+def repeated_windows(data: np.ndarray, ends: np.ndarray, off: np.ndarray, count: np.ndarray, length: int, k: int) -> np.ndarray:
+    """For runs (joined bytes that end at `ends`, place of the anchor, windows): which windows equal one of another run with the same anchor, as booleans (runs x the most windows)."""
+    n, w = len(ends), length - k + 1
+    starts = np.append(0, ends[:-1])
+    order, lcp = multikey_sort(_words(data, starts + off, np.minimum(ends - starts - off, length), length, 1))
+    back_order, back_lcp = multikey_sort(_words(data, starts + off - 1, off, max(1, w - 1), -1))
     out = np.zeros((n, w), bool)
-    low, high = (off - count + 1)[order], off[order]
+    low, high = off - count + 1, off
+    right, left = np.empty(n, np.int64), np.empty(n, np.int64)
     for j in range(w):
+        # The window that begins j bytes before the anchor: rows alike in length - j bytes from there on and in j bytes before.
         rows = np.flatnonzero((low <= j) & (j <= high))
         if len(rows) < 2:
             continue
-        run = np.cumsum(lcp < length - j)[rows]
-        key = mix(sums[order[rows], j] ^ (run.astype(_U) * _U(_BASE)))
+        right[order] = np.cumsum(lcp < length - j)
+        left[back_order] = np.cumsum(back_lcp < j)
+        key = right[rows] * (n + 1) + left[rows]
         by = np.argsort(key)
         same = key[by][1:] == key[by][:-1]
         dup = rows[by[np.append(same, False) | np.append(False, same)]]
-        out[order[dup], off[order[dup]] - j] = True
+        out[dup, off[dup] - j] = True
     return out
 
 
@@ -243,8 +270,8 @@ class _Chunk:
         self.codes = np.zeros(len(self.place), np.uint8)
 
 
-TABLE = "chunk long, rest binary, lens binary, blob binary, counts binary, offs binary, places binary"
-PAIRS = "bucket long, chunk long, first int, anchors binary, contents binary, times binary"
+TABLE = "chunk long, rest binary, lens binary, blob binary, counts binary, offs binary, places binary, anchors binary, times binary"
+PAIRS = "bucket long, chunk long, first int, anchors binary, times binary"
 FOUND = "chunk long, kind int, places binary, codes binary"
 MOVED = "kind int, bucket long, chunk long, place int, off int, count int, lead binary, payload binary, other binary"
 
@@ -254,9 +281,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ke
 
     A byte goes if a string of `length` bytes covers it that also starts anywhere else, in the same
     text or another; all is judged on the input. Null texts are empty; texts shorter than `length`
-    stay as they are; repeated rows remove each other; columns of docs with these names are
-    replaced, all others stay; an empty table stays empty. With keep_text, a null text stays null, and a character
-    of which a cut leaves a part goes wholly. Windows are told apart by two 64-bit hashes each.
+    stay as they are; very long texts are cut into pieces that overlap; repeated rows remove each other;
+    columns of docs with these names are replaced, all others stay; an empty table stays empty. With keep_text, a null text stays null, and a character
+    of which a cut leaves a part goes wholly.
     """
     spark = docs.sparkSession
     if not 16 <= length <= 400:
@@ -267,7 +294,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ke
     rest_schema = StructType([docs.schema[c] for c in names])
     rest_arrow = to_arrow_schema(rest_schema)
     total = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    bits = max(0, (total * 5 // (2 * length) // BUCKET).bit_length())
+    bits = max(0, (total * 3 // length // BUCKET).bit_length())  # an entry each length / 3 bytes
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -279,7 +306,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ke
             nonlocal number, texts, rest, size
             lens = np.array([len(x) if x is not None else 0 for x in texts], np.int64)
             blob = b"".join(x for x in texts if x)
-            _, count, off, anchors, contents = chunk_runs(np.frombuffer(blob, np.uint8), lens, length, k)
+            data = np.frombuffer(blob, np.uint8)
+            first, count, off, anchors, contents = chunk_runs(data, lens, length, k)
+            anchors, times, places = entries_of(data, first, count, anchors, contents, length)
             sink = io.BytesIO()
             with pa.ipc.new_stream(sink, rest_arrow.append(pa.field("_null", pa.bool_()))) as to:
                 nulls, at = [x is None for x in texts], 0
@@ -293,71 +322,66 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ke
                 "blob": zstandard.compress(blob),
                 "counts": count.astype(np.uint8).tobytes(),
                 "offs": off.astype(np.uint8).tobytes(),
-                "places": entries_of(anchors, contents)[3].tobytes(),
+                "places": places.tobytes(),
+                "anchors": anchors.tobytes(),
+                "times": times.tobytes(),
             }
             number, texts, rest, size = number + 1, [], [], 0
             return pa.RecordBatch.from_pylist([out])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                mine = some.column("_pl_text").to_pylist()
-                texts += mine
-                rest.append(pa.RecordBatch.from_arrays([some.column(c).cast(rest_arrow.field(c).type) for c in names], schema=rest_arrow) if names else pa.RecordBatch.from_arrays([], schema=rest_arrow))
-                size += sum(len(x) for x in mine if x)
-                if size >= CHUNK:
-                    yield row()
+        for some in sliced(batches, "_pl_text", CHUNK // 4):
+            mine = some.column("_pl_text").to_pylist()
+            texts += mine
+            rest.append(pa.RecordBatch.from_arrays([some.column(c).cast(rest_arrow.field(c).type) for c in names], schema=rest_arrow) if names else pa.RecordBatch.from_arrays([], schema=rest_arrow))
+            size += sum(len(x) for x in mine if x)
+            if size >= CHUNK:
+                yield row()
         if texts:
             yield row()
 
-    table = written(docs.select(*names, F.col(text).cast("binary").alias("_pl_text")).mapInArrow(make, TABLE), "chunks")
+    table = written(docs.select(*names, F.col(text).cast("binary").alias("_pl_text")).mapInArrow(lambda x: released(make(x)), TABLE), "chunks")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                data = _blocks(zstandard.decompress(row["blob"]), np.uint8)
-                _, _, _, anchors, contents = chunk_runs(data, _blocks(row["lens"], np.int64), length, k)
-                a, c, times, _ = entries_of(anchors, contents)
+            for at in range(batch.num_rows):
+                number, a, times = (batch.column(c)[at].as_py() for c in ("chunk", "anchors", "times"))
+                a, times = _blocks(a, _U), _blocks(times, np.uint8)
                 bucket = (a >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(a), np.int64)
-                for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(bucket)) + 1):
-                    if len(part):
-                        yield pa.RecordBatch.from_pylist(
-                            [
-                                {
-                                    "bucket": int(bucket[part[0]]),
-                                    "chunk": row["chunk"],
-                                    "first": int(part[0]),
-                                    "anchors": a[part].tobytes(),
-                                    "contents": c[part].tobytes(),
-                                    "times": times[part].tobytes(),
-                                }
-                            ],
-                            schema=pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("first", pa.int32()), ("anchors", pa.binary()), ("contents", pa.binary()), ("times", pa.binary())]),
-                        )
+                cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(a)] if len(a) else [0]
+                parts = list(zip(cuts, cuts[1:]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(bucket[cuts[:-1]], pa.int64()),
+                        pa.array([number] * len(parts), pa.int64()),
+                        pa.array(cuts[:-1], pa.int32()),
+                        pa.array([a[x:y].tobytes() for x, y in parts], pa.binary()),
+                        pa.array([times[x:y].tobytes() for x, y in parts], pa.binary()),
+                    ],
+                    names=["bucket", "chunk", "first", "anchors", "times"],
+                )
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.concatenate([_blocks(x, _U) for x in pdf["anchors"]])
-        c = np.concatenate([_blocks(x, _U) for x in pdf["contents"]])
-        times = np.concatenate([_blocks(x, np.uint8) for x in pdf["times"]]).astype(np.int64)
         n = np.array([len(x) for x in pdf["times"]])
-        chunk = np.repeat(pdf["chunk"].to_numpy(), n)
-        place = np.concatenate([np.arange(f, f + m, dtype=np.int32) for f, m in zip(pdf["first"], n)])
-        order = np.lexsort((chunk, c, a))
-        a, c, times, chunk, place = a[order], c[order], times[order], chunk[order], place[order]
-        new_a = np.append(True, a[1:] != a[:-1])
-        new_c = new_a | np.append(True, c[1:] != c[:-1])
-        ga, gc = np.cumsum(new_a) - 1, np.cumsum(new_c) - 1
-        kinds = np.bincount(ga, weights=new_c)[ga]
-        hot = (np.bincount(ga, weights=times == 255)[ga] > 0) | (kinds > HOT)
-        full = np.bincount(gc, weights=times)[gc] > 1
-        code = np.where(hot, SPREAD, np.where(full, FULL, 0) | np.where((kinds > 1) & new_c, SHIP, 0)).astype(np.uint8)
-        keep = code > 0
+        a = np.concatenate([_blocks(x, _U) for x in pdf["anchors"]])
+        order = np.argsort(a)
+        a = a[order]
+        group = np.cumsum(np.append(True, a[1:] != a[:-1])) - 1
+        times = np.concatenate([_blocks(x, np.uint8) for x in pdf["times"]])[order]
+        entries = np.bincount(group)
+        hot = (np.bincount(group, weights=times == 255) > 0) | (entries > HOT)
+        many = np.bincount(group, weights=times) > 1
+        code = np.where(hot[group], SPREAD, np.where(times == 2, FULL, 0) | np.where((entries > 1)[group], SHIP, 0)).astype(np.uint8)
+        order = order[(code > 0) & many[group]]
+        code = code[(code > 0) & many[group]]
+        row = np.searchsorted(np.cumsum(n), order, "right")
+        place = (order - (np.cumsum(n) - n)[row] + pdf["first"].to_numpy()[row]).astype(np.int32)
         return pd.DataFrame(
-            [{"chunk": ch, "kind": 0, "places": p.tobytes(), "codes": x.tobytes()} for ch, p, x in _by_chunk(chunk[keep], place[keep], code[keep])],
+            [{"chunk": ch, "kind": 0, "places": p.tobytes(), "codes": x.tobytes()} for ch, p, x in _by_chunk(pdf["chunk"].to_numpy()[row], place, code)],
             columns=["chunk", "kind", "places", "codes"],
         )
 
-    codes = written(table.select("chunk", "lens", "blob").mapInArrow(pairs, PAIRS).groupBy("bucket").applyInPandas(judge, FOUND), "codes")
+    codes = table.select("chunk", "anchors", "times").mapInArrow(lambda x: released(pairs(x)), PAIRS)
+    codes = written(codes.groupBy("bucket").applyInPandas(judge, FOUND), "codes")
 
     def spread_of(chunk: _Chunk) -> tuple[np.ndarray, ...]:
         """Hashes of the windows to spread, and of the distinct ones the order and each window's place there."""
@@ -396,35 +420,37 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ke
                     out.append((1, int(bucket[part[0]]), row["chunk"], int(part[0]), None, None, times[part].tobytes(), one[part].tobytes(), two[part].tobytes()))
         return pd.DataFrame(out, columns=[c.split()[0] for c in MOVED.split(", ")])
 
-    moved = written(table.drop("rest").groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInPandas(ship, MOVED), "suffixes")
+    moved = written(table.drop("rest", "anchors", "times").groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInPandas(ship, MOVED), "suffixes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(rows: list[dict]) -> pa.RecordBatch:
-            off, count = np.array([r["off"] for r in rows]), np.array([r["count"] for r in rows])
-            masks = np.packbits(repeated_windows([r["payload"] for r in rows], off, count, length, k), axis=1)
-            place = np.array([r["place"] for r in rows], np.int32)
+        def solved(rows: pa.RecordBatch) -> pa.RecordBatch:
+            off, count, place, chunk = (rows.column(c).to_numpy() for c in ("off", "count", "place", "chunk"))
+            payload = rows.column("payload").to_pylist()
+            ends = np.cumsum([len(x) for x in payload])
+            masks = np.packbits(repeated_windows(_blocks(b"".join(payload), np.uint8), ends, off.astype(np.int64), count.astype(np.int64), length, k), axis=1)
             keep = masks.any(axis=1)
-            chunk = np.array([r["chunk"] for r in rows], np.int64)
             got = [{"chunk": c, "kind": 1, "places": p.tobytes(), "codes": m.tobytes()} for c, p, m in _by_chunk(chunk[keep], place[keep], masks[keep])]
             return pa.RecordBatch.from_pylist(got, schema=pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("places", pa.binary()), ("codes", pa.binary())]))
 
-        held: list[dict] = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            held += batch.to_pylist()
-            if len(held) >= BLOCK:
-                # What begins like the last suffix may go on in the next block.
-                cut = len(held)
-                while cut and held[cut - 1]["lead"] == held[-1]["lead"]:
-                    cut -= 1
-                if cut:
-                    yield solved(held[:cut])
-                    held = held[cut:]
-        if held:
-            yield solved(held)
+            held.append(batch)
+            if sum(b.num_rows for b in held) < BLOCK:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            # What begins like the last suffix may go on in the next block.
+            lead, cut = rows.column("lead"), rows.num_rows
+            while cut and lead[cut - 1].as_py() == lead[rows.num_rows - 1].as_py():
+                cut -= 1
+            if cut:
+                yield solved(rows.slice(0, cut))
+            held = [rows.slice(cut)]
+        for rows in pa.Table.from_batches(held).combine_chunks().to_batches() if held else []:
+            yield solved(rows)
 
     suffixes = moved.where("kind = 0").select("lead", "payload", "off", "count", "chunk", "place")
     suffixes = suffixes.repartitionByRange(shuffle_partitions(spark), "lead").sortWithinPartitions("lead")
-    masks = suffixes.mapInArrow(compare, FOUND)
+    masks = suffixes.mapInArrow(lambda x: released(compare(x)), FOUND)
 
     def met(pdf: pd.DataFrame) -> pd.DataFrame:
         one = np.concatenate([_blocks(x, _U) for x in pdf["payload"]])

@@ -84,6 +84,26 @@ def test_suffixes(docs, none, rows, hot, monkeypatch):
     assert suffixes.digest(none).count() == 0
 
 
+def test_suffixes_of_very_long_texts(spark, monkeypatch):
+    """Texts over a segment and a chunk, with passages that two of them, or one of them twice, hold; hashes of runs that all agree."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    own = [" ".join(word() for _ in range(n)) for n in (90_000, 700_000, 20, 0)]
+    passage = " ".join(word() for _ in range(70))
+    data = [own[0][:300_000] + passage + own[0][300_000:], own[1][:2_500_000] + passage + own[1][2_500_000:] + own[1][100:400], passage[5:300], own[2], own[3]]
+    got = {x.doc_id: x for x in suffixes.remove_repeats(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(data)], DOCS)).collect()}
+    for i, m in enumerate(repeats([x.encode() for x in data], 200)):
+        assert (got[i].n_bytes, got[i].n_removed) == (len(data[i]), int(m.sum()))
+        assert got[i].kept_sha256 == hashlib.sha256(np.frombuffer(data[i].encode(), np.uint8)[~m].tobytes()).hexdigest()
+    runs = suffixes.chunk_runs(np.frombuffer(b"ab" * 300 + passage.encode() * 2, np.uint8), np.array([600 + 2 * len(passage)]), 60, 24)
+    text = np.frombuffer(b"ab" * 300 + passage.encode() * 2, np.uint8)
+    exact = suffixes.entries_of(text, runs[0], runs[1], runs[3] * 0, runs[4], 60)
+    monkeypatch.setattr(suffixes, "LOCAL_HOT", 10**6)
+    alike = suffixes.entries_of(text, runs[0], runs[1], runs[3] * 0, runs[4] * 0, 60)
+    distinct = {text[f : f + c + 59].tobytes() for f, c in zip(runs[0], runs[1])}
+    assert len(exact[0]) == len(distinct) <= len(alike[0])  # equal hashes alone make no entry
+
+
 def test_toxicity(spark, none):
     r = random.Random(2)
     bad, good = ["vilebo", "vilexa", "vileum"], [f"w{i}" for i in range(80)]
@@ -147,7 +167,8 @@ def test_jaccard(docs, none, rows, size, monkeypatch):
 
 def test_multikey_sort():
     r = np.random.default_rng(3)
-    words = r.integers(0, 3, (300, 4)).astype(np.uint64) << np.uint64(56)
+    words = np.concatenate([r.integers(0, 3, (300, 4)).astype(np.uint64) << np.uint64(56), np.full((50, 4), 7, np.uint64), r.integers(0, 2**63, (200, 4)).astype(np.uint64)])
+    assert [len(x) for x in suffixes.multikey_sort(words[:0])] == [0, 0]
     order, lcp = suffixes.multikey_sort(words)
     raw = [words[i].astype(">u8").tobytes() for i in order]
     assert raw == sorted(raw)
