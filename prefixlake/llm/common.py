@@ -17,6 +17,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Makes Spark drop the shuffle files of a query that has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths of the tables that `written` has made, in order.
+_WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +43,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleared(spark: SparkSession, since: int = 0) -> None:
+    """Empties the tables that `written` has made from number `since` on; for when no result that reads them is needed any more."""
+    for path in _WRITTEN[since:]:
+        spark.createDataFrame([], "nothing int").coalesce(1).write.mode("overwrite").parquet(path)
+    del _WRITTEN[since:]
+
+
+def n_written() -> int:
+    return len(_WRITTEN)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice has at most `limit` bytes in a column, or one row; nothing is copied."""
     for batch in batches:

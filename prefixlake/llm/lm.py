@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefixlake.llm.common import id_fold, written
+from prefixlake.llm.common import id_fold, released, sliced, written
 
 #: Bits an entry, probes a level, levels a doubling.
 PER_ENTRY, PROBES, STEPS = 10, 4, 2
@@ -83,7 +83,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         part, n, size, rows = TaskContext.get().partitionId(), 0, 0, []
-        for batch in batches:
+        for batch in sliced(batches, "text", CHUNK // 8):
             for row in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "held_out")]):
                 rows.append(row)
                 size += len(row[1] or b"") + 16
@@ -93,7 +93,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist([chunk_of(rows, part << 32 | n)])
 
-    return written(docs.select("doc_id", F.col("text").cast("binary").alias("text"), "held_out").mapInArrow(make, CHUNKS), "chunks")
+    return written(docs.select("doc_id", F.col("text").cast("binary").alias("text"), "held_out").mapInArrow(lambda x: released(make(x)), CHUNKS), "chunks")
 
 
 def word_counts(table: DataFrame) -> DataFrame:
@@ -213,9 +213,17 @@ def probed_levels(table: DataFrame, ranges: int) -> DataFrame:
                 key, at = np.unique(pairs(np.frombuffer(hashes, np.uint64), np.frombuffer(stream, np.int32), lens), return_inverse=True)
                 n = np.bincount(at[np.repeat(train, lens)], minlength=len(key))
                 part, rest = located(key, ranges)
-                cuts = np.flatnonzero(np.diff(part)) + 1
-                for p, k, c in zip(np.split(part, cuts), np.split(rest, cuts), np.split(n, cuts)):
-                    yield pa.RecordBatch.from_pylist([{"range": int(p[0]), "chunk": chunk, "keys": five_bytes(k), "counts": c.astype("<u4").tobytes()}])
+                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+                spans = list(zip(cuts, cuts[1:]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(part[cuts[:-1]], pa.int64()),
+                        pa.array([chunk] * len(spans), pa.int64()),
+                        pa.array([five_bytes(rest[a:b]) for a, b in spans], pa.binary()),
+                        pa.array([n[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()),
+                    ],
+                    names=["range", "chunk", "keys", "counts"],
+                )
 
     def probed(pdf: pd.DataFrame) -> pd.DataFrame:
         n = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["counts"]])
@@ -223,7 +231,7 @@ def probed_levels(table: DataFrame, ranges: int) -> DataFrame:
         bits = np.frombuffer(segment(keys, np.bincount(at, weights=n[n > 0])), np.uint8)
         return pd.DataFrame({"chunk": pdf["chunk"], "range": pdf["range"], "levels": [found(from_five(x), bits).tobytes() for x in pdf["keys"]]})
 
-    rows = table.select("chunk", "flags", "lens", "stream", "hashes").mapInArrow(cut, "range long, chunk long, keys binary, counts binary")
+    rows = table.select("chunk", "flags", "lens", "stream", "hashes").mapInArrow(lambda x: released(cut(x)), "range long, chunk long, keys binary, counts binary")
     return rows.groupBy("range").applyInPandas(probed, "chunk long, range long, levels binary")
 
 

@@ -2,9 +2,8 @@
 
 Sizes are summed by source, targets follow from the weights, and a source's rate is its target
 over its size. A document is taken floor(rate) times, and once more if its seeded hash falls below
-the fraction. The hash is compared at the point of its range where the words of a source that lie
-below come nearest to the fraction of its words: that point is the fraction itself but for the
-luck of the draw, which in small sources would miss the target.
+the fraction. Only where the luck of that draw leaves a source off its target by more than SLACK,
+as in small sources, is the point of comparison moved to where the words below it come nearest.
 """
 
 from __future__ import annotations
@@ -15,7 +14,9 @@ from pyspark.sql import functions as F
 from prefixlake.llm.common import id_text, n_words
 
 #: Parts of the hash range that are told apart; each source's histogram has so many entries at most.
-BINS = 4096
+BINS = 65536
+#: Share of its target that a source may be off before the draw is corrected.
+SLACK = 0.005
 SEED = "mix-9"
 
 
@@ -51,21 +52,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     the same id share their draw. Reruns agree. Columns with the new names are replaced. An empty table stays empty.
     """
     docs = docs.drop("size", "source_size", "target", "copies")
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), id_text(F.col("doc_id")))), 1, 3), 16, 10).cast("int")
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), id_text(F.col("doc_id")))), 1, 4), 16, 10).cast("int")
     docs = docs.withColumn("size", n_words(F.col("text"))).withColumn("_pl_bin", draw)
     hist = docs.groupBy("source", "_pl_bin").agg(F.sum("size").alias("_n"))
     goal = targets(hist.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, share, cap)
     goal = goal.withColumn("_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     goal = goal.withColumn("_pl_floor", F.floor("_rate").cast("long"))
     goal = goal.withColumn("_want", F.col("target") - F.col("_pl_floor") * F.col("source_size"))
+    # The plain draw: probability of a copy equal to the fraction.
+    goal = goal.withColumn("_plain", F.floor((F.col("_rate") - F.col("_pl_floor")) * BINS + F.lit(0.5)).cast("int"))
     below = Window.partitionBy("source").orderBy("_pl_bin").rowsBetween(Window.unboundedPreceding, 0)
-    sums = hist.withColumn("_sum", F.sum("_n").over(below)).select(F.col("source").alias("_s"), "_pl_bin", "_sum")
-    # The cut goes after the bin where the words below come nearest to what is wanted; -1: before all.
+    sums = hist.withColumn("_sum", F.sum("_n").over(below)).select(F.col("source").alias("_s"), "_pl_bin", "_n", "_sum")
+    # Corrected, the cut goes after the bin where the words below come nearest to what is wanted; -1: before all.
     cut = (
         goal.join(sums, F.col("source").eqNullSafe(F.col("_s")))
-        .groupBy("source", "source_size", "target", "_pl_floor", "_want")
-        .agg(F.min(F.struct(F.abs(F.col("_sum") - F.col("_want")), F.col("_pl_bin"))).alias("_best"))
-        .withColumn("_pl_cut", F.when(F.col("_want") <= F.col("_best.col1"), F.lit(-1)).otherwise(F.col("_best._pl_bin")))
+        .groupBy("source", "source_size", "target", "_pl_floor", "_want", "_plain")
+        .agg(
+            F.min(F.struct(F.abs(F.col("_sum") - F.col("_want")), F.col("_pl_bin"))).alias("_best"),
+            F.coalesce(F.sum(F.when(F.col("_pl_bin") < F.col("_plain"), F.col("_n"))), F.lit(0)).alias("_drawn"),
+        )
+        .withColumn("_pl_cut", F.when(F.abs(F.col("_drawn") - F.col("_want")) <= SLACK * F.col("target"), F.col("_plain") - 1).when(F.col("_want") <= F.col("_best.col1"), F.lit(-1)).otherwise(F.col("_best._pl_bin")))
         .select(F.col("source").alias("_pl_src"), "source_size", "target", "_pl_floor", "_pl_cut")
     )
     return (

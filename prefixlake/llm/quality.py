@@ -170,7 +170,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     same id are judged each on its own text; labels without a document, or null, teach nothing.
     """
     stats = with_features(written(statistics(docs), "quality")).withColumn("base_failed", base_failed())
-    known = labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("good"))
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("good")).where("good in (0, 1)")
     labelled = written(stats.where(~F.col("base_failed")).join(known, "doc_id").withColumn("fold", id_fold(F.col("doc_id"), 3)), "labelled")
     rules = learn(labelled)
     return stats.withColumn("kept", ~F.col("base_failed") & verdict(rules))

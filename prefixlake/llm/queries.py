@@ -64,7 +64,7 @@ FROM s, crc""",
     "op9_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('mix-9:' || coalesce(doc_id::VARCHAR, 'null')), 1, 3))::INT AS bin FROM documents
+         ('0x' || substr(md5('mix-9:' || coalesce(doc_id::VARCHAR, 'null')), 1, 4))::INT AS bin FROM documents
 ), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (SELECT *, ([3.0, 1.0, 2.0]::DOUBLE[])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, source_size * 2.0::DOUBLE AS cap FROM s
 ), k AS (
@@ -76,14 +76,15 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * w) END AS target FROM k, l
 ), g AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole, target - whole * source_size AS want FROM t
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole, target - whole * source_size AS want,
+    CASE WHEN source_size > 0 THEN floor((target / source_size - whole) * 65536 + 0.5::DOUBLE)::INT ELSE 0 END AS plain FROM t
 ), h AS (
-  SELECT source, bin, sum(n) OVER (PARTITION BY source ORDER BY bin) AS below
+  SELECT source, bin, n, sum(n) OVER (PARTITION BY source ORDER BY bin) AS below
   FROM (SELECT source, bin, sum(size) AS n FROM d GROUP BY source, bin)
 ), b AS (
-  SELECT g.source, min({'e': abs(below - want), 'b': bin}) AS best FROM g JOIN h ON g.source IS NOT DISTINCT FROM h.source GROUP BY g.source
+  SELECT g.source, min({'e': abs(below - want), 'b': bin}) AS best, coalesce(sum(n) FILTER (bin < plain), 0) AS drawn FROM g JOIN h ON g.source IS NOT DISTINCT FROM h.source GROUP BY g.source
 )
 SELECT d.doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies, source FROM (
-  SELECT d.*, g.source_size, g.target, (whole + (CASE WHEN want <= best.e THEN false ELSE bin <= best.b END)::INT)::INT AS copies
+  SELECT d.*, g.source_size, g.target, (whole + (CASE WHEN abs(drawn - want) <= 0.005::DOUBLE * g.target THEN bin < plain WHEN want <= best.e THEN false ELSE bin <= best.b END)::INT)::INT AS copies
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source JOIN b ON d.source IS NOT DISTINCT FROM b.source) d""",
 }

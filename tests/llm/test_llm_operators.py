@@ -203,6 +203,26 @@ def test_quality_rules_find_planted_thresholds(spark, none):
     assert quality.judged(none, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
 
 
+def test_quality_verdicts(spark, rows):
+    """base_failed by its definition on all texts, long ones too; kept: never for those, and like the labels for the others."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    own = [(2000 + i, " ".join(word() + ("#$%" if i % 2 else "") for _ in range(r.randint(30, 60)))) for i in range(400)]
+    own += [(3000, " ".join(word() for _ in range(60_000))), (3001, "same eight words over and over again now " * 9000)]
+    data = [*[(x[0], x[1]) for x in rows], *own]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in own[:300]] + [(2001, 7), (2002, None), (None, 1)], "doc_id long, quality int")
+    got = collections.defaultdict(list)
+    for x in quality.judged(spark.createDataFrame(data, "doc_id long, text string"), labels).collect():
+        got[x.doc_id].append(x)
+    for i, t in data:
+        w = (t or "").encode().split()
+        seen = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        hit = {j for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
+        failed = len(w) < 20 or 100 * len(hit) > 30 * len(w)
+        assert i == 5 or all(x.base_failed == failed and x.n_words == len(w) and not (failed and x.kept) for x in got[i])
+    assert np.mean([got[i][0].kept == (i % 2 == 0) for i, _ in own[:400]]) > 0.97
+
+
 def test_sharding(docs, none, rows):
     got = sharding.digest(docs).collect()
     by = collections.defaultdict(list)
@@ -355,6 +375,18 @@ def test_lm(docs, none, rows):
         assert x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 1)
         assert (x.n_tokens, x.n_known, x.train_tokens) == (len(toks), sum(t in count for t in toks), n)
         assert abs(x.base_score - sum(np.log10((count[t] + 0.5) / (n + 0.5 * (v + 1))) for t in toks)) < 1e-6
+    pair, total = collections.Counter(), collections.Counter()
+    for r in rows:
+        if zlib.crc32(str(r[0]).encode()) % 5 != 1:
+            toks = [None, *(r[1] or "").encode().lower().split(), None]
+            pair.update(zip(toks, toks[1:]))
+    for x in got:  # as close to exact bigram counts as half a doubling of the counts and few false positives allow
+        toks = [None, *(text[x.doc_id] or "").encode().lower().split(), None]
+        exact = 0.0
+        for a, b in zip(toks, toks[1:]):
+            single = (count[b] + 0.5) / (n + 0.5 * (v + 1))
+            exact += np.log10((1 - lm.MIX) * single + lm.MIX * (min(1.0, pair[a, b] / count[a]) if count[a] else single))
+        assert abs(x.score - exact) <= 0.08 * len(toks) + 0.1
     held = [x for x in got if x.held_out]
     assert sum(x.score for x in held) > sum(x.base_score for x in held)
     assert lm.digest(none).count() == 0
@@ -380,6 +412,12 @@ def test_pipeline_stages(spark, docs, none):
     import corpus_pipeline as p
 
     assert [n for n, _ in p.STAGES] == ["toxicity", "jaccard_join", "suffix_dedup", "mixing", "packing"]
+    used = ("tox_score", "n_shingles", "component_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "size", "source_size", "target", "copies")
+    clash = docs.withColumns({c: F.lit(f"own {c}") for c in used})
+    for name, f in p.STAGES[:4]:
+        kept = f(spark, clash, "/root/testdata/sf0.001")
+        assert kept.columns == clash.columns and kept.select(*used).distinct().count() == 1
+        assert kept.select("size", "n_bytes", "tox_score").first() == ("own size", "own n_bytes", "own tox_score")
     for start in (docs, none):
         at = start
         for name, f in p.STAGES:
