@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefixlake.llm import jaccard, mixing, packing, suffixes, toxicity
-from prefixlake.llm.common import shared_dir, table
+from prefixlake.llm.common import cleared, n_written, shared_dir, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def aside(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its own columns of the names that an operator uses renamed, and the names to give back."""
+    back = {f"_own_{c}": c for c in docs.columns if c in used}
+    return docs.withColumnsRenamed({c: x for x, c in back.items()}), back
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the classifier, trained on labels, rejects; null and empty texts are judged as no words."""
     return toxicity.filtered(docs, table(spark, sf_dir, "labels"))
@@ -25,20 +31,22 @@ def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the bytes of passages that occur elsewhere; n_chars follows. No document goes, null texts stay null."""
-    cut = suffixes.remove_repeats(docs, keep_text=True)
+    """docs without the bytes of passages that occur elsewhere; n_chars follows. No document goes, null texts stay null, columns of any name stay."""
+    own, back = aside(docs, ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+    cut = suffixes.remove_repeats(own, keep_text=True).select(*own.columns).withColumnsRenamed(back)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's repetition rate and its draw say: none, one or two times."""
-    return mixing.emitted(mixing.mix(docs)).select(*docs.columns)
+    """Each document as often as its source's repetition rate and its draw say: none, one or two times. Null and empty texts have no words and stay by the same draw; columns of any name stay."""
+    own, back = aside(docs, ("size", "source_size", "target", "copies"))
+    return mixing.emitted(mixing.mix(own)).select(*own.columns).withColumnsRenamed(back).select(*docs.columns)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a document in a sequence of 2048 tokens."""
+    """One row for each piece of a document in a sequence of 2048 tokens; null and empty texts are one piece of their end id."""
     return packing.pack(docs)
 
 
@@ -55,11 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet in the shared folder and read again."""
+    """The stages over documents, each written as Parquet in the shared folder and read again; what a stage wrote besides is emptied."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        before = n_written()
         out = stage(spark, docs, sf_dir)
         out.write.parquet(path)
+        cleared(spark, before)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs
