@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from prefixlake.functions import formats, hashing
 from prefixlake.functions.textnorm import POLARITY, VALUE_WORDS, content_hash, normalized
 from prefixlake.operators import blocks, guard, kvlog, metrics, placement, prefix, registry, vector, workload
-from prefixlake.sources.tables import decoded_records, encoded_records, parquet
+from prefixlake.sources.tables import parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -82,8 +82,10 @@ INCOMING = r"""incoming AS (SELECT doc_id, source AS namespace, CASE WHEN doc_id
   WHEN doc_id % 3 = 1 THEN text || ' changed' ELSE text END AS text FROM documents)"""
 
 
-def nodes_of(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(n).select(F.concat(F.lit("node-"), F.col("id").cast("string")).alias("node_id"), F.concat(F.lit("10.0.0."), F.col("id").cast("string"), F.lit(":7000")).alias("address"))
+def nodes_of(spark: SparkSession, sf: str, n: int) -> DataFrame:
+    """The first n nations as nodes."""
+    i = F.col("n_nationkey").cast("string")
+    return parquet(spark, sf, "nation").where(F.col("n_nationkey") < n).select(F.concat(F.lit("node-"), i).alias("node_id"), F.concat(F.lit("10.0.0."), i, F.lit(":7000")).alias("address"))
 
 
 def fnv_sql(key: str) -> str:
@@ -102,7 +104,7 @@ def mixed_sql(x: str, name: str, source: str, keep: str) -> str:
 
 
 def owners_sql(name: str, n: int, replicas: int) -> str:
-    return f"""{name}_n AS (SELECT 'node-' || i AS node_id, {fnv_sql("('node-' || i)")} AS seed FROM range({n}) t(i)),
+    return f"""{name}_n AS (SELECT 'node-' || i AS node_id, {fnv_sql("('node-' || i)")} AS seed FROM (SELECT n_nationkey AS i FROM nation WHERE n_nationkey < {n})),
 {name}_s AS (SELECT i::INT AS shard, i::UHUGEINT AS x FROM range({SHARDS}) t(i)),
 {mixed_sql('x', name + '_m', name + '_s', 'shard')},
 {name}_p AS (SELECT shard, node_id, xor(seed, {name}_m_v) AS x FROM {name}_m, {name}_n),
@@ -112,12 +114,12 @@ def owners_sql(name: str, n: int, replicas: int) -> str:
 
 def log_of(spark: SparkSession, sf: str) -> DataFrame:
     e = parquet(spark, sf, "events")
-    seq = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ts", "event_id")).cast("long")  # events stand for a log, which comes numbered
+    seq = F.col("event_id") + 1  # events are numbered, as a log is
     op = F.when(F.col("event_type") == "error", kvlog.DEL).otherwise(kvlog.SET)
     return e.select(seq.alias("sequence"), op.alias("opcode"), F.concat(F.lit("key-"), F.col("user_id").cast("string")).alias("key"), F.col("props").alias("value"))
 
 
-LOG = """log AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS sequence, CASE WHEN event_type = 'error' THEN 3 ELSE 2 END AS opcode, 'key-' || user_id AS key, props AS value FROM events),
+LOG = """log AS (SELECT event_id + 1 AS sequence, CASE WHEN event_type = 'error' THEN 3 ELSE 2 END AS opcode, 'key-' || user_id AS key, props AS value FROM events),
 state AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY key ORDER BY sequence DESC) = 1 AND opcode = 2)"""
 
 
@@ -258,50 +260,50 @@ def key_hashes(spark, sf):
 
 @query(f"WITH {owners_sql('o', 5, 2)} SELECT shard, node_id, rank, lpad(lower(hex(w::UBIGINT)), 16, '0') AS weight FROM o")
 def placement_ranked(spark, sf):
-    return placement.ranked_owners(nodes_of(spark, 5), SHARDS, 2)
+    return placement.ranked_owners(nodes_of(spark, sf, 5), SHARDS, 2)
 
 
 @query(f"WITH {owners_sql('o', 5, 2)} SELECT node_id, count(*) FILTER (rank = 1) AS primaries, count(*) FILTER (rank > 1) AS replicas FROM o GROUP BY ALL")
 def placement_shares(spark, sf):
-    return placement.shares(placement.ranked_owners(nodes_of(spark, 5), SHARDS, 2))
+    return placement.shares(placement.ranked_owners(nodes_of(spark, sf, 5), SHARDS, 2))
 
 
 @query(f"WITH {owners_sql('a', 5, 0)}, {owners_sql('b', 4, 0)} SELECT count(*) FILTER (a.node_id <> b.node_id) AS moved, count(*) FILTER (a.node_id = b.node_id) AS stable, count(*) FILTER (a.node_id <> b.node_id AND a.node_id <> 'node-4' AND b.node_id <> 'node-4') AS violations FROM a JOIN b USING (shard)")
 def placement_moves(spark, sf):
-    before, after = (placement.ranked_owners(nodes_of(spark, n), SHARDS) for n in (5, 4))
+    before, after = (placement.ranked_owners(nodes_of(spark, sf, n), SHARDS) for n in (5, 4))
     return placement.moves(before, after, "node-4")
 
 
 @query(f"WITH {owners_sql('a', 5, 2)}, {owners_sql('b', 4, 2)} SELECT x.shard, x.node_id AS old, y.node_id AS new, z.node_id = y.node_id AS as_promised FROM a x JOIN b y USING (shard) JOIN a z USING (shard) WHERE x.rank = 1 AND y.rank = 1 AND z.rank = 2 AND x.node_id <> y.node_id")
 def placement_promoted(spark, sf):
-    return placement.promoted(*(placement.ranked_owners(nodes_of(spark, n), SHARDS, 2) for n in (5, 4)))
+    return placement.promoted(*(placement.ranked_owners(nodes_of(spark, sf, n), SHARDS, 2) for n in (5, 4)))
 
 
 @query(f"""WITH {owners_sql('a', 4, 0)}, {owners_sql('b', 5, 0)}, x AS (FROM a WHERE shard >= 3), y AS (FROM b WHERE shard < 250)
 SELECT shard, x.node_id AS before, y.node_id AS after, CASE WHEN y.node_id IS NULL THEN 'missing' WHEN x.node_id IS NULL THEN 'unexpected' ELSE 'different' END AS kind FROM x FULL JOIN y USING (shard) WHERE x.node_id IS DISTINCT FROM y.node_id""")
 def placement_map_diff(spark, sf):
-    return placement.map_diff(placement.ranked_owners(nodes_of(spark, 4), SHARDS).where("shard >= 3"), placement.ranked_owners(nodes_of(spark, 5), SHARDS).where("shard < 250"))
+    return placement.map_diff(placement.ranked_owners(nodes_of(spark, sf, 4), SHARDS).where("shard >= 3"), placement.ranked_owners(nodes_of(spark, sf, 5), SHARDS).where("shard < 250"))
 
 
 @query(f"WITH {owners_sql('a', 4, 1)}, {owners_sql('b', 5, 1)} SELECT shard, node_id FROM b EXCEPT SELECT shard, node_id FROM a")
 def placement_gained(spark, sf):
-    return placement.gained(*(placement.ranked_owners(nodes_of(spark, n), SHARDS, 1) for n in (4, 5)))
+    return placement.gained(*(placement.ranked_owners(nodes_of(spark, sf, n), SHARDS, 1) for n in (4, 5)))
 
 
 @query(f"WITH {owners_sql('o', 5, 2)} SELECT shard, min(n.node_id) AS node_id FROM (SELECT DISTINCT shard FROM o) s, o_n n WHERE (shard, n.node_id) NOT IN (SELECT (shard, node_id) FROM o) GROUP BY shard")
 def placement_non_holders(spark, sf):
-    nodes = nodes_of(spark, 5)
+    nodes = nodes_of(spark, sf, 5)
     return placement.non_holders(placement.ranked_owners(nodes, SHARDS, 2), nodes)
 
 
 @query(f"WITH {owners_sql('o', 5, 2)} SELECT m.shard, CASE WHEN m.rank = 1 THEN 'primary' ELSE 'replica' END AS role, string_agg(x.node_id, ',' ORDER BY x.rank) AS peers FROM o m JOIN o x USING (shard) WHERE m.node_id = 'node-2' AND x.node_id <> 'node-2' GROUP BY ALL")
 def placement_node_view(spark, sf):
-    return placement.node_view(placement.ranked_owners(nodes_of(spark, 5), SHARDS, 2), "node-2")
+    return placement.node_view(placement.ranked_owners(nodes_of(spark, sf, 5), SHARDS, 2), "node-2")
 
 
 @query(f"WITH {owners_sql('o', 5, 0)}, k AS (SELECT ({fnv_sql('o_orderpriority || o_orderkey')} % 256)::INT AS shard FROM orders) SELECT node_id, '10.0.0.' || substr(node_id, 6) || ':7000' AS address, count(*) AS keys FROM k JOIN o USING (shard) GROUP BY ALL")
 def placement_routed(spark, sf):
-    nodes = nodes_of(spark, 5)
+    nodes = nodes_of(spark, sf, 5)
     keys = parquet(spark, sf, "orders").select(F.concat("o_orderpriority", F.col("o_orderkey").cast("string")).alias("key"))
     return placement.routed(keys, placement.ranked_owners(nodes, SHARDS), nodes, "key", SHARDS).groupBy("node_id", "address").agg(F.count("*").alias("keys"))
 
@@ -315,7 +317,7 @@ l AS (SELECT shard, max(node_id) FILTER (rank = 1) AS p, count(*) - 1 AS m, coal
 s AS (SELECT count(*) AS m, string_agg(lpad(hex(shard::UBIGINT), 8, '0') || {_sized('p')}, '' ORDER BY shard) AS a, string_agg(lpad(hex(shard::UBIGINT), 8, '0') || {_sized('p')} || lpad(hex(m::UBIGINT), 8, '0') || r, '' ORDER BY shard) AS b FROM l)
 SELECT sha256(unhex(hex(encode('topology-v2')) || '00' || lpad(hex(256::UBIGINT), 8, '0') || lpad(hex(2::UBIGINT), 8, '0') || lpad(hex(n::UBIGINT), 8, '0') || x || lpad(hex(m::UBIGINT), 8, '0') || a || lpad(hex(m::UBIGINT), 8, '0') || b)) AS fingerprint FROM n, s""")
 def topology_fingerprint(spark, sf):
-    nodes = nodes_of(spark, 5)
+    nodes = nodes_of(spark, sf, 5)
     return placement.fingerprint(nodes, placement.ranked_owners(nodes, SHARDS, 2), SHARDS, 2)
 
 
@@ -334,20 +336,22 @@ def request_blocks(spark, sf):
     return b.select("request_id", "index", "block_type", "token_estimate", "eligible_tokens", "bypass_reason", blocks.eligibility(F.col("block_type")).alias("eligibility"))
 
 
-@query(f"WITH {BLOCKS} SELECT request_id, string_agg(CASE WHEN index % 3 = 1 THEN 'canonical' ELSE text END, chr(10) ORDER BY index) AS body, count(*) FILTER (index % 3 = 1) AS n_replaced, 0::BIGINT AS n_unknown FROM b1 GROUP BY ALL")
+@query(f"WITH {BLOCKS} SELECT request_id, string_agg(CASE WHEN index % 3 = 1 THEN 'canonical' ELSE text END, chr(10) ORDER BY index) AS body, count(*) FILTER (index % 3 = 1) AS n_replaced, count(*) FILTER (index % 4 = 2) AS n_unknown FROM b1 GROUP BY ALL")
 def request_assembly(spark, sf):
     b = blocks.decomposed(messages_of(spark, sf))
-    return blocks.assembled(b, b.where("index % 3 = 1").select("request_id", "index", F.lit("canonical").alias("text")))
+    known = b.where("index % 3 = 1").select("request_id", "index", F.lit("canonical").alias("text"))
+    unknown = b.where("index % 4 = 2").select("request_id", (F.col("index") + 100_000).alias("index"), F.lit("lost").alias("text"))
+    return blocks.assembled(b, known.unionByName(unknown))
 
 
 @query(f"""WITH {VECTORS}, s AS (SELECT q.vec_id AS query_id, r.vec_id, least(1.0, greatest(0.0, list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)))) AS s
- FROM vectors q JOIN vectors r USING (namespace, block_type) WHERE q.vec_id % 10 = 0 AND r.vec_id % 10 <> 0)
+ FROM vectors q JOIN vectors r USING (namespace, block_type) WHERE q.vec_id % 50 = 0 AND r.vec_id <> q.vec_id)
 SELECT query_id, rank, vec_id, round(s, 9) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 5""")
 def vector_topk(spark, sf):
     v = vectors_of(spark, sf)
-    q = v.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
-    r = v.where("vec_id % 10 <> 0").select("namespace", "block_type", F.col("vec_id").alias("context_id"), F.lit(1).alias("version"), "embedding")
-    return vector.top_candidates(q, r).select("query_id", "rank", F.col("context_id").alias("vec_id"), F.round("similarity", 9).alias("similarity"))
+    q = v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    r = v.select("namespace", "block_type", F.col("vec_id").alias("context_id"), F.lit(1).alias("version"), "embedding")
+    return vector.top_candidates(q, r, others=True).select("query_id", "rank", F.col("context_id").alias("vec_id"), F.round("similarity", 9).alias("similarity"))
 
 
 @query(f"""WITH {VECTORS}, x AS (SELECT namespace, block_type, CASE WHEN vec_id % 19 = 0 THEN 0 WHEN vec_id % 7 = 0 THEN 1 WHEN vec_id % 11 = 0 THEN 2 ELSE 3 END AS s FROM vectors)
@@ -405,18 +409,14 @@ def kv_prefix_scan(spark, sf):
 
 @query(f"WITH {LOG}, n AS (SELECT max(sequence) * 2 // 3 AS cut FROM log) SELECT sequence, opcode, key FROM log, n WHERE sequence < cut")
 def log_valid_prefix(spark, sf):
-    """Records as the log's binaries, one of them damaged and a later one missing; what precedes is decoded."""
+    """A log of which one record is damaged and a later one missing: what precedes both."""
     log = log_of(spark, sf)
-    top = log.agg(F.expr("max(sequence) * 2 div 3").alias("cut"))
-    raw = log.crossJoin(F.broadcast(top)).withColumn("_bad", F.col("sequence") == F.col("cut"))  # one row
-    data = encoded_records(raw.where("sequence <> cut + 5")).withColumn("data", F.col("data"))
-    rows = decoded_records(data)
-    cut = F.broadcast(top)
-    damaged = rows.crossJoin(cut).withColumn("ok", F.col("ok") & (F.col("sequence") != F.col("cut"))).drop("cut")
+    cut = F.broadcast(log.agg(F.expr("max(sequence) * 2 div 3").alias("cut")))  # one row
+    damaged = log.crossJoin(cut).where("sequence <> cut + 5").withColumn("ok", F.col("sequence") != F.col("cut")).drop("cut")
     return kvlog.valid_prefix(damaged, "ok", 1024).select("sequence", "opcode", "key")
 
 
-@query("""WITH c AS (SELECT doc_id, i AS index, (length(text) + 99) // 100 AS total, substr(text, (i * 100 + 1)::BIGINT, 100) AS data FROM documents, range(400) t(i) WHERE text <> '' AND i < (length(text) + 99) // 100)
+@query("""WITH c AS (SELECT doc_id, i AS index, (length(text) + 99) // 100 AS total, substr(text, (i * 100 + 1)::BIGINT, 100) AS data FROM (SELECT doc_id, text, unnest(range((length(text) + 99) // 100)) AS i FROM documents WHERE text <> ''))
 SELECT doc_id, sha256(string_agg(data, '' ORDER BY index)) AS value_hash, doc_id % 9 <> 0 OR max(total) < 2 AS complete FROM c WHERE NOT (doc_id % 9 = 0 AND index = 1) GROUP BY doc_id""")
 def chunk_reassembly(spark, sf):
     d = parquet(spark, sf, "documents").where("text <> ''").withColumn("total", F.expr("(char_length(text) + 99) div 100"))
@@ -437,7 +437,7 @@ def pages_of(spark, sf) -> DataFrame:
 PAGES = """p AS (WITH RECURSIVE r(conv_id, turn, text, i, key) AS (
  SELECT conv_id, turn, text, 0, sha256(unhex(list_aggregate(list_transform(string_split(substr(text, 1, 16), ''), lambda c: lpad(hex(ascii(c)::UBIGINT), 8, '0')), 'string_agg', ''))) FROM conversations WHERE length(text) >= 16
  UNION ALL SELECT conv_id, turn, text, i + 1, sha256(encode(key) || unhex(list_aggregate(list_transform(string_split(substr(text, (i + 1) * 16 + 1, 16), ''), lambda c: lpad(hex(ascii(c)::UBIGINT), 8, '0')), 'string_agg', ''))) FROM r
-  WHERE least(length(text), 400) >= (i + 2) * 16) SELECT conv_id, turn, i AS index, key FROM r)"""
+  WHERE length(text) >= (i + 2) * 16) SELECT conv_id, turn, i AS index, key FROM r)"""
 
 
 @query(f"WITH {PAGES} SELECT conv_id, turn, index::INT AS index, key FROM p")
@@ -517,7 +517,8 @@ def longest_dead_run(spark, sf):
 
 
 @query(f"""WITH {ACCESS}, {INTERVALS}, x AS (SELECT *, row_number() OVER (ORDER BY slot) AS i, count(*) OVER () AS n FROM iv)
-SELECT round(avg(operations) FILTER (i <= n // 4), 9) AS operations_first, round(avg(operations) FILTER (i > n - n // 4), 9) AS operations_last FROM x""")
+SELECT round(a, 9) AS operations_first, round(b, 9) AS operations_last, round(100 * (b - a) / nullif(a, 0), 9) AS operations_percent
+FROM (SELECT avg(operations) FILTER (i <= n // 4) AS a, avg(operations) FILTER (i > n - n // 4) AS b FROM x)""")
 def drift(spark, sf):
     d = workload.drift(workload.intervals(accesses_of(spark, sf), 3600), "slot", ["operations"])
     return d.select(*[F.round(c, 9).alias(c) for c in d.columns])
@@ -575,9 +576,3 @@ def write_acks(spark, sf):
     a = parquet(spark, sf, "lineitem").select(F.col("l_orderkey").alias("write_id"), F.col("l_suppkey").alias("node_id"), (F.col("l_orderkey") % 50 + F.col("l_linenumber")).alias("at"))
     return metrics.acknowledged(w, a, 2, 3)
 
-
-@query()
-def lru_replay(spark, sf):
-    a = accesses_of(spark, sf)
-    rows = a.select(hashing.shard_of(F.col("key"), 16).alias("shard"), F.col("event_id").alias("at"), "key", (F.col("event_id") % 500 + 1).alias("size"))
-    return kvlog.lru_replay(rows, 2000)

@@ -8,30 +8,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-#: FNV-1a's offset (in two halves) and the low part of its prime 2^40 + 435.
-FNV_HI, FNV_LO, FNV_PRIME = 0xCBF29CE4, 0x84222325, 435
+#: FNV-1a's offset and prime.
+FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 _LOW = 0xFFFFFFFF
 
 
-def byte_values(key: Column) -> Column:
-    """The bytes of a string or binary as an array of longs; null stays null."""
-    data = key.cast("binary")
-    n = F.octet_length(data)
-    each = F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long"))
-    return F.when(key.isNull(), None).when(n > 0, each).otherwise(F.array().cast("array<bigint>"))
+@F.pandas_udf(LongType())
+def fnv1a_64(key: pd.Series) -> pd.Series:
+    """FNV-1a of 64 bits of a string's or binary's bytes, one byte of all rows at a time; null stays null."""
+    data = [x if isinstance(x, bytes) else x.encode() if isinstance(x, str) else None for x in key]
+    size = np.array([-1 if x is None else len(x) for x in data], np.int64)
+    order = np.argsort(-size, kind="stable")
+    flat = np.frombuffer(b"".join(x for x in data if x), np.uint8).astype(np.uint64)
+    start = (np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0))[order]
+    longer = np.searchsorted(-size[order], -np.arange(max(0, size.max(initial=0))), "left")
+    h = np.full(len(data), FNV_START, np.uint64)
+    for at, n in enumerate(longer.tolist()):
+        h[:n] = (h[:n] ^ flat[start[:n] + at]) * np.uint64(FNV_PRIME)
+    out = np.empty(len(data), np.int64)
+    out[order] = h.view(np.int64)
+    return pd.Series(out, dtype="Int64").mask(pd.Series(size < 0))
 
 
 def fnv1a(key: Column) -> Column:
-    """FNV-1a of 64 bits as a struct of halves (hi, lo), both non-negative; no step overflows a long."""
-    start = F.struct(F.lit(FNV_HI).cast("long").alias("hi"), F.lit(FNV_LO).cast("long").alias("lo"))
-
-    def step(acc: Column, byte: Column) -> Column:
-        x = acc["lo"].bitwiseXOR(byte)
-        low = x * FNV_PRIME
-        high = acc["hi"] * FNV_PRIME + F.shiftright(low, 32) + F.shiftleft(x, 8)
-        return F.struct(high.bitwiseAND(F.lit(_LOW)).alias("hi"), low.bitwiseAND(F.lit(_LOW)).alias("lo"))
-
-    return F.aggregate(byte_values(key), start, step)
+    """FNV-1a of 64 bits as a struct of halves (hi, lo), both non-negative."""
+    h = fnv1a_64(key)
+    return F.when(h.isNotNull(), F.struct(F.shiftrightunsigned(h, 32).alias("hi"), h.bitwiseAND(F.lit(_LOW)).alias("lo")))
 
 
 def fnv1a_hex(key: Column) -> Column:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,32 +60,3 @@ def reassembled(chunks: DataFrame, key: str) -> DataFrame:
         ((F.min("index") == 0) & (F.max("index") == F.max("total") - 1) & (F.count("*") == F.max("total")) & (F.countDistinct("index") == F.max("total")) & (F.min("total") == F.max("total"))).alias("complete"),
     )
 
-
-def lru_replay(accesses: DataFrame, budget: int) -> DataFrame:
-    """Exact replay of a least-recently-used cache with a byte budget per shard: accesses (shard, at, key, size) with hit and evicted (keys).
-
-    A shard's order matters, so one task walks it; Spark sorts (and spills) its rows, which come in
-    batches, and only what the cache holds is kept. What is written stays even if alone over the budget.
-    """
-    kinds = {"shard": "int", "at": "long", "key": "string", "size": "long"}
-    rows = accesses.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()]).repartition("shard").sortWithinPartitions("shard", "at")
-
-    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
-        own, used = None, 0
-        for batch in batches:
-            hits, evicted = [], []
-            for shard, key, size in zip(*[batch.column(c).to_pylist() for c in ("shard", "key", "size")]):
-                if shard != own:
-                    own, used, held = shard, 0, {}
-                hits.append(key in held)
-                used += size - held.pop(key, 0)
-                held[key] = size
-                n = 0
-                while used > budget and len(held) > 1:
-                    used -= held.pop(next(iter(held)))
-                    n += 1
-                evicted.append(n)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.bool_()), pa.array(evicted, pa.int32())], names=[*batch.schema.names, "hit", "evicted"])
-
-    return rows.mapInArrow(replay, "shard int, at long, key string, size long, hit boolean, evicted int")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Samples of a range.
+RANGE = 4096
+
 
 def leader_consensus(views: DataFrame) -> DataFrame:
     """Per sample: whether all reachable nodes (sample, node_id, leader, term, reachable) agree on leader and term."""
@@ -13,9 +16,15 @@ def leader_consensus(views: DataFrame) -> DataFrame:
 
 
 def convergence(views: DataFrame) -> DataFrame:
-    """Per sample: the highest generation seen so far and how many nodes (sample, node_id, generation) report it."""
-    top = views.groupBy("sample").agg(F.max("generation").alias("_t"))
-    top = top.select("sample", F.max("_t").over(Window.partitionBy(F.lit(0)).orderBy("sample")).alias("highest"))  # a row a sample
+    """Per sample (numbered): the highest generation seen so far and how many nodes (sample, node_id, generation) report it.
+
+    The running maximum is taken within ranges of RANGE samples; only a row a range is ordered in one task.
+    """
+    top = views.groupBy("sample").agg(F.max("generation").alias("_t")).withColumn("_r", F.floor(F.col("sample") / RANGE))
+    so_far = Window.partitionBy(F.lit(0)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    before = top.groupBy("_r").agg(F.max("_t").alias("_m")).select("_r", F.max("_m").over(so_far).alias("_before"))
+    within = F.max("_t").over(Window.partitionBy("_r").orderBy("sample"))
+    top = top.join(before, "_r").select("sample", F.greatest(within, F.col("_before")).alias("highest"))
     return views.join(top, "sample").groupBy("sample", "highest").agg(F.count_if(F.col("generation") == F.col("highest")).alias("agreeing"), F.count("*").alias("nodes"))
 
 

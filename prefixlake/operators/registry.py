@@ -32,8 +32,6 @@ def scan(records: DataFrame, pointers: DataFrame, namespace: str, block_type: st
         out = live(out)
     if current_only:
         out = out.join(pointers.select(*KEY), KEY, "left_semi")
-    if limit is None and not offset:
-        return out
     out = out.orderBy("context_id", "version").offset(offset)
     return out if limit is None else out.limit(limit)
 

@@ -6,11 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranked_values(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
-    """(groups, value, n rows of that value, hi: rows up to it, total): order statistics without gathering a group."""
+def ranked_values(df: DataFrame, value: str, groups: list[str], parts: int = 64) -> DataFrame:
+    """(groups, value, n rows of that value, hi: rows up to it, total): order statistics without gathering a group.
+
+    Distinct values are counted, then dealt into `parts` ranges between approximate percentiles;
+    sums run within a range of a group, behind the sums of the ranges before it.
+    """
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*groups)
-    return counts.select(*groups, value, F.sum("n").over(w.orderBy(value)).alias("hi"), "n", F.sum("n").over(w).alias("total"))
+    cuts = counts.agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 1000).alias("x")).first()["x"] or []
+    counts = counts.withColumn("_r", F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(cuts))]), lambda x: x < F.col(value))) if cuts else F.lit(0))
+    w = Window.partitionBy(*[f"_g{k}" for k in range(len(groups))])
+    sums = counts.groupBy(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)], F.col("_r").alias("_p")).agg(F.sum("n").alias("_n"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("_n").over(w)).drop("_n")
+    on = F.col("_r") == F.col("_p")
+    for k, g in enumerate(groups):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    within = F.sum("n").over(Window.partitionBy(*groups, "_r").orderBy(value))
+    return counts.withColumn("_in", within).join(sums, on).select(*groups, value, (F.col("_in") + F.col("_before")).alias("hi"), "n", "total")
 
 
 def percentile(p: Column | float, n: Column, rule: str) -> Column:
@@ -87,7 +99,8 @@ def drift(rows: DataFrame, order: str, values: list[str]) -> DataFrame:
     q = F.expr("_n div 4")
     first, last = F.col("_i") <= q, F.col("_i") > F.col("_n") - q
     aggs = [f(v) for v in values for f in (lambda v: F.avg(F.when(first, F.col(v))).alias(f"{v}_first"), lambda v: F.avg(F.when(last, F.col(v))).alias(f"{v}_last"))]
-    return x.agg(*aggs)
+    change = {f"{v}_percent": F.try_divide(100 * (F.col(f"{v}_last") - F.col(f"{v}_first")), F.col(f"{v}_first")) for v in values}
+    return x.agg(*aggs).withColumns(change)
 
 
 def verdict(totals: DataFrame, max_error_rate: float = 0.5) -> DataFrame:
@@ -105,6 +118,6 @@ def verdict(totals: DataFrame, max_error_rate: float = 0.5) -> DataFrame:
     return x.withColumn("result", F.when(F.col("problems") == "", "healthy").otherwise("degraded"))
 
 
-def reservoir(rows: DataFrame, k: int, seed: int = 7) -> DataFrame:
-    """A uniform sample of k rows: the k least of seeded random numbers; only k rows a task are kept."""
-    return rows.withColumn("_r", F.rand(seed)).orderBy("_r").limit(k).drop("_r")
+def reservoir(rows: DataFrame, k: int, key: str, seed: int = 7) -> DataFrame:
+    """A uniform sample of k rows: those of the k least seeded hashes of a key, the same however rows are partitioned; only k rows a task are kept."""
+    return rows.withColumn("_r", F.xxhash64(F.lit(seed), key)).orderBy("_r", key).limit(k).drop("_r")

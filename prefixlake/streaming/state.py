@@ -1,12 +1,10 @@
-"""Streams of samples and mutations."""
+"""Streams of samples and writes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefixlake.operators.kvlog import latest
-
 
 def interval_counts(samples: DataFrame, seconds: int = 30, late: str = "10 seconds") -> DataFrame:
     """Counts for each tumbling event-time interval of a stream (ts, op), final once the watermark has passed."""
@@ -20,27 +18,3 @@ def without_retries(writes: DataFrame, key: list[str], late: str = "10 minutes")
     """A stream of writes (ts, ...) with repeats of a key dropped while it is remembered."""
     return writes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
 
-
-def state_writer(path: str, key: str = "key"):
-    """A foreachBatch function that folds batches of a log (sequence, opcode, key, value) into versions of a state table under path.
-
-    Each batch writes a new version from the last one; a batch that is run again writes the same
-    version again, so a restart does no harm. Deletions stay as tombstones, as later batches may
-    hold older records.
-    """
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        cols = ["sequence", "opcode", "value"]
-        rows = batch.select(key, *cols)
-        if batch_id > 0:
-            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{path}/version={batch_id - 1}"))
-        last = rows.groupBy(key).agg(F.max_by(F.struct(*cols), "sequence").alias("x")).select(key, *[F.col("x")[c].alias(c) for c in cols])
-        last.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
-    return fold
-
-
-def state_at(spark, path: str, version: int) -> DataFrame:
-    """The live state after a batch."""
-    return latest(spark.read.parquet(f"{path}/version={version}"))

@@ -101,15 +101,6 @@ def test_valid_prefix(spark):
     assert run([2, 3, 4]) == [] and run([1, 2, 2, 3]) == [1] and run([1, 2, 3, 7, 8, 9]) == [1, 2, 3] and run([]) == []
 
 
-def test_log_records_round_trip_and_faults(spark):
-    log = spark.createDataFrame([(1, 2, "k", "v"), (2, 3, "k", None), (3, 2, "é", "")], "sequence long, opcode int, key string, value string")
-    raw = [bytes(r.data) for r in tables.encoded_records(log).collect()]
-    got = tables.decoded_records(spark.createDataFrame([(bytearray(x),) for x in raw], "data binary")).collect()
-    assert [(r.sequence, r.opcode, r.key, bytes(r.value), r.ok) for r in got] == [(1, 2, "k", b"v", True), (2, 3, "k", b"", True), (3, 2, "é", b"", True)]
-    bad = [(bytearray(raw[0][:n]),) for n in range(len(raw[0]))] + [(bytearray(raw[0][:-1] + b"\x00"),)]
-    assert not any(r.ok for r in tables.decoded_records(spark.createDataFrame(bad, "data binary")).collect())
-
-
 def test_state_with_deletions(spark):
     log = spark.createDataFrame([(1, 2, "a", "1"), (2, 2, "b", ""), (3, 3, "a", None), (4, 2, "c", "x"), (5, 2, "c", "y")], "sequence long, opcode int, key string, value string")
     now = kvlog.latest(log)
@@ -124,11 +115,42 @@ def test_percentile_rules(spark):
     assert got == {"floor": 3.0, "ceil": 2.0, "round": 3.0}
 
 
+def test_fnv_of_all_lengths(spark):
+    keys = [None, "", "a", "é€😀", "x" * 3000, *[f"key-{i}" for i in range(50)]]
+    want = {}
+    for k in keys:
+        h = 0xCBF29CE484222325
+        for b in (k or "").encode():
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        want[k] = None if k is None else f"{h:016x}"
+    df = spark.createDataFrame([(k,) for k in keys], "k string").repartition(3)
+    assert {r.k: r.h for r in df.select("k", hashing.fnv1a_hex(F.col("k")).alias("h")).collect()} == want
+
+
+def test_ranges_of_values_and_samples(spark, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    rows = [(r.choice(["a", "a", "b", None]), float(r.randint(0, 300))) for _ in range(900)] + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    got = {x.g: (x.p50, x.p99) for x in workload.percentiles(df, "v", ["g"], {"p50": 0.5, "p99": 0.99}, "floor").collect()}
+    for g in ("a", "b", None):
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert got[g] == tuple(v[min(int(p * len(v)), len(v) - 1)] for p in (0.5, 0.99))
+    monkeypatch.setattr(metrics, "RANGE", 3)
+    views = [(s, n, r.randint(0, s + 1)) for s in range(20) for n in range(3)]
+    seen = {x.sample: x.highest for x in metrics.convergence(spark.createDataFrame(views, "sample long, node_id int, generation int")).collect()}
+    assert seen == {s: max(g for t, _, g in views if t <= s) for s in range(20)}
+
+
 def test_dead_runs_and_drift(spark):
     rows = spark.createDataFrame([(i, o, 0) for i, o in enumerate([5, 5, 0, 5, 5, 5])], "i int, operations int, verified int")
     assert workload.longest_dead_run(rows, "i").first()["longest"] == 3 and workload.dead(rows).count() == 5
     assert workload.drift(rows.limit(3), "i", ["operations"]).first()["operations_first"] is None
-    assert workload.reservoir(rows, 4).count() == 4
+    moved = rows.withColumn("operations", F.col("i") + 1)
+    assert workload.drift(moved, "i", ["operations"]).first()["operations_percent"] == 500.0
+    assert workload.reservoir(rows, 4, "i").count() == 4
+    assert {r.i for r in workload.reservoir(rows, 4, "i").collect()} == {r.i for r in workload.reservoir(rows.repartition(5), 4, "i").collect()}
 
 
 def test_latched_and_changes(spark):
@@ -157,40 +179,8 @@ def test_streams_equal_batch(spark, tmp_path):
     rows = [(i, 2 if i % 4 else 3, f"k{i % 3}", str(i), f"2026-01-01 00:00:{i % 60:02d}", "read" if i % 2 else "error") for i in range(1, 60)]
     df = spark.createDataFrame(rows, "sequence long, opcode int, key string, value string, ts string, op string").withColumn("ts", F.to_timestamp("ts"))
     df.repartition(4).write.parquet(src)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    out = str(tmp_path / "state")
-    q = stream.writeStream.foreachBatch(state.state_writer(out)).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "state").iterdir() if p.name.startswith("version="))
-    want = sorted((r.key, r.sequence) for r in kvlog.latest(df.select("sequence", "opcode", "key", "value")).collect())
-    assert sorted((r.key, r.sequence) for r in state.state_at(spark, out, last).collect()) == want
     again = spark.readStream.schema(df.schema).parquet(src)
     q = state.interval_counts(again, 30).writeStream.format("memory").queryName("iv").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sum(r.operations for r in spark.table("iv").collect()) == 59 and spark.table("iv").count() == 2
 
-
-def test_lru_replay_takes_shards_in_batches(spark):
-    from collections import OrderedDict
-
-    accesses = [(at * 7 % 3 if at % 9 else None, at, f"k{at * at % 23}", 1 + at % 40) for at in range(600)]
-    df = spark.createDataFrame(accesses, "shard int, at long, key string, size long").repartition(5)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
-    try:
-        out = kvlog.lru_replay(df, 100)
-        got = sorted(((r.at, r.shard, r.key, r.size, r.hit, r.evicted) for r in out.collect()), key=lambda x: x[0])
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    held, want = {}, []
-    for shard, at, key, size in accesses:
-        own = held.setdefault(shard, OrderedDict())
-        hit = own.pop(key, None) is not None
-        own[key] = size
-        n = 0
-        while sum(own.values()) > 100 and len(own) > 1:
-            own.popitem(last=False)
-            n += 1
-        want.append((at, shard, key, size, hit, n))
-    assert got == want
-    # No group of a whole shard in a worker's memory.
-    assert "InPandas" not in out._jdf.queryExecution().toString()

@@ -37,23 +37,6 @@ def test_query_equals_sql(spark, duck, name):
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
-def test_lru_replay_equals_a_plain_loop(spark):
-    from collections import OrderedDict
-
-    rows = sorted((r.shard, r.at, r.key, r.size, r.hit, r.evicted) for r in bindings.lru_replay(spark, FOLDER).collect())
-    held, used = {}, {}
-    for shard, _, key, size, hit, evicted in rows:
-        own = held.setdefault(shard, OrderedDict())
-        assert hit == (key in own)
-        used[shard] = used.get(shard, 0) + size - own.pop(key, 0)
-        own[key] = size
-        n = 0
-        while used[shard] > 2000 and len(own) > 1:
-            used[shard] -= own.popitem(last=False)[1]
-            n += 1
-        assert evicted == n
-
-
 def test_entry_runs(spark):
     import __spark_entry__ as e
 
