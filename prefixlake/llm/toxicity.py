@@ -25,7 +25,7 @@ from prefixlake.llm.common import id_fold, released, sliced, table
 ROWS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 12
 #: At most so many labelled rows of either class are fitted on, none with more characters.
 SAMPLE, MAX_CHARS = 5000, 20_000
-STEPS, BATCH, RATE, DECAY, ODDS = 900, 48, 0.005, 0.001, 0.25
+STEPS, BATCH, RATE, DECAY, ODDS = 500, 48, 0.005, 0.001, 0.25
 #: Texts in which a row of the table must occur to be learned, and parts of the rows that are left out in turn for calibration.
 SEEN, FOLDS = 3, 2
 #: The threshold of languages with too few labels.
@@ -121,7 +121,7 @@ def fit(sample: tuple[np.ndarray, np.ndarray, np.ndarray], own: np.ndarray, y: n
     params = [*m.filters, m.bias, m.out, m.base]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     size, step = 1e-8, 0
-    for _ in range(max(3, min(40, steps * BATCH // max(1, len(own))))):
+    for _ in range(max(2, min(40, steps * BATCH // max(1, len(own))))):
         order = r.permutation(own)
         for at in range(0, len(order), BATCH):
             b = order[at : at + BATCH]
