@@ -61,8 +61,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     goal = goal.withColumn("_want", F.col("target") - F.col("_pl_floor") * F.col("source_size"))
     # The plain draw: probability of a copy equal to the fraction.
     goal = goal.withColumn("_plain", F.floor((F.col("_rate") - F.col("_pl_floor")) * BINS + F.lit(0.5)).cast("int"))
-    below = Window.partitionBy("source").orderBy("_pl_bin").rowsBetween(Window.unboundedPreceding, 0)
-    sums = hist.withColumn("_sum", F.sum("_n").over(below)).select(F.col("source").alias("_s"), "_pl_bin", "_n", "_sum")
+    # Words up to each bin: within spans of bins, behind the spans before, so that no task orders all bins of a large source.
+    hist = hist.withColumn("_span", F.shiftright("_pl_bin", 8))
+    before = Window.partitionBy("_s").orderBy("_sp").rowsBetween(Window.unboundedPreceding, -1)
+    spans = hist.groupBy(F.col("source").alias("_s"), F.col("_span").alias("_sp")).agg(F.sum("_n").alias("_m"))
+    spans = spans.select("_s", "_sp", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"))
+    within = F.sum("_n").over(Window.partitionBy("source", "_span").orderBy("_pl_bin"))
+    sums = hist.withColumn("_in", within).join(spans, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_span") == F.col("_sp")))
+    sums = sums.select("_s", "_pl_bin", "_n", (F.col("_in") + F.col("_before")).alias("_sum"))
     # Corrected, the cut goes after the bin where the words below come nearest to what is wanted; -1: before all.
     cut = (
         goal.join(sums, F.col("source").eqNullSafe(F.col("_s")))
