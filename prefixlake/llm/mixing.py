@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefixlake.llm.common import id_text, n_words
+from prefixlake.llm.common import id_text, n_words, written
 
 #: Parts of the hash range that are told apart; each source's histogram has so many entries at most.
 BINS = 65536
@@ -54,7 +54,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     docs = docs.drop("size", "source_size", "target", "copies")
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), id_text(F.col("doc_id")))), 1, 4), 16, 10).cast("int")
     docs = docs.withColumn("size", n_words(F.col("text"))).withColumn("_pl_bin", draw)
-    hist = docs.groupBy("source", "_pl_bin").agg(F.sum("size").alias("_n"))
+    hist = written(docs.groupBy("source", "_pl_bin").agg(F.sum("size").alias("_n")), "sizes")  # read three times
     goal = targets(hist.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, share, cap)
     goal = goal.withColumn("_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     goal = goal.withColumn("_pl_floor", F.floor("_rate").cast("long"))
