@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prefixlake.functions import formats, hashing
+from prefixlake.functions import formats, hashing, structured
 from prefixlake.functions.textnorm import POLARITY, VALUE_WORDS, content_hash, normalized
-from prefixlake.operators import blocks, guard, kvlog, metrics, placement, prefix, registry, vector, workload
+from prefixlake.operators import blocks, guard, kvlog, metrics, placement, prefix, registry, requests, vector, workload
+from prefixlake.plans import matching
 from prefixlake.sources.tables import parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -576,3 +577,190 @@ def write_acks(spark, sf):
     a = parquet(spark, sf, "lineitem").select(F.col("l_orderkey").alias("write_id"), F.col("l_suppkey").alias("node_id"), (F.col("l_orderkey") % 50 + F.col("l_linenumber")).alias("at"))
     return metrics.acknowledged(w, a, 2, 3)
 
+
+
+# --- decisions ----------------------------------------------------------------------------------
+
+
+def decided_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Decisions on incoming blocks: documents as in incoming_of, but every 7th names an alias and changes may negate.
+
+    Vectors are dealt to documents in turn; every other block has the vector of its context's
+    current record.
+    """
+    e = parquet(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = F.broadcast(e.agg(F.count("*").alias("_n")))  # one row
+    kind = F.when(F.col("context_id").isin("ctx-0", "ctx-2", "ctx-4"), "system_prompt").otherwise("tool_policy")
+    r = records_of(spark, sf).withColumn("block_type", kind).crossJoin(n).withColumn("vec_id", F.col("doc_id") % F.col("_n")).drop("_n")
+    p = pointers_of(r)
+    now = registry.current(r, p).select("namespace", "context_id", F.col("vec_id").alias("_now"))
+    text = F.when(F.col("doc_id") % 7 == 0, "alias-ctx-1-0").when(F.col("doc_id") % 6 == 1, F.concat("text", F.lit(" not")))
+    text = text.when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    b = r.join(now, ["namespace", "context_id"], "left").withColumn("vec_id", F.when(F.col("doc_id") % 2 == 0, F.col("_now")).otherwise(F.col("vec_id")))
+    b = b.select(F.col("doc_id").alias("block_id"), "namespace", "block_type", text.alias("text"), "vec_id").join(e, "vec_id", "left").drop("vec_id")
+    return matching.decision_rows(matching.decisions(b, r.join(e, "vec_id", "left"), p, aliases_of(r)))
+
+
+ENTITY = rf"""CASE WHEN regexp_matches(token, '^--?[A-Za-z][A-Za-z0-9._-]*$') THEN 'flag:' || token WHEN regexp_matches(token, '[0-9]') THEN 'num:' || token
+ WHEN regexp_matches(token, '[A-Za-z0-9][_/\\@=][A-Za-z0-9]|[A-Za-z0-9]\.[A-Za-z0-9]|::') THEN 'id:' || token WHEN low IN ({", ".join(f"'{x}'" for x in VALUE_WORDS.split())}) THEN 'val:' || CASE WHEN start THEN low ELSE token END
+ WHEN regexp_matches(substr(token, 2), '\p{{Lu}}') OR (regexp_matches(token, '\p{{Lu}}') AND NOT start) THEN 'name:' || token END"""
+DECIDED = f"""{REGISTRY.replace(f"({TYPES})[c + 1]", "CASE WHEN c % 2 = 0 THEN 'system_prompt' ELSE 'tool_policy' END")},
+ne AS (SELECT count(*) AS n FROM embeddings),
+bl AS (SELECT r.doc_id, r.namespace, r.block_type, CASE WHEN r.doc_id % 7 = 0 THEN 'alias-ctx-1-0' WHEN r.doc_id % 6 = 1 THEN r.text || ' not' WHEN r.doc_id % 3 = 1 THEN r.text || ' changed' ELSE r.text END AS text,
+  (CASE WHEN r.doc_id % 2 = 0 THEN c.doc_id ELSE r.doc_id END) % (SELECT n FROM ne) AS vec FROM records r LEFT JOIN cur c ON r.namespace = c.namespace AND r.context_id = c.context_id),
+ex AS (SELECT b.doc_id, l.context_id, l.version FROM bl b JOIN live l ON l.namespace = b.namespace AND l.content_hash = sha256({NORM.replace('TEXT', 'b.text')})),
+l1 AS (SELECT * FROM bl ANTI JOIN ex USING (doc_id)),
+al AS (SELECT b.doc_id, c.context_id, c.version FROM l1 b JOIN aliases a ON a.namespace = b.namespace AND (a.alias = b.text OR a.alias = {NORM.replace('TEXT', 'b.text')}) JOIN cur c ON a.namespace = c.namespace AND a.context_id = c.context_id AND a.version = c.version),
+l2 AS (SELECT * FROM l1 ANTI JOIN al USING (doc_id)),
+near AS (SELECT q.doc_id, c.doc_id AS rec, c.context_id, c.version, least(1.0, greatest(0.0, list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)))) AS sim,
+  row_number() OVER (PARTITION BY q.doc_id ORDER BY sim DESC, c.context_id, c.version) AS rank
+  FROM l2 q JOIN cur c ON q.namespace = c.namespace AND q.block_type = c.block_type JOIN embeddings x ON x.vec_id = q.vec JOIN embeddings y ON y.vec_id = c.doc_id % (SELECT n FROM ne) QUALIFY rank <= 5),
+said AS (SELECT doc_id AS conv_id, 0 AS turn, text FROM l2 UNION ALL SELECT doc_id, 1, text FROM cur),
+{TOKENS.replace("FROM conversations", "FROM said")},
+pol AS (SELECT conv_id, turn, string_agg(family || n, ',' ORDER BY family) AS f FROM (SELECT conv_id, turn, {FAMILY} AS family, count(*) AS n FROM k GROUP BY ALL HAVING family IS NOT NULL) GROUP BY ALL),
+ent AS (SELECT conv_id, turn, string_agg(DISTINCT entity, '|' ORDER BY entity) AS f FROM (SELECT conv_id, turn, {ENTITY} AS entity FROM k) WHERE entity IS NOT NULL GROUP BY ALL),
+jd AS (SELECT near.*, CASE WHEN pa.f IS DISTINCT FROM pb.f THEN 'negation_mismatch' WHEN ea.f IS DISTINCT FROM eb.f THEN 'entity_mismatch' END AS why FROM near LEFT JOIN pol pa ON pa.conv_id = near.doc_id AND pa.turn = 0
+  LEFT JOIN pol pb ON pb.conv_id = rec AND pb.turn = 1 LEFT JOIN ent ea ON ea.conv_id = near.doc_id AND ea.turn = 0 LEFT JOIN ent eb ON eb.conv_id = rec AND eb.turn = 1),
+wk AS (SELECT *, min(rank) FILTER (why IS NULL) OVER (PARTITION BY doc_id) AS pass FROM jd),
+fin AS (SELECT doc_id, context_id, version, sim, CASE WHEN why IS NULL AND sim < 0.9 THEN 'low_similarity' ELSE why END AS reason FROM (SELECT *, bool_or(why IS NULL AND sim >= 0.9 AND rank = pass) OVER (PARTITION BY doc_id) AS hit FROM wk) WHERE rank = CASE WHEN hit THEN pass ELSE 1 END),
+decided AS (SELECT doc_id AS block_id, 'exact' AS label, NULL AS reason, context_id, version, NULL AS similarity, NULL AS guard_outcome FROM ex UNION ALL SELECT doc_id, 'alias', NULL, context_id, version, NULL, NULL FROM al
+ UNION ALL SELECT l2.doc_id, CASE WHEN fin.doc_id IS NULL THEN 'no_candidate' WHEN reason IS NULL THEN 'semantic' ELSE 'rejected' END, CASE WHEN fin.doc_id IS NULL THEN 'no_candidate' ELSE reason END, context_id, version, sim,
+ CASE WHEN fin.doc_id IS NULL OR reason = 'low_similarity' THEN NULL WHEN reason IS NULL THEN 'passed' ELSE 'rejected' END FROM l2 LEFT JOIN fin USING (doc_id))"""
+
+
+@query(f"WITH {DECIDED} SELECT block_id, label, reason, context_id, version, round(similarity, 9) AS similarity, guard_outcome FROM decided")
+def match_decisions(spark, sf):
+    return decided_of(spark, sf).select("block_id", "label", "reason", "context_id", "version", F.round("similarity", 9).alias("similarity"), "guard_outcome")
+
+
+@query(f"WITH {DECIDED} SELECT label, count(*) AS n, count(*) FILTER (context_id = 'ctx-' || (block_id // 20) % 6) AS n_right, round(min(similarity), 9) AS least, round(max(similarity), 9) AS greatest FROM decided GROUP BY label")
+def match_report(spark, sf):
+    own = F.concat(F.lit("ctx-"), F.expr("cast((block_id div 20) % 6 as string)"))
+    return matching.report(decided_of(spark, sf), F.col("context_id") == own).withColumn("least", F.round("least", 9)).withColumn("greatest", F.round("greatest", 9))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 OR p_partkey % 13 = 0 OR p_partkey % 17 = 0 THEN NULL ELSE '{"name":' || to_json(p_name) || ',"parameters":{"brand":' || to_json(p_brand) || ',"size":' || p_size || '},"strict":true}' END AS canonical,
+ CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN '{"a": 2}' WHEN p_partkey % 13 = 0 THEN '{"a": NaN}' WHEN p_partkey % 2 = 0 THEN '{"strict": true, "parameters": {"size": ' || p_size || ', "brand": ' || to_json(p_brand) || '}, "name": ' || to_json(p_name) || '}'
+ ELSE '{"parameters": {"brand": ' || to_json(p_brand) || ', "size": ' || p_size || '}, "name": ' || to_json(p_name) || ', "strict": true}' END AS own FROM part""")
+def tool_schemas(spark, sf):
+    """Parts as tools in two renderings, some with a key twice, with NaN or cut off."""
+    q = [F.concat(F.lit('"'), F.col(c), F.lit('"')) for c in ("p_name", "p_brand")]
+    size = F.col("p_size").cast("string")
+    even = F.concat(F.lit('{ "strict":true,\n  "parameters" : {"size": '), size, F.lit(', "brand" :'), q[1], F.lit('},\n "name":'), q[0], F.lit("}\n"))
+    odd = F.concat(F.lit('{"parameters":{"brand":'), q[1], F.lit(',"size":'), size, F.lit('},"name":'), q[0], F.lit(',"strict":true}'))
+    k = F.col("p_partkey")
+    tool = F.when(k % 17 == 0, '{"a": 1').when(k % 11 == 0, '{"a":1,"a":2}').when(k % 13 == 0, '{"a":NaN}').when(k % 2 == 0, even).otherwise(odd)
+    t = parquet(spark, sf, "part").select("p_partkey", tool.alias("tool"))
+    return t.select("p_partkey", structured.canonical_json("tool").alias("canonical"), structured.tool_text("tool").alias("own"))
+
+
+@query("""WITH m AS (SELECT label, i AS place, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 1 + (SELECT max(len(embedding)) FROM embeddings)) t(i) WHERE vec_id % 4 <> 3 AND i <= len(embedding) GROUP BY ALL)
+SELECT label, place::INT AS place, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM m""")
+def pooled_vectors(spark, sf):
+    p = structured.mean_pooled(parquet(spark, sf, "embeddings"), "label", "embedding", F.col("vec_id") % 4 != 3)
+    return p.select("label", F.posexplode("pooled").alias("place", "x")).select("label", (F.col("place") + 1).alias("place"), F.round("x", 6).alias("x"))
+
+
+@query("SELECT vec_id, 4 * len(embedding) AS n_bytes, CASE WHEN vec_id % 5 <> 0 THEN round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) END AS total FROM embeddings")
+def vector_blobs(spark, sf):
+    """Vectors written as blobs and read back; every fifth blob has lost a byte."""
+    b = parquet(spark, sf, "embeddings").select("vec_id", F.size("embedding").alias("_w"), structured.vector_blob("embedding").alias("blob"))
+    cut = F.when(F.col("vec_id") % 5 == 0, F.expr("substring(blob, 1, octet_length(blob) - 1)")).otherwise(F.col("blob"))
+    v = structured.blob_vector(cut, 64)
+    return b.select("vec_id", F.octet_length("blob").cast("long").alias("n_bytes"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+
+
+# --- checks of requests, keys and nodes ---------------------------------------------------------
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'main' WHEN 1 THEN CASE WHEN user_id % 10 <> 0 THEN 'ns-' || user_id END WHEN 2 THEN CASE WHEN user_id < 40 THEN 'tenant-' || user_id END
+ ELSE CASE event_type WHEN 'view' THEN 'viewers' WHEN 'click' THEN 'clickers' END END AS namespace FROM events""")
+def request_namespaces(spark, sf):
+    """Events as requests of four deployments; some headers are no identifiers, some keys and paths unknown."""
+    u = F.col("user_id").cast("string")
+    source = F.element_at(F.array(*map(F.lit, ("static", "header", "api_key", "route"))), (F.col("event_id") % 4 + 1).cast("int"))
+    header = F.when(F.col("user_id") % 10 == 0, "-bad").otherwise(F.concat(F.lit("ns-"), u))
+    key = F.concat(F.element_at(F.array(*map(F.lit, ("", "Bearer ", "BEARER  "))), (F.col("user_id") % 3 + 1).cast("int")), F.lit("key-"), u)
+    keys = F.create_map(*[F.lit(x) for i in range(40) for x in (f"key-{i}", f"tenant-{i}")])
+    routes = F.create_map(*map(F.lit, ("/v1/view", "viewers", "/v1/click", "clickers")))
+    e = parquet(spark, sf, "events")
+    return e.select("event_id", requests.resolved_namespace(source, F.lit("main"), header, key, F.concat(F.lit("/v1/"), "event_type"), keys, routes).alias("namespace"))
+
+
+@query("""WITH f AS (SELECT event_id, event_id % 5 AS opcode, user_id % 30 * 50 AS n, CASE WHEN event_id % 3 = 0 THEN 0 ELSE octet_length(encode(props)) END AS v FROM events)
+SELECT event_id, CASE WHEN opcode NOT IN (1, 2, 3) THEN 'opcode' WHEN n = 0 OR n > 1024 THEN 'key' WHEN v > 8 OR (opcode <> 2 AND v > 0) THEN 'value' END AS problem, CASE WHEN n = 0 THEN 'empty' WHEN n > 600 THEN 'too_long' END AS key_problem,
+ CASE WHEN n > 400 THEN 'chunked' ELSE 'unary' END AS mode FROM f""")
+def frame_checks(spark, sf):
+    n = (F.col("user_id") % 30 * 50).cast("int")
+    f = parquet(spark, sf, "events").select("event_id", (F.col("event_id") % 5).alias("opcode"), n.alias("n"), F.repeat(F.lit("k"), n).alias("key"), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("props")).alias("value"))
+    return f.select("event_id", requests.frame_problem(F.col("opcode"), F.col("key"), F.col("value"), most_value=8).alias("problem"), requests.key_problem(F.col("key"), 600).alias("key_problem"), requests.read_mode(F.col("n"), 400).alias("mode"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'disabled' WHEN o_orderkey % 7 = 0 THEN 'no_topology' WHEN o_custkey % 3 = 0 THEN 'not_primary' WHEN o_orderkey % 4 > 2 THEN 'too_many' END AS problem FROM orders""")
+def ack_checks(spark, sf):
+    k = F.col("o_orderkey")
+    return parquet(spark, sf, "orders").select("o_orderkey", requests.ack_problem(k % 11 != 0, k % 7 != 0, F.col("o_custkey") % 3 != 0, k % 4, F.lit(2)).alias("problem"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'role' WHEN 1 THEN 'control_identity' WHEN 3 THEN 'node_id' WHEN 4 THEN 'address' WHEN 5 THEN 'address' END AS problem FROM customer""")
+def node_checks(spark, sf):
+    k = F.col("c_custkey") % 8
+    role = F.when(k == 0, "other").when(k <= 2, "control").otherwise("data")
+    node = F.when(k == 2, "").when(k == 3, " node").otherwise(F.concat(F.lit("node-"), F.col("c_custkey").cast("string")))
+    address = F.when(k == 2, "").when(k == 4, "10.0.0.1").when(k == 5, "10.0.0.1:70000").when(k == 6, "[::1]:7000").otherwise("host.local:65535")
+    return parquet(spark, sf, "customer").select("c_custkey", requests.node_problem(role, node, address).alias("problem"))
+
+
+# --- prefixes of several pools, reports, sets ---------------------------------------------------
+
+
+@query("""WITH p AS (SELECT conv_id, turn, unnest(range(length(text) // 16)) AS i FROM conversations), x AS (SELECT *, (conv_id % 4 = 0 OR i % 9 <> 8) AND NOT (conv_id % 6 = 5 AND i = 0) AS kv, i % 4 <> 3 AS tail, conv_id % 3 = 0 OR i % 7 <> 6 AS whole FROM p),
+y AS (SELECT *, coalesce(min(i) FILTER (NOT kv) OVER (PARTITION BY conv_id, turn), count(*) OVER (PARTITION BY conv_id, turn)) AS n, bool_and(tail) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS 2 PRECEDING) AS ok FROM x),
+z AS (SELECT conv_id, turn, max(n)::BIGINT AS kv_pages, coalesce(max(i + 1) FILTER (ok AND i < n), 0)::BIGINT AS t, coalesce(min(i) FILTER (NOT whole AND i < n), max(n))::BIGINT AS w FROM y GROUP BY ALL)
+SELECT conv_id, turn, kv_pages, CASE WHEN kv_pages = 0 THEN 0 ELSE t END AS tail_pages, CASE WHEN least(kv_pages, t) = 0 THEN 0 ELSE w END AS whole_pages, CASE WHEN least(kv_pages, t) = 0 THEN 0 ELSE least(kv_pages, t, w) END AS pages FROM z""")
+def multi_pool_prefix(spark, sf):
+    n = F.floor(F.char_length("text") / 16).cast("int")
+    p = parquet(spark, sf, "conversations").where(F.char_length("text") >= 16).select("conv_id", "turn", F.explode(F.sequence(F.lit(0), n - 1)).alias("index"))
+    i, c = F.col("index"), F.col("conv_id")
+    x = p.select(F.struct("conv_id", "turn").alias("request"), "index", (((c % 4 == 0) | (i % 9 != 8)) & ~((c % 6 == 5) & (i == 0))).alias("kv"), (i % 4 != 3).alias("tail"), ((c % 3 == 0) | (i % 7 != 6)).alias("whole"))
+    return prefix.multi_pool(x, "request", {"tail": 3, "whole": 0}).select("request.conv_id", "request.turn", "kv_pages", "tail_pages", "whole_pages", "pages")
+
+
+@query(f"WITH {ACCESS} SELECT op, count(*) AS n, min(latency) AS least, round(avg(latency), 6) AS mean, max(latency) AS greatest, round(count(*) / 3600.0, 9) AS per_second, round(count(*) * 128 / 3600.0, 9) AS bytes_per_second FROM access GROUP BY ALL")
+def op_report(spark, sf):
+    r = workload.report(accesses_of(spark, sf), ["op"], "latency", 3600, 128)
+    return r.select("op", "n", "least", F.round("mean", 6).alias("mean"), "greatest", F.round("per_second", 9).alias("per_second"), F.round("bytes_per_second", 9).alias("bytes_per_second"))
+
+
+@query("""SELECT event_id % 8 AS log, count(*) FILTER (event_type = 'error') AS crash_cycles, count(*) FILTER (event_type = 'view') AS injectors_started, count(DISTINCT user_id) FILTER (event_type = 'error') AS distinct_cycles FROM events GROUP BY ALL""")
+def chaos_cycles(spark, sf):
+    u = F.col("user_id").cast("string")
+    line = F.when(F.col("event_type") == "view", "12:00 [injector] started").otherwise(F.concat(F.lit("12:01 [chaos-cycle "), u, F.when(F.col("event_type") == "error", "] Crashing node-1").otherwise("] Restarting node-1")))
+    return workload.cycles(parquet(spark, sf, "events").select((F.col("event_id") % 8).alias("log"), line.alias("line")), ["log"])
+
+
+@query(f"WITH k AS (SELECT c_custkey, c_name, ({fnv_sql('c_name')} % 256)::INT AS shard FROM customer) SELECT shard, arg_min(c_name, c_custkey) AS key FROM k GROUP BY shard")
+def shard_representatives(spark, sf):
+    k = parquet(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("key"), hashing.shard_of(F.col("c_name"), SHARDS).alias("shard"))
+    return workload.representatives(k, "shard", "key", "c_custkey")
+
+
+@query("""WITH x AS (SELECT event_id, user_id, event_type, row_number() OVER w AS i, lag(event_type) OVER w AS last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT event_id, sum(CASE WHEN i = 1 OR event_type IS DISTINCT FROM last THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS generation FROM x""")
+def content_generations(spark, sf):
+    return metrics.generations(parquet(spark, sf, "events"), "user_id", "event_id", "event_type").select("event_id", "generation")
+
+
+@query("""WITH g AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_linenumber = 2), a AS (SELECT DISTINCT l_orderkey, l_suppkey, true AS a FROM lineitem ANTI JOIN g USING (l_orderkey, l_suppkey)),
+b AS (SELECT DISTINCT l_orderkey, l_suppkey, true AS b FROM lineitem WHERE l_linenumber NOT IN (2, 5) OR l_orderkey % 3 = 0)
+SELECT l_orderkey, count(*) FILTER (b IS NULL) AS absent, count(*) FILTER (a IS NULL) AS unexpected, bool_and(a IS NOT NULL AND b IS NOT NULL) AS equal FROM a FULL JOIN b USING (l_orderkey, l_suppkey) GROUP BY ALL""")
+def set_checks(spark, sf):
+    x = parquet(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
+    after = x.where("l_linenumber not in (2, 5) or l_orderkey % 3 = 0")
+    return metrics.set_differences(x, after, "l_orderkey", "l_suppkey", x.where("l_linenumber = 2"))
+
+
+@query(f"WITH {LOG}, t AS (SELECT CASE WHEN sequence % 3 = 0 THEN 'nvme' ELSE 'ram' END AS tier, octet_length(encode(value)) AS n FROM state) SELECT tier, count(*) AS keys, sum(n)::BIGINT AS bytes FROM t GROUP BY tier UNION ALL SELECT 'total', count(*), sum(n)::BIGINT FROM t")
+def tier_usage(spark, sf):
+    state = kvlog.latest(log_of(spark, sf)).withColumn("tier", F.when(F.col("sequence") % 3 == 0, "nvme").otherwise("ram"))
+    return kvlog.tier_usage(state)

@@ -57,14 +57,17 @@ def walk(candidates: DataFrame, key: str, tau: float = TAU) -> DataFrame:
 
     The first that passes with similarity >= tau matches; one that passes below it ends the walk
     with the first refusal before it, or low_similarity; if none passes, the first refusal stands.
+    context_id, version and similarity are those of a match; `seen` has them of the candidate that decided.
     """
     passes = F.col("reason").isNull()
     x = candidates.groupBy(key).agg(
         F.min(F.when(passes, F.struct("rank", "similarity", "context_id", "version"))).alias("p"),
-        F.min(F.when(~passes, F.struct("rank", "reason"))).alias("r"),
+        F.min(F.when(~passes, F.struct("rank", "reason", "similarity", "context_id", "version"))).alias("r"),
     )
     hit = F.coalesce(F.col("p.similarity") >= tau, F.lit(False))
-    before = F.when(F.col("p").isNull() | (F.col("r.rank") < F.col("p.rank")), F.col("r.reason"))
+    refused = F.col("p").isNull() | (F.col("r.rank") < F.col("p.rank"))
+    before = F.when(refused, F.col("r.reason"))
+    seen = [F.when(hit | ~F.coalesce(refused, F.lit(False)), F.col(f"p.{c}")).otherwise(F.col(f"r.{c}")).alias(c) for c in ("context_id", "version", "similarity")]
     return x.select(
         key,
         F.when(hit, "matched").otherwise("rejected").alias("outcome"),
@@ -72,4 +75,5 @@ def walk(candidates: DataFrame, key: str, tau: float = TAU) -> DataFrame:
         F.when(hit, F.col("p.context_id")).alias("context_id"),
         F.when(hit, F.col("p.version")).alias("version"),
         F.when(hit, F.col("p.similarity")).alias("similarity"),
+        F.struct(*seen).alias("seen"),
     )

@@ -60,3 +60,10 @@ def reassembled(chunks: DataFrame, key: str) -> DataFrame:
         ((F.min("index") == 0) & (F.max("index") == F.max("total") - 1) & (F.count("*") == F.max("total")) & (F.countDistinct("index") == F.max("total")) & (F.min("total") == F.max("total"))).alias("complete"),
     )
 
+
+
+def tier_usage(state: DataFrame, tier: str = "tier") -> DataFrame:
+    """Keys and value bytes of each tier, and of all of them under `total`."""
+    size = F.coalesce(F.octet_length("value"), F.lit(0)).cast("long")
+    out = state.rollup(tier).agg(F.count("*").alias("keys"), F.sum(size).alias("bytes"))
+    return out.select(F.coalesce(F.col(tier), F.lit("total")).alias("tier"), "keys", "bytes")

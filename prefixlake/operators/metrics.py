@@ -47,3 +47,18 @@ def acknowledged(writes: DataFrame, acks: DataFrame, required: int, timeout: int
     x = writes.join(a, "write_id", "left")
     n = F.countDistinct(F.when((F.col("_at") >= F.col("at")) & (F.col("_at") - F.col("at") <= timeout), F.col("node_id")))
     return x.groupBy("write_id").agg(n.alias("acks")).withColumn("accepted", F.col("acks") >= required)
+
+
+def generations(rows: DataFrame, group: str, order: str, content: str) -> DataFrame:
+    """rows with `generation`: 1 at first, one more whenever the content differs from the row before."""
+    w = Window.partitionBy(group).orderBy(order)
+    bump = F.when(F.row_number().over(w) == 1, 1).otherwise((~F.lag(content).over(w).eqNullSafe(F.col(content))).cast("int"))
+    return rows.withColumn("_b", bump).withColumn("generation", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
+
+
+def set_differences(before: DataFrame, after: DataFrame, group: str, member: str, gone: DataFrame | None = None) -> DataFrame:
+    """Per group: members of before that after lacks and the other way round, and whether both sets are equal; members of `gone` count as not in before."""
+    a = before.select(group, member).distinct()
+    a = a if gone is None else a.join(gone.select(group, member).distinct(), [group, member], "left_anti")
+    x = a.withColumn("_a", F.lit(True)).join(after.select(group, member).distinct().withColumn("_b", F.lit(True)), [group, member], "full_outer")
+    return x.groupBy(group).agg(F.count_if(F.col("_b").isNull()).alias("absent"), F.count_if(F.col("_a").isNull()).alias("unexpected")).withColumn("equal", F.col("absent") + F.col("unexpected") == 0)

@@ -38,3 +38,27 @@ def trailing_prefix(exists: DataFrame, request: str, trailing: int) -> DataFrame
 
 def written_and_read(written: DataFrame, read: DataFrame) -> DataFrame:
     return written.select("key").intersect(read.select("key"))
+
+
+def multi_pool(exists: DataFrame, request: str, pools: dict[str, int], kv: str = "kv") -> DataFrame:
+    """Pages of each request that all pools can serve. exists: request, index from 0, a boolean column a pool; pools: their trailing pages, 0 where all must exist.
+
+    kv: pages before the first that is missing. Others: their first missing page below kv, or the
+    longest prefix within kv whose last pages exist; 0 once a pool before has none. pages: the least.
+    """
+    whole = Window.partitionBy(request)
+    x = exists.withColumn("_kv", F.coalesce(F.min(F.when(~F.col(kv), F.col("index"))).over(whole), F.count("*").over(whole)))
+    inside, aggs = F.col("index") < F.col("_kv"), []
+    for name, trailing in pools.items():
+        if trailing:
+            x = x.withColumn(f"_{name}", F.min(F.col(name).cast("int")).over(whole.orderBy("index").rowsBetween(1 - trailing, 0)) == 1)
+            at = F.coalesce(F.max(F.when(inside & F.col(f"_{name}"), F.col("index") + 1)), F.lit(0))
+        else:
+            at = F.coalesce(F.min(F.when(inside & ~F.col(name), F.col("index"))), F.max("_kv"))
+        aggs.append(at.cast("long").alias(f"_at_{name}"))
+    out = x.groupBy(request).agg(F.max("_kv").cast("long").alias("kv_pages"), *aggs)
+    final = F.col("kv_pages")
+    for name in pools:
+        out = out.withColumn(f"{name}_pages", F.when(final == 0, F.lit(0)).otherwise(F.col(f"_at_{name}")).cast("long")).drop(f"_at_{name}")
+        final = F.least(final, F.col(f"{name}_pages"))
+    return out.withColumn("pages", final)

@@ -121,3 +121,24 @@ def verdict(totals: DataFrame, max_error_rate: float = 0.5) -> DataFrame:
 def reservoir(rows: DataFrame, k: int, key: str, seed: int = 7) -> DataFrame:
     """A uniform sample of k rows: those of the k least seeded hashes of a key, the same however rows are partitioned; only k rows a task are kept."""
     return rows.withColumn("_r", F.xxhash64(F.lit(seed), key)).orderBy("_r", key).limit(k).drop("_r")
+
+
+def report(samples: DataFrame, groups: list[str], value: str, seconds: float, payload: int = 0) -> DataFrame:
+    """Count, least, mean and greatest value of each group, and its operations and payload bytes a second."""
+    n = F.count("*")
+    return samples.groupBy(*groups).agg(
+        n.alias("n"), F.min(value).alias("least"), F.avg(value).alias("mean"), F.max(value).alias("greatest"), (n / F.lit(float(seconds))).alias("per_second"), (n * payload / F.lit(float(seconds))).alias("bytes_per_second")
+    )
+
+
+def cycles(lines: DataFrame, groups: list[str], line: str = "line") -> DataFrame:
+    """Of an injector's log: crashes, injectors started, distinct numbers of crash cycles."""
+    text = F.col(line)
+    number = F.regexp_extract(text, r"\[chaos-cycle (\d+)\]", 1)
+    crash = text.contains("Crashing") & (number != "")
+    return lines.groupBy(*groups).agg(F.count_if(crash).alias("crash_cycles"), F.count_if(text.contains("[injector] started")).alias("injectors_started"), F.countDistinct(F.when(crash, number.cast("long"))).alias("distinct_cycles"))
+
+
+def representatives(keys: DataFrame, group: str, key: str, order: str) -> DataFrame:
+    """The first key of each group; ties in order go to the smaller key."""
+    return keys.groupBy(group).agg(F.min(F.struct(order, key)).alias("_x")).select(group, F.col(f"_x.{key}").alias(key))

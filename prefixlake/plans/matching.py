@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefixlake.functions.textnorm import normalized
+from prefixlake.functions.structured import canonical_json
+from prefixlake.functions.textnorm import content_hash, normalized
 from prefixlake.operators import guard, registry, vector
 
 BLOCK = ["block_id", "namespace", "block_type", "text", "embedding"]
 
 
 def decisions(blocks: DataFrame, records: DataFrame, pointers: DataFrame, aliases: DataFrame, k: int = 5, tau: float = guard.TAU) -> DataFrame:
-    """One row a block: block_id, outcome, method (exact, alias, semantic), reason, context_id, version.
+    """One row a block: block_id, outcome, method (exact, alias, structural, semantic), reason, context_id, version, similarity.
 
     Exact: the hash of the normalised text among live records. Alias: the text, raw or normalised,
-    as a current record's alias. Semantic: the guard's walk over the nearest current records of
-    the block's tenant and type; null vectors have no candidates.
+    as a current record's alias. Structural: the hash of a tool schema's canonical JSON among live
+    records. Semantic: the guard's walk over the nearest current records of the block's tenant and
+    type; null vectors have no candidates. A refusal names the candidate that decided it.
     """
     b = blocks.withColumn("_norm", normalized(F.col("text"))).withColumn("content_hash", F.sha2("_norm", 256))
     exact = registry.by_hash(records, b.select("block_id", "namespace", "content_hash")).groupBy("block_id").agg(F.min(F.struct("context_id", "version")).alias("x"))
@@ -24,6 +26,9 @@ def decisions(blocks: DataFrame, records: DataFrame, pointers: DataFrame, aliase
     names = left.select("block_id", "namespace", F.explode(F.array_distinct(F.array("text", "_norm"))).alias("alias"))
     alias = registry.by_alias(records, pointers, aliases, names).groupBy("block_id").agg(F.min(F.struct("context_id", "version")).alias("x"))
     left = left.join(alias, "block_id", "left_anti")
+    tools = left.where("block_type = 'tool_schema'").select("block_id", "namespace", content_hash(canonical_json("text")).alias("content_hash"))
+    structural = registry.by_hash(records, tools).groupBy("block_id").agg(F.min(F.struct("context_id", "version")).alias("x"))
+    left = left.join(structural, "block_id", "left_anti")
     now = registry.current(records, pointers).where("embedding is not null")
     near = vector.top_candidates(left.where("embedding is not null").select(F.col("block_id").alias("query_id"), "namespace", "block_type", "embedding"), now.select("namespace", "block_type", "context_id", "version", "embedding"), k)
     near = near.withColumnRenamed("query_id", "block_id")
@@ -37,10 +42,28 @@ def decisions(blocks: DataFrame, records: DataFrame, pointers: DataFrame, aliase
     semantic = guard.walk(judged.withColumn("reason", reason), "block_id", tau)
 
     def found(x: DataFrame, method: str) -> DataFrame:
-        return x.select("block_id", F.lit("matched").alias("outcome"), F.lit(method).alias("method"), F.lit(None).cast("string").alias("reason"), "x.context_id", "x.version")
+        return x.select("block_id", F.lit("matched").alias("outcome"), F.lit(method).alias("method"), F.lit(None).cast("string").alias("reason"), "x.context_id", "x.version", F.lit(1.0).alias("similarity"))
 
     last = left.select("block_id").join(semantic, "block_id", "left").select(
         "block_id", F.coalesce("outcome", F.lit("rejected")).alias("outcome"), F.when(F.col("outcome") == "matched", "semantic").alias("method"),
-        F.when(F.col("outcome").isNull(), "no_candidate").otherwise(F.col("reason")).alias("reason"), "context_id", "version",
+        F.when(F.col("outcome").isNull(), "no_candidate").otherwise(F.col("reason")).alias("reason"), "seen.context_id", "seen.version", "seen.similarity",
     )
-    return found(exact, "exact").unionByName(found(alias, "alias")).unionByName(last)
+    return found(exact, "exact").unionByName(found(alias, "alias")).unionByName(found(structural, "structural")).unionByName(last)
+
+
+def label(outcome: Column, method: Column, reason: Column) -> Column:
+    """A decision in one word: the method of a match, no_candidate, else the outcome."""
+    return F.when((outcome == "matched") & method.isNotNull(), method).when(reason == "no_candidate", "no_candidate").otherwise(outcome)
+
+
+def decision_rows(decided: DataFrame) -> DataFrame:
+    """decisions as they are logged: label; similarity only where vectors were compared; guard_outcome, null where the guard did not decide."""
+    reason = F.col("reason")
+    guarded = F.when(F.col("method") == "semantic", "passed").when((F.col("outcome") == "rejected") & ~reason.isin("no_candidate", "low_similarity"), F.when(reason == "guard_error", "error").when(reason == "guard_timeout", "timeout").otherwise("rejected"))
+    by_vector = F.col("method").isNull() | (F.col("method") == "semantic")
+    return decided.withColumn("label", label(F.col("outcome"), F.col("method"), reason)).withColumn("guard_outcome", guarded).withColumn("similarity", F.when(by_vector, F.col("similarity")))
+
+
+def report(rows: DataFrame, right: Column) -> DataFrame:
+    """Per label: decisions, how many are `right`, least and greatest similarity."""
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.count_if(right).alias("n_right"), F.min("similarity").alias("least"), F.max("similarity").alias("greatest"))
