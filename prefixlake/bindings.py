@@ -337,6 +337,19 @@ def request_blocks(spark, sf):
     return b.select("request_id", "index", "block_type", "token_estimate", "eligible_tokens", "bypass_reason", blocks.eligibility(F.col("block_type")).alias("eligibility"))
 
 
+@query(f"""WITH {BLOCKS}, t AS (SELECT conv_id AS request_id, CASE WHEN turn % 5 <> 4 THEN '{{"name": "tool-' || turn || '", "strict": true}}' END AS text, turn FROM conversations WHERE turn % 3 = 1),
+u AS (SELECT request_id, index, block_type, text FROM b1 UNION ALL SELECT request_id, (row_number() OVER (PARTITION BY request_id ORDER BY turn) - 1 + (SELECT count(*) FROM b1 WHERE b1.request_id = t.request_id))::INT, 'tool_schema', text FROM t WHERE text IS NOT NULL)
+SELECT request_id, index, CASE WHEN index % 4 = 1 THEN 'rag_document' ELSE block_type END AS block_type, index % 4 <> 2 AS known, sha256(text) AS text_hash FROM u""")
+def request_tools(spark, sf):
+    """Conversations whose turns bring tools, some of them no JSON; some blocks are annotated, some with an unknown type."""
+    m = messages_of(spark, sf)
+    json = F.when(F.col("position") % 5 == 4, "{").otherwise(F.concat(F.lit('{ "name":"tool-'), F.col("position").cast("string"), F.lit('","strict":true}')))
+    b = blocks.with_tools(blocks.decomposed(m), m.where("position % 3 = 1").select("request_id", "position", json.alias("tool")))
+    kind = F.when(F.col("index") % 4 == 1, "rag_document").otherwise("other")
+    notes = b.where("index % 4 in (1, 2)").select("request_id", "index", kind.alias("block_type"))
+    return blocks.annotated(b, notes).select("request_id", "index", "block_type", "known", F.sha2("text", 256).alias("text_hash"))
+
+
 @query(f"WITH {BLOCKS} SELECT request_id, string_agg(CASE WHEN index % 3 = 1 THEN 'canonical' ELSE text END, chr(10) ORDER BY index) AS body, count(*) FILTER (index % 3 = 1) AS n_replaced, count(*) FILTER (index % 4 = 2) AS n_unknown FROM b1 GROUP BY ALL")
 def request_assembly(spark, sf):
     b = blocks.decomposed(messages_of(spark, sf))
@@ -617,7 +630,7 @@ near AS (SELECT q.doc_id, c.doc_id AS rec, c.context_id, c.version, least(1.0, g
   FROM l2 q JOIN cur c ON q.namespace = c.namespace AND q.block_type = c.block_type JOIN embeddings x ON x.vec_id = q.vec JOIN embeddings y ON y.vec_id = c.doc_id % (SELECT n FROM ne) QUALIFY rank <= 5),
 said AS (SELECT doc_id AS conv_id, 0 AS turn, text FROM l2 UNION ALL SELECT doc_id, 1, text FROM cur),
 {TOKENS.replace("FROM conversations", "FROM said")},
-pol AS (SELECT conv_id, turn, string_agg(family || n, ',' ORDER BY family) AS f FROM (SELECT conv_id, turn, {FAMILY} AS family, count(*) AS n FROM k GROUP BY ALL HAVING family IS NOT NULL) GROUP BY ALL),
+pol AS (SELECT conv_id, turn, string_agg(family || n, ',' ORDER BY family) AS f FROM (SELECT conv_id, turn, family, count(*) AS n FROM (SELECT conv_id, turn, {FAMILY} AS family FROM k) WHERE family IS NOT NULL GROUP BY conv_id, turn, family) GROUP BY conv_id, turn),
 ent AS (SELECT conv_id, turn, string_agg(DISTINCT entity, '|' ORDER BY entity) AS f FROM (SELECT conv_id, turn, {ENTITY} AS entity FROM k) WHERE entity IS NOT NULL GROUP BY ALL),
 jd AS (SELECT near.*, CASE WHEN pa.f IS DISTINCT FROM pb.f THEN 'negation_mismatch' WHEN ea.f IS DISTINCT FROM eb.f THEN 'entity_mismatch' END AS why FROM near LEFT JOIN pol pa ON pa.conv_id = near.doc_id AND pa.turn = 0
   LEFT JOIN pol pb ON pb.conv_id = rec AND pb.turn = 1 LEFT JOIN ent ea ON ea.conv_id = near.doc_id AND ea.turn = 0 LEFT JOIN ent eb ON eb.conv_id = rec AND eb.turn = 1),

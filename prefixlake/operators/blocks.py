@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prefixlake.functions.structured import tool_text
 from prefixlake.functions.textnorm import token_estimate
 
 #: Block types by whether they may be matched.
@@ -32,6 +33,23 @@ def decomposed(messages: DataFrame, request: str = "request_id", position: str =
     return rows.select(request, index.alias("index"), kind.alias("block_type"), "text", token_estimate(F.col("text")).alias("token_estimate"))
 
 
+def with_tools(blocks: DataFrame, tools: DataFrame, request: str = "request_id", position: str = "position") -> DataFrame:
+    """decomposed blocks with a tool_schema block for each tool (request, position, tool as JSON) behind them; tools that are no JSON take none."""
+    rows = tools.select(request, position, tool_text(F.col("tool")).alias("text")).where("text is not null")
+    n = blocks.groupBy(request).agg(F.count("*").alias("_n"))
+    index = F.row_number().over(Window.partitionBy(request).orderBy(position)) - 1 + F.coalesce("_n", F.lit(0))
+    extra = rows.join(n, request, "left").select(request, index.cast("int").alias("index"), F.lit("tool_schema").alias("block_type"), "text", token_estimate(F.col("text")).alias("token_estimate"))
+    return blocks.unionByName(extra)
+
+
+def annotated(blocks: DataFrame, annotations: DataFrame, request: str = "request_id") -> DataFrame:
+    """blocks with the types of annotations (request, index, block_type) in place of their own, and `known`: false where an annotation is no block type, which leaves the block as it is."""
+    a = annotations.select(request, "index", F.col("block_type").alias("_type"))
+    ok = F.col("_type").isin(*ELIGIBLE, *DEFERRED, *INELIGIBLE)
+    x = blocks.join(a, [request, "index"], "left").withColumn("known", F.col("_type").isNull() | ok)
+    return x.withColumn("block_type", F.when(ok, F.col("_type")).otherwise(F.col("block_type"))).drop("_type")
+
+
 def with_bypass(blocks: DataFrame, threshold: int = MIN_TOKENS, request: str = "request_id") -> DataFrame:
     """blocks with eligible_tokens of the request and bypass_reason: below_min_tokens, ineligible_block_type or null."""
     fit = F.col("block_type").isin(*ELIGIBLE)

@@ -20,19 +20,22 @@ def decisions(blocks: DataFrame, records: DataFrame, pointers: DataFrame, aliase
     records. Semantic: the guard's walk over the nearest current records of the block's tenant and
     type; null vectors have no candidates. A refusal names the candidate that decided it.
     """
-    b = blocks.withColumn("_norm", normalized(F.col("text"))).withColumn("content_hash", F.sha2("_norm", 256))
-    exact = registry.by_hash(records, b.select("block_id", "namespace", "content_hash")).groupBy("block_id").agg(F.min(F.struct("context_id", "version")).alias("x"))
-    left = b.join(exact, "block_id", "left_anti")
-    names = left.select("block_id", "namespace", F.explode(F.array_distinct(F.array("text", "_norm"))).alias("alias"))
-    alias = registry.by_alias(records, pointers, aliases, names).groupBy("block_id").agg(F.min(F.struct("context_id", "version")).alias("x"))
-    left = left.join(alias, "block_id", "left_anti")
-    tools = left.where("block_type = 'tool_schema'").select("block_id", "namespace", content_hash(canonical_json("text")).alias("content_hash"))
-    structural = registry.by_hash(records, tools).groupBy("block_id").agg(F.min(F.struct("context_id", "version")).alias("x"))
-    left = left.join(structural, "block_id", "left_anti")
+    b = blocks.withColumn("_norm", normalized(F.col("text")))
+    least = F.min(F.struct("tier", "context_id", "version")).alias("x")  # of a block's hits, so that each tier is evaluated once
+    exact = registry.by_hash(records, b.select("block_id", "namespace", F.sha2("_norm", 256).alias("content_hash")))
+    names = b.select("block_id", "namespace", F.explode(F.array_distinct(F.array("text", "_norm"))).alias("alias"))
+    alias = registry.by_alias(records, pointers, aliases, names)
+    tools = b.where("block_type = 'tool_schema'").select("block_id", "namespace", content_hash(canonical_json("text")).alias("content_hash"))
+    hits = None
+    for tier, x in enumerate((exact, alias, registry.by_hash(records, tools))):
+        x = x.select("block_id", F.lit(tier).alias("tier"), "context_id", "version")
+        hits = x if hits is None else hits.unionByName(x)
+    hits = hits.groupBy("block_id").agg(least)
+    left = b.where("embedding is not null").join(hits, "block_id", "left_anti")
     now = registry.current(records, pointers).where("embedding is not null")
-    near = vector.top_candidates(left.where("embedding is not null").select(F.col("block_id").alias("query_id"), "namespace", "block_type", "embedding"), now.select("namespace", "block_type", "context_id", "version", "embedding"), k)
+    near = vector.top_candidates(left.select(F.col("block_id").alias("query_id"), "namespace", "block_type", "embedding"), now.select("namespace", "block_type", "context_id", "version", "embedding"), k)
     near = near.withColumnRenamed("query_id", "block_id")
-    there = near.select("block_id", "rank", "similarity", "context_id", "version").join(left.select("block_id", "namespace", "block_type", F.col("text").alias("_own")), "block_id")
+    there = near.select("block_id", "rank", "similarity", "context_id", "version").join(b.select("block_id", "namespace", "block_type", F.col("text").alias("_own")), "block_id")
     pairs = there.join(now.select(*registry.KEY, F.col("text").alias("_text")), registry.KEY)
     own = guard.facts(pairs.select("block_id", "_own").distinct(), "block_id", "_own").select("block_id", F.col("polarity").alias("pa"), F.col("entities").alias("ea"))
     texts = pairs.select(F.sha2("_text", 256).alias("_t"), "_text").distinct()
@@ -41,14 +44,13 @@ def decisions(blocks: DataFrame, records: DataFrame, pointers: DataFrame, aliase
     reason = guard.verdict(F.lit(True), F.lit(True), (F.col("pa"), F.col("pb")), (F.col("ea"), F.col("eb")))
     semantic = guard.walk(judged.withColumn("reason", reason), "block_id", tau)
 
-    def found(x: DataFrame, method: str) -> DataFrame:
-        return x.select("block_id", F.lit("matched").alias("outcome"), F.lit(method).alias("method"), F.lit(None).cast("string").alias("reason"), "x.context_id", "x.version", F.lit(1.0).alias("similarity"))
-
-    last = left.select("block_id").join(semantic, "block_id", "left").select(
-        "block_id", F.coalesce("outcome", F.lit("rejected")).alias("outcome"), F.when(F.col("outcome") == "matched", "semantic").alias("method"),
-        F.when(F.col("outcome").isNull(), "no_candidate").otherwise(F.col("reason")).alias("reason"), "seen.context_id", "seen.version", "seen.similarity",
+    hit = F.col("x").isNotNull()
+    method = F.when(hit, F.element_at(F.array(*map(F.lit, ("exact", "alias", "structural"))), F.col("x.tier") + 1)).when(F.col("outcome") == "matched", "semantic")
+    return b.select("block_id").join(hits, "block_id", "left").join(semantic, "block_id", "left").select(
+        "block_id", F.when(hit, "matched").otherwise(F.coalesce("outcome", F.lit("rejected"))).alias("outcome"), method.alias("method"),
+        F.when(~hit, F.when(F.col("outcome").isNull(), "no_candidate").otherwise(F.col("reason"))).alias("reason"),
+        F.coalesce("x.context_id", "seen.context_id").alias("context_id"), F.coalesce("x.version", "seen.version").alias("version"), F.when(hit, 1.0).otherwise(F.col("seen.similarity")).alias("similarity"),
     )
-    return found(exact, "exact").unionByName(found(alias, "alias")).unionByName(found(structural, "structural")).unionByName(last)
 
 
 def label(outcome: Column, method: Column, reason: Column) -> Column:
