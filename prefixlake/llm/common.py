@@ -17,8 +17,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Makes Spark drop the shuffle files of a query that has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Paths of the tables that `written` has made, in order.
-_WRITTEN: list[str] = []
+#: Paths of the tables that `written` has made, in order; None for those that are emptied.
+_WRITTEN: list[str | None] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,11 +47,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cleared(spark: SparkSession, since: int = 0) -> None:
-    """Empties the tables that `written` has made from number `since` on; for when no result that reads them is needed any more."""
-    for path in _WRITTEN[since:]:
-        spark.createDataFrame([], "nothing int").coalesce(1).write.mode("overwrite").parquet(path)
-    del _WRITTEN[since:]
+def cleared(spark: SparkSession, since: int = 0, until: int | None = None, but: DataFrame | None = None) -> None:
+    """Empties the tables that `written` has made from number `since` on, up to `until`; for when no result that reads them is needed any more.
+
+    Tables that `but` reads stay. The numbers of emptied ones stay taken.
+    """
+    read = {x.rsplit("/", 2)[-2] for x in but.inputFiles()} if but is not None else set()
+    for k in range(since, len(_WRITTEN) if until is None else until):
+        if _WRITTEN[k] and _WRITTEN[k].rsplit("/", 1)[-1] not in read:
+            spark.createDataFrame([], "nothing int").coalesce(1).write.mode("overwrite").parquet(_WRITTEN[k])
+            _WRITTEN[k] = None
 
 
 def n_written() -> int:

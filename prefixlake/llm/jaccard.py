@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from prefixlake.llm.common import released, shuffle_partitions, sliced, written
+from prefixlake.llm.common import cleared, n_written, released, shuffle_partitions, sliced, written
 
 #: Words of a shingle and similarity as a fraction, as op6 has them: the defaults of `linked` and `representatives`.
 WORDS, NUM, DEN = 3, 90, 100
@@ -317,16 +317,8 @@ def _spots(ids: np.ndarray) -> list[np.ndarray]:
     return [((h >> _U(s)) % _U(SEGMENT)).astype(np.int64) for s in (0, 20, 40)]
 
 
-def linked(docs: DataFrame, text: str = "text", keep_text: bool = False, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """docs (doc_id, text, ...) with n_shingles and component_id, the least doc_id that links lead to.
-
-    Linked are texts whose sets of shingles of `words` words have a Jaccard similarity of num/den or more.
-
-    Null texts and those without words have no shingles and are their own component. Rows with the
-    same text or the same set are linked, also those with the same doc_id; null ids count as no id.
-    The text goes unless keep_text; _pl_rid numbers the rows, _pl_group the components. Columns of docs with the new names are replaced; an empty table
-    stays empty. Shingles are told apart by 64-bit hashes, sets by 128-bit ones.
-    """
+def grouped(docs: DataFrame, text: str = "text", keep_text: bool = False, words: int = WORDS, num: int = NUM, den: int = DEN) -> tuple[DataFrame, list[str], DataFrame]:
+    """What `linked` joins: rows of docs with _pl_rid, _pl_size and _pl_fp (a hash of the set), the columns that they keep, and (_pl_fp, component_id, _pl_group)."""
     spark: SparkSession = docs.sparkSession
     names = [c for c in docs.columns if c not in ("n_shingles", "component_id") and (keep_text or c != text)]
     source = docs.select(*names, F.col(text).cast("binary").alias("_pl_text"))
@@ -383,11 +375,13 @@ def linked(docs: DataFrame, text: str = "text", keep_text: bool = False, words:
                 names=["token", "sid", "pos"],
             )
 
+    made = n_written()
     light = written(firsts.mapInArrow(explode, "token long, sid long, pos int"), "firsts")
     counts = light.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     own = light.join(counts, "token").groupBy("sid").agg(F.collect_list(F.struct("token", "pos", "n")).alias("own"))  # of one set's first shingles
     # Sets with a first shingle that another has too.
     lists = written(heads.select("sid", "size", "sig").join(own, "sid"), "lists")
+    cleared(spark, made, made + 1)  # the list of first shingles is read no more
     keys = ["sid", "size", "sig", "comp", "hub", "dist"]
 
     def posts(state: DataFrame) -> DataFrame:
@@ -425,9 +419,11 @@ def linked(docs: DataFrame, text: str = "text", keep_text: bool = False, words:
         else:
             state = todo.join(groups.select(F.col("id").alias("sid"), "component"), "sid", "left").join(near, "sid", "left")
             state = state.withColumns({"comp": F.coalesce("component", "sid"), "hub": F.coalesce("hub", F.lit(-1)), "dist": F.coalesce("dist", F.lit(0))})
+        made = n_written()
         pairs = written(candidates(posts(state), mode, num, den), "pairs")
         likely = written(plausible(pairs, bounds, num, den), "likely")
         links = written(verified(likely, sets_of(likely), num, den), "links")
+        cleared(spark, made + 1, n_written() - 1)  # all that led from the pairs to the links
         if groups is None:
             near = links.select(F.col("a").alias("sid"), F.col("b").alias("hub"), "dist")
             groups = components(links, "groups")
@@ -446,6 +442,20 @@ def linked(docs: DataFrame, text: str = "text", keep_text: bool = False, words:
     ids = reps.join(groups.select(F.col("id").alias("sid"), "component"), "sid", "left").select("_pl_fp", "_pl_id", F.coalesce("component", "sid").alias("component"))
     least = ids.groupBy("component").agg(F.min("_pl_id").alias("component_id"))
     ids = ids.join(least, "component").select("_pl_fp", "component_id", F.col("component").alias("_pl_group"))
+    return table, names, ids
+
+
+def linked(docs: DataFrame, text: str = "text", keep_text: bool = False, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """docs (doc_id, text, ...) with n_shingles and component_id, the least doc_id that links lead to.
+
+    Linked are texts whose sets of shingles of `words` words have a Jaccard similarity of num/den or more.
+
+    Null texts and those without words have no shingles and are their own component. Rows with the
+    same text or the same set are linked, also those with the same doc_id; null ids count as no id.
+    The text goes unless keep_text; _pl_rid numbers the rows, _pl_group the components. Columns of docs with the new names are replaced; an empty table
+    stays empty. Shingles are told apart by 64-bit hashes, sets by 128-bit ones.
+    """
+    table, names, ids = grouped(docs, text, keep_text, words, num, den)
     out = table.select(*names, "_pl_fp", F.col("_pl_size").alias("n_shingles"), "_pl_rid")
     out = out.join(ids, "_pl_fp", "left")
     found = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -455,9 +465,12 @@ def linked(docs: DataFrame, text: str = "text", keep_text: bool = False, words:
 def representatives(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """docs with one row of each component: that of the least doc_id (a null id first), of repeated ids any one."""
     clash = {c: f"_pl_own_{c}" for c in docs.columns if c in ("n_shingles", "component_id")}
-    found = written(linked(docs.withColumnsRenamed(clash), keep_text=True, words=words, num=num, den=den).drop("n_shingles", "component_id"), "linked").withColumnsRenamed({v: k for k, v in clash.items()})
-    first = found.groupBy("_pl_group").agg(F.min(F.struct("doc_id", "_pl_rid")).alias("x")).select(F.col("x._pl_rid").alias("_pl_rid"))
-    return found.join(first, "_pl_rid", "left_semi").select(*docs.columns)
+    table, _, ids = grouped(docs.withColumnsRenamed(clash), keep_text=True, words=words, num=num, den=den)
+    # Rows are chosen by their numbers, so that texts are joined once and not written again.
+    first = table.where("_pl_size > 0").select("_pl_fp", "doc_id", "_pl_rid").join(ids.select("_pl_fp", "_pl_group"), "_pl_fp")
+    first = first.groupBy("_pl_group").agg(F.min(F.struct("doc_id", "_pl_rid")).alias("x")).select(F.col("x._pl_rid").alias("_pl_rid"))
+    kept = written(first.unionByName(table.where("_pl_size = 0").select("_pl_rid")), "kept")
+    return table.join(kept, "_pl_rid", "left_semi").withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
 
 
 def digest(documents: DataFrame) -> DataFrame:
