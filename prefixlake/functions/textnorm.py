@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -33,18 +33,43 @@ VALUE_WORDS = (
 LEADING, TRAILING, SENTENCE_ENDS = "\"'`([{<«“‘", "\"'`)]}>»”’.,;:!?", ".!?:;"
 
 
-@F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode NFC, for which Spark has no function."""
-    return text.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+#: Characters that no composition changes or takes in: a text of these is NFC as it is.
+INERT = r"\x{0}-\x{2FF}\x{400}-\x{482}\x{48A}-\x{52F}\x{2002}-\x{20CF}\x{2100}-\x{2125}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}\x{1F300}-\x{1FAFF}"
 
 
-def normalized(text: Column) -> Column:
-    """NFC, LF line ends, no blanks at line ends, at most one empty line in a row, none at either end. Case and indentation stay."""
-    x = F.regexp_replace(nfc(text), r"\r\n?", "\n")
-    x = F.regexp_replace(x, r"[ \t\x0B\f]+(?=\n|\z)", "")
+@F.arrow_udf(StringType())
+def _composed(text: pa.Array) -> pa.Array:
+    """NFC of the texts, of a few hundred at once as Python strings; a batch in NFC is given back as it is."""
+    parts, same = [], True
+    for at in range(0, len(text), 256):
+        part = text.slice(at, 256)
+        own = part.to_pylist()
+        if all(x is None or unicodedata.is_normalized("NFC", x) for x in own):
+            parts.append(part)
+        else:
+            same = False
+            parts.append(pa.array([x and unicodedata.normalize("NFC", x) for x in own], text.type))
+    return text if same else pa.concat_arrays(parts)
+
+
+def nfc(text: Column) -> Column:
+    """Unicode NFC, for which Spark has no function: texts with characters beyond INERT, and only those, go to Python."""
+    other = text.rlike(r"[^\x{0}-\x{2FF}]") & text.rlike(f"[^{INERT}]")  # the first is quick
+    return F.when(other, _composed(F.when(other, text))).otherwise(text)
+
+
+def tidied(text: Column) -> Column:
+    """LF line ends, no blanks at line ends, at most one empty line in a row, none at either end. Case and indentation stay."""
+    x = F.regexp_replace(text, r"\r\n?", "\n")
+    # A run of blanks is tried from its first only, else long ones would take the square of their length.
+    x = F.when(x.rlike(r"[ \t\x0B\f](?:\n|\z)"), F.regexp_replace(x, r"(?<![ \t\x0B\f])[ \t\x0B\f]++(?=\n|\z)", "")).otherwise(x)
     x = F.regexp_replace(x, r"\n{3,}", "\n\n")
-    return F.regexp_replace(x, r"\A\n+|\n+\z", "")
+    return F.trim(x, F.lit("\n"))
+
+
+def normalized(text: Column) -> Column:
+    """NFC, and tidied."""
+    return tidied(nfc(text))
 
 
 def content_hash(text: Column) -> Column:

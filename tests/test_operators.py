@@ -46,6 +46,40 @@ def test_normalised_text(spark):
         assert one(spark, textnorm.normalized(F.lit(want))) == want
 
 
+def test_only_texts_that_may_change_go_to_python(spark):
+    import re
+    import unicodedata
+
+    second = {ord(d.split()[1]) if len(d.split()[1]) == 1 else int(d.split()[1], 16) for c in range(0x110000) if len((d := unicodedata.decomposition(chr(c))).split()) == 2 and "<" not in d}
+    second |= set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
+    ranges = [(int(a, 16), int(b, 16)) for a, b in re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", textnorm.INERT)]
+    assert len(ranges) == textnorm.INERT.count("-")
+    for a, b in ranges:
+        assert all(not unicodedata.combining(chr(c)) and unicodedata.is_normalized("NFC", chr(c)) and c not in second for c in range(a, b + 1))
+    texts = ["e\u0301a", "a\u0300\n\n\n\nx", "plain \u2019 \u20ac", "\u212b", "\u1100\u1161\u11a8", "\uac00\u11a8", "\U0001f600", "\u4e2d", "\u304b\u3099", "", None] * 60
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    got = {r.i: r.n for r in rows.select("i", textnorm.nfc(F.col("t")).alias("n")).collect()}
+    assert [got[i] for i in range(len(texts))] == [x if x is None else unicodedata.normalize("NFC", x) for x in texts]
+
+
+def test_long_runs_of_blanks_take_linear_time(spark):
+    import time
+
+    began = time.time()
+    assert one(spark, textnorm.normalized(F.lit("a" + " \t" * 200_000 + "b" + " " * 9 + "\n"))) == "a" + " \t" * 200_000 + "b"
+    assert time.time() - began < 30
+
+
+def test_texts_are_not_shuffled_for_exact_matches(spark):
+    from prefixlake import bindings
+
+    plan = bindings.QUERIES["tier0_exact_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert all("text#" not in x for x in plan.splitlines() if "Exchange" in x or "Sort " in x or "Window " in x)
+    batch = spark.createDataFrame([("x" * 5000 + "e\u0301",)] + [("x" * 5000,)] * 50, "t string").coalesce(1)
+    sent = batch.select(textnorm.nfc(F.col("t")).alias("n"))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in sent and "CASE WHEN" in sent[sent.index("ArrowEvalPython") :]
+
+
 def test_guard_facts(spark):
     texts = [(1, "Never delete Production data. Don't touch GitHub before 5pm"), (2, "run --dry-run on prod\n- Alice said: Bob a_b"), (3, "")]
     got = {r.k: r for r in guard.facts(spark.createDataFrame(texts, "k int, t string"), "k", "t").collect()}
