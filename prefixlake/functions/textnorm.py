@@ -86,6 +86,14 @@ def stripped(token: Column) -> Column:
     return F.rtrim(F.ltrim(token, F.lit(LEADING)), F.lit(TRAILING))
 
 
+TELLING = sorted({*VALUE_WORDS.split(), *(x for words in POLARITY.values() for x in words.split())})
+
+
+def may_tell(token: Column) -> Column:
+    """Whether a stripped token may have a polarity family or be an entity: a quick test that leaves out most words."""
+    return F.lower(token).isin(TELLING) | token.rlike(r"[0-9_/\\@=.:\p{Lu}-]|[nN]['’][tT]$")
+
+
 def polarity_family(token: Column) -> Column:
     """The family of a stripped token, null if it has none; contractions of not count as NEG."""
     low = F.lower(token)

@@ -2,33 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefixlake.functions.textnorm import SENTENCE_ENDS, entity, nfc, polarity_family, stripped
+from prefixlake.functions.textnorm import SENTENCE_ENDS, entity, may_tell, nfc, polarity_family, stripped
 
 TAU = 0.90
 
 
-def tokens(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, line, place, raw, token, sentence_start) of all tokens that are more than punctuation."""
-    lines = texts.select(key, F.posexplode(F.split(nfc(F.col(text)), "\n")).alias("line", "_line"))
-    raw = lines.select(key, "line", F.posexplode(F.split("_line", r"(?U)\s+")).alias("place", "raw")).where("raw <> ''")
-    rows = raw.withColumn("token", stripped(F.col("raw"))).where("token <> ''")
-    before = F.lag("raw").over(Window.partitionBy(key, "line").orderBy("place"))
-    starts = before.isNull() | F.substring(before, -1, 1).isin(*SENTENCE_ENDS)
-    return rows.withColumn("sentence_start", starts)
+def found(text: Column) -> Column:
+    """(family, entity) of each token of a text that has one or the other, line by line; null texts have none.
+
+    Tokens that are only punctuation don't count. A sentence starts with a line and behind a token that ends with a sentence mark.
+    """
+
+    def in_line(line: Column) -> Column:
+        raws = F.filter(F.split(line, r"(?U)\s+"), lambda x: stripped(x) != "")
+        # In an array of its own, so that the tokens are made once and not for each look at the token before.
+        return F.flatten(F.transform(F.array(raws), lambda own: F.filter(F.transform(own, lambda x, i: token_of(own, x, i)), lambda t: may_tell(t["token"]))))
+
+    def token_of(own: Column, raw: Column, at: Column) -> Column:
+        before = F.get(own, at - 1)
+        start = before.isNull() | F.substring(before, -1, 1).isin(*SENTENCE_ENDS)
+        return F.struct(stripped(raw).alias("token"), start.alias("start"))
+
+    told = F.transform(F.flatten(F.transform(F.split(nfc(text), "\n"), in_line)), lambda t: F.struct(polarity_family(t["token"]).alias("family"), entity(t["token"], t["start"]).alias("entity")))
+    return F.coalesce(told, F.array().cast("array<struct<family:string,entity:string>>"))
+
+
+def with_facts(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows with polarity (map) and entities (sorted) of their text, without any shuffle."""
+    x = rows.withColumn("_found", found(F.col(text)))
+    return x.withColumns(_facts_of(F.col("_found"))).drop("_found")
+
+
+def _facts_of(found: Column) -> dict[str, Column]:
+    families = F.filter(F.transform(found, lambda t: t["family"]), lambda f: f.isNotNull())
+    counts = F.transform(F.array_sort(F.array_distinct(families)), lambda f: F.struct(f, F.size(F.filter(families, lambda x: x == f)).cast("long")))
+    entities = F.filter(F.transform(found, lambda t: t["entity"]), lambda e: e.isNotNull())
+    return {"polarity": F.map_from_entries(counts), "entities": F.array_sort(F.array_distinct(entities))}
 
 
 def facts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, polarity map, sorted entities) of each text; texts without any have empty ones."""
-    t = tokens(texts, key, text).select(key, polarity_family(F.col("token")).alias("family"), entity(F.col("token"), F.col("sentence_start")).alias("entity"))
-    families = t.where("family is not null").groupBy(key, "family").count().groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("family", "count")))).alias("polarity"))
-    entities = t.where("entity is not null").groupBy(key).agg(F.array_sort(F.collect_set("entity")).alias("entities"))
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
-    return texts.select(key).distinct().join(families, key, "left").join(entities, key, "left").select(
-        key, F.coalesce("polarity", none).alias("polarity"), F.coalesce("entities", F.array().cast("array<string>")).alias("entities")
-    )
+    """(key, polarity map, sorted entities) of each key's texts; texts without any have empty ones."""
+    each = texts.select(key, found(F.col(text)).alias("_found")).groupBy(key).agg(F.flatten(F.collect_list("_found")).alias("_found"))
+    return each.withColumns(_facts_of(F.col("_found"))).select(key, "polarity", "entities")
 
 
 def same_map(a: Column, b: Column) -> Column:

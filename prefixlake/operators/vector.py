@@ -28,19 +28,23 @@ def build_report(rows: DataFrame, width: int, model: str) -> DataFrame:
     )
 
 
-def top_candidates(queries: DataFrame, records: DataFrame, k: int = 5, others: bool = False) -> DataFrame:
+def top_candidates(queries: DataFrame, records: DataFrame, k: int = 5, others: bool = False, many_queries: bool = False) -> DataFrame:
     """Each query's k most similar records of its own bucket: query_id, rank, context_id, version, similarity. Ties to the smaller context and version.
     With others, a record named like the query is left out.
 
     Both are bucketed by (namespace, block_type, a salt): records of a large bucket spread over
-    SALTS tasks, queries go to each, and each task keeps k only before the last ranking.
+    SALTS tasks, queries go to each, and each task keeps k only before the last ranking. With
+    many_queries it is the queries that spread, and the records go to each of those tasks.
     """
     salts = 8
-    q = queries.select("namespace", "block_type", "query_id", F.col("embedding").alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    r = records.withColumn("_salt", F.pmod(F.xxhash64("context_id", "version"), F.lit(salts)).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    q = queries.select("namespace", "block_type", "query_id", F.col("embedding").alias("_q"))
+    q = q.withColumn("_salt", F.pmod(F.xxhash64("query_id"), F.lit(salts)).cast("int") if many_queries else each)
+    r = records.withColumn("_salt", each if many_queries else F.pmod(F.xxhash64("context_id", "version"), F.lit(salts)).cast("int"))
     scored = q.join(r, ["namespace", "block_type", "_salt"]).select("query_id", "_salt", "context_id", "version", cosine(F.col("_q"), F.col("embedding")).alias("similarity"))
     if others:
         scored = scored.where(F.col("query_id") != F.col("context_id"))
     order = [F.desc("similarity"), F.col("context_id"), F.col("version")]
-    near = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "_salt").orderBy(*order))).where(F.col("rank") <= k)
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).drop("_salt")
+    if not many_queries:  # else a query's pairs have one salt
+        scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "_salt").orderBy(*order))).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).drop("_salt")

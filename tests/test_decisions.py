@@ -40,6 +40,17 @@ def test_structural_tier_and_rows(spark):
     assert report == {"structural": (1, 0), "no_candidate": (3, 0), "semantic": (1, 1), "rejected": (2, 2)}
 
 
+def test_decisions_shuffle_no_tokens_and_count_none_twice(spark):
+    from prefixlake import bindings
+
+    plan = bindings.QUERIES["match_decisions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "raw#" not in plan
+    q = spark.createDataFrame([(i, "t", "x", [1.0, 0.1 * i]) for i in range(40)], "query_id int, namespace string, block_type string, embedding array<double>")
+    r = spark.createDataFrame([("t", "x", f"c{i % 7}", i, [0.01 * i, 0.5]) for i in range(60)], "namespace string, block_type string, context_id string, version int, embedding array<double>")
+    few, many = ({tuple(x) for x in matching.vector.top_candidates(q, r, many_queries=m).select("query_id", "rank", "context_id", "version", "similarity").collect()} for m in (False, True))
+    assert few == many and len(many) == 200
+
+
 def test_blobs_and_pooling(spark):
     v = spark.createDataFrame([(1, [3.0, 0.0], True), (1, [0.0, 4.0], True), (1, [9.0, 9.0], False), (2, [0.0, 0.0], True), (3, None, True)], "g int, v array<float>, m boolean")
     got = {r.g: r.pooled for r in structured.mean_pooled(v, "g", "v", F.col("m")).collect()}

@@ -80,6 +80,34 @@ def test_texts_are_not_shuffled_for_exact_matches(spark):
     assert "ArrowEvalPython" in sent and "CASE WHEN" in sent[sent.index("ArrowEvalPython") :]
 
 
+def test_facts_equal_a_loop(spark):
+    import random
+
+    rng = random.Random(5)
+    some = ["word", "été,", "fin.", "why?", "Not", "not", "never,", "don't", "(see", '"x"', "...", "—", "a.b", "Name", "iPhone", "v2", "--flag", "prod", "Production", "ever;", "everyone", "notes", "pre-production", "\u3000", "\u00a0b", "ÿz:", "[.", "K\u212a"]
+    texts = [rng.choice(["", "\n", " "]).join([""] + ["".join(rng.choice(some) + rng.choice([" ", " ", "  ", "\n", "\t", "\r\n"]) for _ in range(rng.randint(0, 90)))]) for _ in range(300)] + ["word " * 20_000 + "Name", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: (r.polarity, r.entities) for r in guard.with_facts(rows, "t").collect()}
+    families = {w: k for k, v in textnorm.POLARITY.items() for w in v.split()}
+    for k, text in enumerate(texts):
+        tokens, polarity = [], {}
+        for line in textnorm.unicodedata.normalize("NFC", text or "").split("\n"):
+            last = None
+            for raw in line.split():
+                token = raw.lstrip(textnorm.LEADING).rstrip(textnorm.TRAILING)
+                if token:
+                    tokens.append((token, last is None or last[-1] in textnorm.SENTENCE_ENDS))
+                    last = raw
+        for token, _ in tokens:
+            family = "NEG" if token.lower().endswith(("n't", "n’t")) else families.get(token.lower())
+            if family:
+                polarity[family] = polarity.get(family, 0) + 1
+        assert got[k][0] == polarity
+        names = {t for t, start in tokens if t == "Name" and not start}
+        values = {(t.lower() if start else t) for t, start in tokens if t.lower() in textnorm.VALUE_WORDS.split() and "-" not in t}
+        assert {e[5:] for e in got[k][1] if e == "name:Name"} == names and {e[4:] for e in got[k][1] if e.startswith("val:") and "-" not in e} == values
+
+
 def test_guard_facts(spark):
     texts = [(1, "Never delete Production data. Don't touch GitHub before 5pm"), (2, "run --dry-run on prod\n- Alice said: Bob a_b"), (3, "")]
     got = {r.k: r for r in guard.facts(spark.createDataFrame(texts, "k int, t string"), "k", "t").collect()}
