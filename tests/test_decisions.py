@@ -51,6 +51,14 @@ def test_decisions_shuffle_no_tokens_and_count_none_twice(spark):
     assert few == many and len(many) == 200
 
 
+def test_report_reads_short_rows(spark):
+    from prefixlake import bindings
+
+    plan = bindings.QUERIES["match_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "FileScan" in x and "ReadSchema" in x and "text:string" in x.split("ReadSchema")[1]]
+    assert len(scans) == 1  # for the facts of current records; all else comes from the rows that one pass over the texts has left
+
+
 def test_blobs_and_pooling(spark):
     v = spark.createDataFrame([(1, [3.0, 0.0], True), (1, [0.0, 4.0], True), (1, [9.0, 9.0], False), (2, [0.0, 0.0], True), (3, None, True)], "g int, v array<float>, m boolean")
     got = {r.g: r.pooled for r in structured.mean_pooled(v, "g", "v", F.col("m")).collect()}
