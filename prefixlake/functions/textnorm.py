@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -60,10 +61,11 @@ def nfc(text: Column) -> Column:
 
 def tidied(text: Column) -> Column:
     """LF line ends, no blanks at line ends, at most one empty line in a row, none at either end. Case and indentation stay."""
-    x = F.regexp_replace(text, r"\r\n?", "\n")
+    # `contains` is quicker than a search by pattern that finds nothing.
+    x = F.when(text.contains("\r"), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
     # A run of blanks is tried from its first only, else long ones would take the square of their length.
     x = F.when(x.rlike(r"[ \t\x0B\f](?:\n|\z)"), F.regexp_replace(x, r"(?<![ \t\x0B\f])[ \t\x0B\f]++(?=\n|\z)", "")).otherwise(x)
-    x = F.regexp_replace(x, r"\n{3,}", "\n\n")
+    x = F.when(x.contains("\n\n\n"), F.regexp_replace(x, r"\n{3,}", "\n\n")).otherwise(x)
     return F.trim(x, F.lit("\n"))
 
 
@@ -94,6 +96,24 @@ def may_tell(token: Column) -> Column:
     return F.lower(token).isin(TELLING) | token.rlike(r"[0-9_/\\@=.:\p{Lu}-]|[nN]['’][tT]$")
 
 
+#: Signs of a plain word: letters without capitals, and signs that neither `may_tell` nor `stripped` looks at.
+_QUIET = r"\p{Ll}\p{Lo}\p{M}#$%&*+|~^"
+_TELLING = "|".join(f"{a}(?:{'|'.join(w[1:] for w in words)})" for a, words in groupby(TELLING, key=lambda w: w[0]))
+#: The rest of a plain word, and what it may end with; a word of TELLING is none. A sentence's first word may have a capital.
+_REST, _NO_TELLING = rf"[{_QUIET}!?,;]*+[.,:;!?]*+", rf"(?!(?i:{_TELLING})(?![{_QUIET}]))"
+_STARTS = r"(?:(?<![^\n])|(?<=[\p{L}0-9][.!?:;] ))"
+PLAIN = rf"{_NO_TELLING}[{_QUIET}]{_REST}"
+PLAIN_OR_FIRST = rf"{_NO_TELLING}(?:[{_QUIET}]|{_STARTS}\p{{Lu}}){_REST}"
+
+
+def thinned(text: Column) -> Column:
+    """text without words that tell nothing, where a plain word of their line follows: what may tell stays, and so does the word before it.
+
+    At most 32 words go at once, as Java keeps a place in its stack for each.
+    """
+    return F.regexp_replace(text, rf"(?<!\S)(?:{PLAIN_OR_FIRST}[ \t]++){{1,32}}(?={PLAIN}(?!\S))", "")
+
+
 def polarity_family(token: Column) -> Column:
     """The family of a stripped token, null if it has none; contractions of not count as NEG."""
     low = F.lower(token)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefixlake.functions.textnorm import SENTENCE_ENDS, entity, may_tell, nfc, polarity_family, stripped
+from prefixlake.functions.textnorm import SENTENCE_ENDS, entity, may_tell, nfc, polarity_family, stripped, thinned
 
 TAU = 0.90
 
 
 def found(text: Column) -> Column:
-    """(family, entity) of each token of a text that has one or the other, line by line; null texts have none.
+    """(family, entity) of each token of a text in NFC that has one or the other, line by line; null texts have none.
 
     Tokens that are only punctuation don't count. A sentence starts with a line and behind a token that ends with a sentence mark.
     """
@@ -26,13 +26,13 @@ def found(text: Column) -> Column:
         start = before.isNull() | F.substring(before, -1, 1).isin(*SENTENCE_ENDS)
         return F.struct(stripped(raw).alias("token"), start.alias("start"))
 
-    told = F.transform(F.flatten(F.transform(F.split(nfc(text), "\n"), in_line)), lambda t: F.struct(polarity_family(t["token"]).alias("family"), entity(t["token"], t["start"]).alias("entity")))
+    told = F.transform(F.flatten(F.transform(F.split(thinned(text), "\n"), in_line)), lambda t: F.struct(polarity_family(t["token"]).alias("family"), entity(t["token"], t["start"]).alias("entity")))
     return F.coalesce(told, F.array().cast("array<struct<family:string,entity:string>>"))
 
 
-def with_facts(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with polarity (map) and entities (sorted) of their text, without any shuffle."""
-    x = rows.withColumn("_found", found(F.col(text)))
+def with_facts(rows: DataFrame, text: str = "text", composed: bool = False) -> DataFrame:
+    """rows with polarity (map) and entities (sorted) of their text, without any shuffle; composed: it is in NFC already."""
+    x = rows.withColumn("_found", found(F.col(text) if composed else nfc(F.col(text))))
     return x.withColumns(_facts_of(F.col("_found"))).drop("_found")
 
 
@@ -45,7 +45,7 @@ def _facts_of(found: Column) -> dict[str, Column]:
 
 def facts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, polarity map, sorted entities) of each key's texts; texts without any have empty ones."""
-    each = texts.select(key, found(F.col(text)).alias("_found")).groupBy(key).agg(F.flatten(F.collect_list("_found")).alias("_found"))
+    each = texts.select(key, found(nfc(F.col(text))).alias("_found")).groupBy(key).agg(F.flatten(F.collect_list("_found")).alias("_found"))
     return each.withColumns(_facts_of(F.col("_found"))).select(key, "polarity", "entities")
 
 

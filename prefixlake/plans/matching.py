@@ -21,7 +21,7 @@ def described(blocks: DataFrame) -> DataFrame:
     b = blocks.withColumn("_nfc", nfc(F.col("text")))
     tool = canonical_json(F.when(F.col("block_type") == "tool_schema", F.col("text")))
     b = b.withColumns({"content_hash": F.sha2(tidied(F.col("_nfc")), 256), "raw_hash": F.sha2("text", 256), "tool_hash": content_hash(tool)})
-    return guard.with_facts(b, "_nfc").drop("text", "_nfc")
+    return guard.with_facts(b, "_nfc", composed=True).drop("text", "_nfc")
 
 
 def decisions(blocks: DataFrame, records: DataFrame, pointers: DataFrame, aliases: DataFrame, k: int = 5, tau: float = guard.TAU, facts: DataFrame | None = None) -> DataFrame:

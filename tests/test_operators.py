@@ -108,6 +108,21 @@ def test_facts_equal_a_loop(spark):
         assert {e[5:] for e in got[k][1] if e == "name:Name"} == names and {e[4:] for e in got[k][1] if e.startswith("val:") and "-" not in e} == values
 
 
+def test_plain_words_go_before_tokens_are_cut(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    some = ["word", "été,", "fin.", "why?!", "Fin.", "Word", "Not", "not", "not#", "Never,", "nothing", "notx", "don't", "...", ".", "—", "a.b", "a!b", "NAME", "iPhone", "v2", "7", "Prod", "prod.", "Über:", "x::", "(so", "&%#", "字", "Ǆx", "ǅx", "K\u212a", "\u00a0x", "e\u0301"]
+    texts = ["".join(rng.choice(some) + rng.choice([" ", " ", " ", "  ", "\n", "\t", "\r\n", "\u2003"]) for _ in range(rng.randint(0, 120))) for _ in range(600)]
+    rows = spark.createDataFrame(list(enumerate([*texts, "word " * 100_000 + "Name", "Ein wort. " * 50_000, None])), "k int, t string")
+    thin = {r.k: r.t for r in rows.select("k", textnorm.thinned(F.col("t")).alias("t")).collect()}
+    assert thin[600] == "word Name" and len(thin[601]) <= 20 and thin[602] is None
+    assert sum(map(len, (thin[k] for k in range(600)))) < sum(map(len, texts))
+    got = guard.with_facts(rows, "t").collect()
+    monkeypatch.setattr(guard, "thinned", lambda text: text)
+    assert got == guard.with_facts(rows, "t").collect()
+
+
 def test_guard_facts(spark):
     texts = [(1, "Never delete Production data. Don't touch GitHub before 5pm"), (2, "run --dry-run on prod\n- Alice said: Bob a_b"), (3, "")]
     got = {r.k: r for r in guard.facts(spark.createDataFrame(texts, "k int, t string"), "k", "t").collect()}
