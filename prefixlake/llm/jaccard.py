@@ -33,7 +33,7 @@ WORDS, NUM, DEN = 3, 90, 100
 CHUNK, HEAVY = 4_000_000, 1 << 16
 #: Members of a list that meet in one task; longer lists are cut into blocks, and pairs of blocks dealt out.
 LIST = 4096
-#: Bits of a signature in the lists and of that of a set, and of the filter of sets that may have partners (8 MB, whatever the corpus).
+#: Bits of a signature in the lists and, at least, of that of a set, and of the filter of sets that may have partners (8 MB, whatever the corpus).
 SIG, LARGE, FILTER, SEGMENT = 256, 2048, 1 << 26, 1 << 18
 _U = np.uint64
 
@@ -77,6 +77,19 @@ def parity(tokens: np.ndarray, bits: int) -> bytes:
     return np.packbits((np.bincount((tokens % _U(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def wide(size: int) -> int:
+    """Bits of a set's larger signature: with fewer than shingles, any two long sets would seem to differ little."""
+    return max(LARGE, 1 << (size - 1).bit_length()) if size else LARGE
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """In how many classes two signatures differ; the wider one is folded, which adds up the parities of classes."""
+    x, y = sorted((np.frombuffer(a, _U), np.frombuffer(b, _U)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def least_overlap(size: np.ndarray | int, num: int = NUM, den: int = DEN):
     """The least number of shingles that a set of this size shares with any similar one."""
     return -(-size * num // den)
@@ -257,9 +270,9 @@ def plausible(pairs: DataFrame, bounds: DataFrame, num: int = NUM, den: int = DE
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "la", CHUNK):
-            la, lb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), _U).reshape(-1, LARGE // 64) for c in ("la", "lb"))
+            low = np.fromiter(map(apart, batch.column("la").to_pylist(), batch.column("lb").to_pylist()), np.int64, batch.num_rows)
             most = (batch.column("sa").to_numpy() + batch.column("sb").to_numpy()) * (den - num) // (num + den)
-            yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(la ^ lb).sum(axis=1, dtype=np.int64) <= most))
+            yield batch.select(["a", "b"]).filter(pa.array(low <= most))
 
     return rows.mapInArrow(lambda x: released(keep(x)), "a long, b long")
 
@@ -346,7 +359,7 @@ def grouped(docs: DataFrame, text: str = "text", keep_text: bool = False, words:
                 g = grade[start : start + len(s)]
                 start += len(s)
                 own = s[np.argsort(g, kind="stable")] if g.any() else s
-                row = (rid, xxhash.xxh3_128_digest(s.tobytes()), len(s), own[: len(s) - least_overlap(len(s), num, den) + 1].tobytes(), parity(s, SIG), parity(s, LARGE), text_hash(text))
+                row = (rid, xxhash.xxh3_128_digest(s.tobytes()), len(s), own[: len(s) - least_overlap(len(s), num, den) + 1].tobytes(), parity(s, SIG), parity(s, wide(len(s))), text_hash(text))
                 for c, x in zip(cols, row):
                     c.append(x)
                 rid += 1

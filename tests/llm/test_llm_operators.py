@@ -455,3 +455,14 @@ def test_pipeline_drops_similar_from_five_words_and_four_fifths(spark, docs, row
     got = sorted(r.doc_id for r in p.drop_similar(spark, docs.unionByName(spark.createDataFrame(own, DOCS)), "").collect())
     assert got == want
     assert [x for x in got if x >= 1000] == [1000, 1010, 1020, 1030, 1031]
+
+
+def test_signatures_tell_long_sets_apart():
+    rng = np.random.default_rng(3)
+    a, b = (np.unique(rng.integers(0, 1 << 63, 6000).astype(np.uint64)) for _ in range(2))
+    near, half = np.append(a[300:], b[:200]), a[:3500]
+    most = (len(a) + len(b)) * 20 // 180
+    sig = {k: jaccard.parity(x, jaccard.wide(len(x))) for k, x in (("a", a), ("b", b), ("near", near), ("half", half))}
+    assert jaccard.apart(sig["a"], sig["b"]) > most  # 2,048 bits differ in 1,024 at the most likely
+    assert jaccard.apart(sig["a"], sig["near"]) <= 500 and len(sig["half"]) < len(sig["a"])
+    assert jaccard.apart(sig["a"], sig["half"]) == jaccard.apart(sig["half"], jaccard.parity(a, jaccard.wide(len(half)))) <= 2500
