@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Makes Spark drop the shuffle files of a query that has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that Spark gathers, outside its heap, for a batch to Python; at most BATCH where rows hold whole texts or sets.
+BATCH_ROWS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Paths of the tables that `written` has made, in order; None for those that are emptied.
 _WRITTEN: list[str | None] = []
 
@@ -74,6 +77,22 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             at = end
 
 
+def in_small_batches(f: Callable) -> Callable:
+    """f, which takes docs; while it runs, rows go to Python in batches of at most BATCH."""
+
+    @functools.wraps(f)
+    def run(docs: DataFrame, *args, **named):
+        spark = docs.sparkSession
+        before = spark.conf.get(BATCH_ROWS)
+        spark.conf.set(BATCH_ROWS, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+        try:
+            return f(docs, *args, **named)
+        finally:
+            spark.conf.set(BATCH_ROWS, before)
+
+    return run
+
+
 def released(rows: Iterator) -> Iterator:
     """rows; after the last one the worker, which lives on, gives the memory that it has freed back to the system."""
     yield from rows

@@ -13,6 +13,7 @@ bounds exclude by the triangle inequality of set differences.
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from prefixlake.llm.common import cleared, n_written, released, shuffle_partitions, sliced, written
+from prefixlake.llm.common import cleared, in_small_batches, n_written, released, shuffle_partitions, sliced, written
 
 #: Words of a shingle and similarity as a fraction, as op6 has them: the defaults of `linked` and `representatives`.
 WORDS, NUM, DEN = 3, 90, 100
@@ -46,30 +47,32 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[bytes | None], n: int = WORDS) -> Iterator[np.ndarray]:
     """Each text's distinct shingles as sorted hashes; fewer words than a shingle has are one, none are none."""
-    index: defaultdict = defaultdict()
-    index.default_factory = index.__len__
-    get, parts = index.__getitem__, []
+    # Numbers come from a count, not from the table's own length: a table that refers to itself stays until the collector's last generation runs.
+    index: defaultdict = defaultdict(itertools.count().__next__)
+    parts = []
     for text in texts:
         words = text.lower().split() if text else []
-        parts.append(np.fromiter(map(get, words), np.int64, len(words)))
+        parts.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
     words = mix(np.fromiter(map(xxhash.xxh3_64_intdigest, index), _U, len(index)))
+    del index
     stream = words[np.concatenate(parts)] if parts else words[:0]
+    parts = [len(p) for p in parts]
     rolled = stream.copy()
     for step in range(1, n):
         if len(stream) > step:
             rolled[:-step] = mix(rolled[:-step] * _U(0x9E3779B97F4A7C15) + stream[step:])
     at = 0
     for p in parts:
-        if len(p) >= n:
-            yield np.unique(rolled[at : at + len(p) - n + 1])
-        elif len(p):
-            short = np.full(1, len(p), _U)
-            for w in stream[at : at + len(p)]:
+        if p >= n:
+            yield np.unique(rolled[at : at + p - n + 1])
+        elif p:
+            short = np.full(1, p, _U)
+            for w in stream[at : at + p]:
                 short = mix(short * _U(0x9E3779B97F4A7C15) + w)
             yield short
         else:
             yield stream[:0]
-        at += len(p)
+        at += p
 
 
 def parity(tokens: np.ndarray, bits: int) -> bytes:
@@ -330,6 +333,7 @@ def _spots(ids: np.ndarray) -> list[np.ndarray]:
     return [((h >> _U(s)) % _U(SEGMENT)).astype(np.int64) for s in (0, 20, 40)]
 
 
+@in_small_batches
 def grouped(docs: DataFrame, text: str = "text", keep_text: bool = False, words: int = WORDS, num: int = NUM, den: int = DEN) -> tuple[DataFrame, list[str], DataFrame]:
     """What `linked` joins: rows of docs with _pl_rid, _pl_size and _pl_fp (a hash of the set), the columns that they keep, and (_pl_fp, component_id, _pl_group)."""
     spark: SparkSession = docs.sparkSession

@@ -12,6 +12,7 @@ missing, and only levels go back to the chunks.
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -50,8 +51,7 @@ def pairs(hashes: np.ndarray, stream: np.ndarray, lens: np.ndarray) -> np.ndarra
 
 
 def chunk_of(rows: list[tuple[int | None, bytes | None, bool]], chunk: int) -> dict:
-    index: defaultdict = defaultdict()
-    index.default_factory = index.__len__
+    index: defaultdict = defaultdict(itertools.count().__next__)  # not its own length: a table that refers to itself stays long after
     index[b""]  # the end: number 0
     get, parts = index.__getitem__, []
     end = np.zeros(1, np.int32)

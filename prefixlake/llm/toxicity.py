@@ -8,6 +8,7 @@ text alone; the decision compares them with a threshold calibrated for each lang
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import struct
 from collections import defaultdict
@@ -43,8 +44,7 @@ def rows_of(word: str) -> tuple[int, ...]:
 
 def indexed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts as places in a list of words (0: padding; two before, two behind), each text's start, and the words' rows."""
-    places: defaultdict = defaultdict()
-    places.default_factory = lambda: len(places) + 1
+    places: defaultdict = defaultdict(itertools.count(1).__next__)  # not its own length: a table that refers to itself stays long after
     get, pad = places.__getitem__, np.zeros(2, np.int32)
     parts, lens = [], np.empty(len(texts), np.int64)
     for i, text in enumerate(texts):

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, over small tables with hard cases."""
 
 import collections
+import gc
 import hashlib
 import random
 import zlib
@@ -466,3 +467,31 @@ def test_signatures_tell_long_sets_apart():
     assert jaccard.apart(sig["a"], sig["b"]) > most  # 2,048 bits differ in 1,024 at the most likely
     assert jaccard.apart(sig["a"], sig["near"]) <= 500 and len(sig["half"]) < len(sig["a"])
     assert jaccard.apart(sig["a"], sig["half"]) == jaccard.apart(sig["half"], jaccard.parity(a, jaccard.wide(len(half)))) <= 2500
+
+
+@pytest.mark.parametrize(
+    "use",
+    [
+        lambda text: list(jaccard.shingle_sets([text.encode()])),
+        lambda text: toxicity.indexed([text]),
+        lambda text: lm.chunk_of([(1, text.encode(), False)], 0),
+    ],
+)
+def test_tables_of_words_go_with_their_last_use(use):
+    """Without the collector's help: a worker of Python holds the words of one chunk only, not those of all chunks since the collector last ran."""
+    gc.collect()
+    gc.disable()
+    try:
+        use("quokka and wombat and numbat")
+        left = [x for x in gc.get_objects() if isinstance(x, collections.defaultdict) and ("quokka" in x or b"quokka" in x)]
+    finally:
+        gc.enable()
+    assert not left
+
+
+def test_jaccard_sends_small_batches(spark, docs, monkeypatch):
+    rows, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: seen.append(int(spark.conf.get(rows))) or write(df, name))
+    before = spark.conf.get(rows)
+    jaccard.linked(docs.limit(20))
+    assert seen and max(seen) <= 1000 < int(before) == int(spark.conf.get(rows))
