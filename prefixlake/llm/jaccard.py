@@ -301,6 +301,18 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN)
     return rows.mapInArrow(lambda x: released(count(x)), "a long, b long, dist long")
 
 
+def rows_of(table: DataFrame, rid: str, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of table whose number, column rid, is in that column of ids.
+
+    Numbers go as masks of 64, about a quarter of a byte for each row of a dense range, so that Spark can
+    broadcast those of many more rows before it shuffles the rows of table with their texts.
+    """
+    block, bit = F.shiftright(rid, 6).alias("_pl_block"), f"cast({rid} & 63 as int)"
+    masks = written(ids.groupBy(block).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("_pl_mask")), name)
+    found = table.withColumn("_pl_block", block).join(masks, "_pl_block")
+    return found.where(f"(shiftright(_pl_mask, {bit}) & 1L) = 1L").drop("_pl_block", "_pl_mask")
+
+
 def text_hash(text: bytes | None) -> int:
     return xxhash.xxh3_64_intdigest(text or b"") - (1 << 63)
 
@@ -377,7 +389,7 @@ def grouped(docs: DataFrame, text: str = "text", keep_text: bool = False, words:
     reps = reps.select("_pl_fp", F.col("x._pl_rid").alias("sid"), F.col("x._pl_hash").alias("text_hash"), "_pl_id")
     reps = written(reps, "reps")
     heads = filled.select(F.col("_pl_rid").alias("sid"), F.col("_pl_size").alias("size"), F.col("_pl_first").alias("first"), F.col("_pl_sig").alias("sig"))
-    firsts = heads.select("sid", "first").join(reps.select("sid"), "sid", "left_semi")
+    firsts = rows_of(heads.select("sid", "first"), "sid", reps, "named")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -486,8 +498,8 @@ def representatives(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
     # Rows are chosen by their numbers, so that texts are joined once and not written again.
     first = table.where("_pl_size > 0").select("_pl_fp", "doc_id", "_pl_rid").join(ids.select("_pl_fp", "_pl_group"), "_pl_fp")
     first = first.groupBy("_pl_group").agg(F.min(F.struct("doc_id", "_pl_rid")).alias("x")).select(F.col("x._pl_rid").alias("_pl_rid"))
-    kept = written(first.unionByName(table.where("_pl_size = 0").select("_pl_rid")), "kept")
-    return table.join(kept, "_pl_rid", "left_semi").withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
+    kept = first.unionByName(table.where("_pl_size = 0").select("_pl_rid"))
+    return rows_of(table, "_pl_rid", kept, "kept").withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
 
 
 def digest(documents: DataFrame) -> DataFrame:

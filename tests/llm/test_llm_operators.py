@@ -495,3 +495,20 @@ def test_jaccard_sends_small_batches(spark, docs, monkeypatch):
     before = spark.conf.get(rows)
     jaccard.linked(docs.limit(20))
     assert seen and max(seen) <= 1000 < int(before) == int(spark.conf.get(rows))
+
+
+def test_jaccard_rows_by_number_are_not_shuffled(spark):
+    """Numbers of 150,000 rows, as the pipeline has them at half a GB, fit under a threshold of 256 KB; as a table of numbers they did not."""
+    number = F.expr("(id div 50000) * 8589934592 + id % 50000")
+    table = spark.range(200_000).select(number.alias("_pl_rid"), F.col("id").cast("string").alias("text"))
+    ids = table.where("pmod(xxhash64(_pl_rid), 4) > 0").select("_pl_rid")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        got = jaccard.rows_of(table, "_pl_rid", ids, "test")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert got.columns == table.columns and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert got.exceptAll(table.join(ids, "_pl_rid", "left_semi")).isEmpty() and got.count() == ids.count()
+        assert jaccard.rows_of(table, "_pl_rid", ids.limit(0), "test").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
